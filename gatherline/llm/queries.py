@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatherline.llm import exact_dedup, mixing
+from gatherline.llm import exact_dedup, minhash, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op7_exact_dedup)}
-ORACLES = {"op3_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op6_minhash_dedup, op7_exact_dedup)}
+ORACLES = {"op3_source_mixing": mixing.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
