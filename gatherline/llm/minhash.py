@@ -152,7 +152,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read; an empty table gives no rows.
 
     1. Equal sets collapse to one representative. 2. Representatives meet in band buckets; each bucket gives star
-    edges from its smallest member, so candidates never outnumber bucket rows. 3. Edges are confirmed on full sets
+    edges from the member that shares most buckets, so candidates never outnumber bucket rows. 3. Edges are confirmed on full sets
     and components formed. 4. Where a bucket of three or more still spans components, the members outside its
     largest component meet the others of the bucket, if sizes and sketches allow a link, and are confirmed too:
     no linked pair that shares a bucket is left out.
@@ -162,9 +162,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(able.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    stars = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    members = written(rows.join(stars.select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "members"), "key"), "minhash-members")
-    first = written(members.where((F.col("rep") != F.col("center")) & _near_size(F.col("n"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = written(rows.join(shared, "key"), "minhash-rows")
+    # the original of a group meets more documents than its variants do, so it makes the best center
+    met = rows.groupBy("rep").agg(F.sum("members").alias("met"))
+    rows = rows.join(met, "rep")
+    stars = rows.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("r"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
+    members = written(rows.drop("met").join(stars, "key"), "minhash-members")
+    first = written(members.where((F.col("rep") != F.col("center")) & _near_size(F.col("n"), F.col("center_n"), percent)).select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct(), "minhash-pairs")
     links = confirmed(docs, first, percent)
     labels = min_labels(links)
 
