@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatherline.llm import exact_dedup, minhash, mixing, toxicity
+from gatherline.llm import bpe, exact_dedup, minhash, mixing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op6_minhash_dedup, op7_exact_dedup, op9_toxicity)}
+def public_ranks() -> dict[bytes, int]:
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_ranks()))
+
+
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op6_minhash_dedup, op7_exact_dedup, op9_toxicity, op10_byte_bpe)}
 ORACLES = {"op3_source_mixing": mixing.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
