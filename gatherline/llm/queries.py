@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatherline.llm import bpe, chat, exact_dedup, minhash, mixing, toxicity, url_filter
+from gatherline.llm import ann, bpe, chat, exact_dedup, minhash, mixing, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_ranks()))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op6_minhash_dedup, op7_exact_dedup, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op5_nearest_neighbours, op6_minhash_dedup, op7_exact_dedup, op9_toxicity, op10_byte_bpe)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_source_mixing": mixing.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
