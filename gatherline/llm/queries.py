@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherline.llm import ann, bpe, chat, exact_dedup, minhash, mixing, toxicity, url_filter
+from gatherline.llm import ann, bpe, chat, exact_dedup, minhash, mixing, sharding, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.resolved(warc.captures(table(spark, sf_dir, "pages"))))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -38,6 +42,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -52,5 +60,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_ranks()))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op5_nearest_neighbours, op6_minhash_dedup, op7_exact_dedup, op9_toxicity, op10_byte_bpe)}
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_source_mixing": mixing.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op4_warc_revisits, op5_nearest_neighbours, op6_minhash_dedup, op7_exact_dedup, op8_sharding, op9_toxicity, op10_byte_bpe)}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_warc_revisits": warc.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
