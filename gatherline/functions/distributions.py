@@ -8,22 +8,23 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LARGE_DF = 5000
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda x: _NORMAL.inv_cdf(x) if 0 < x < 1 else math.nan, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_p(statistic: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     """Two-sided p: by counting sign patterns up to 50 untied differences, else normal with the tie correction."""
 

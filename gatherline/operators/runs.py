@@ -129,17 +129,20 @@ def grid(spark, **values) -> DataFrame:
 
 
 def captured(function, schema: str):
-    """A grouped function whose failures become rows: ``schema`` plus ``success`` and ``failure_reason``."""
+    """A grouped function whose failures become rows: ``schema``, which begins with the keys, plus ``success`` and
+    ``failure_reason``. Other groups go on."""
     import pandas as pd
 
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
     def safe(key, pdf):
         try:
-            return function(key, pdf).assign(success=True, failure_reason=None)
+            out = function(key, pdf).assign(success=True, failure_reason=None)
         except Exception as error:  # noqa: BLE001 - the reason is the result
-            return pd.DataFrame([{"success": False, "failure_reason": f"{type(error).__name__}: {error}"}])
+            out = pd.DataFrame([dict(zip(columns, key, strict=False)) | {"success": False, "failure_reason": f"{type(error).__name__}: {error}"}])
+        return out.reindex(columns=[*columns, "success", "failure_reason"])
 
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return lambda key, pdf: safe(key, pdf).reindex(columns=[*columns, "success", "failure_reason"]), f"{schema}, success boolean, failure_reason string"
+    return safe, f"{schema}, success boolean, failure_reason string"
 
 
 def replacements(runs: DataFrame, group=("experiment_id", "task_name")) -> DataFrame:
