@@ -29,7 +29,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,36 +106,59 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, print binary, bands array<bigint>, sketch array<bigint>")
 
 
+#: Bits of the map of a text's shingles that its center lacks.
+REST_BITS = 2048
+
+
 def _compare(percent: int):
+    """Rows in order of ``a``: first its own text (no ``b``), then those of its partners."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, left = WordHashes(), None, None
+        hashes, at, left = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
-            linked = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last or left is None:
-                    last, left = a, shingle_set(ta.as_py(), hashes)
-                right = shingle_set(tb.as_py(), hashes)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            keep, linked, shared, extra, maps = [], [], [], [], []
+            for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                own = shingle_set(text.as_py(), hashes)
+                if other is None:
+                    at, left = one, own
+                elif one == at and len(own) and len(left):
+                    hit = left[np.minimum(np.searchsorted(left, own), len(left) - 1)] == own
+                    both, bits = int(hit.sum()), np.zeros(REST_BITS, np.uint8)
+                    bits[((own[~hit] * _MIX1) >> _U(53)).astype(np.int64)] = 1
+                    keep.append(i)
+                    linked.append(100 * both >= percent * (len(left) + len(own) - both))
+                    shared.append(both)
+                    extra.append(len(own) - both - int(bits.sum()))
+                    maps.append(np.packbits(bits).view(np.int64))
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int32()), pa.array(extra, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["a", "b", "linked", "shared", "extra", "rest"])
 
     return compared
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs(a, b)`` whose full shingle sets are similar enough; written to the shared folder.
+#: A text with more partners than this is compared in several tasks.
+PARTNERS = 2000
+
+
+def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs(a, b)`` compared on their full shingle sets: ``linked`` if similar enough; written to the shared folder.
+
+    Besides, ``shared`` shingles, a bit map ``rest`` of those of ``b`` that ``a`` lacks, and how many of these are
+    ``extra``, beyond one for each bit set.
 
-    Only texts that some pair names are moved. Their ids are broadcast up to a bound, and joined by a shuffle beyond.
-    ``docs``: ``(doc_id, text)``.
+    Only texts that some pair names are moved: once for each pair as ``b``, and once for each PARTNERS partners as
+    ``a``. Their ids are broadcast up to a bound, and joined by a shuffle beyond. ``docs``: ``(doc_id, text)``.
     """
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-needed")
     few = needed.limit(BOUNDED_ROWS + 1).count() <= BOUNDED_ROWS
     texts = docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("lots"))
+    dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), "lots").cast("int").alias("lot"))
+    right = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "lot", "b", "text")
+    left = lots.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
+    rows = right.unionByName(left).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
     kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b")]
-    return written(both.mapInArrow(_compare(percent), ", ".join(kinds)), "minhash-links")
+    return written(rows.select("a", "b", "text").mapInArrow(_compare(percent), ", ".join([*kinds, "linked boolean, shared int, extra int, rest array<bigint>"])), "minhash-compared")
 
 
 def _near_size(n: Column, m: Column, percent: int) -> Column:
@@ -154,8 +177,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Equal sets collapse to one representative. 2. Representatives meet in band buckets; each bucket gives star
     edges from the member that shares most buckets, so candidates never outnumber bucket rows. 3. Edges are confirmed on full sets
     and components formed. 4. Where a bucket of three or more still spans components, the members outside its
-    largest component meet the others of the bucket, if sizes and sketches allow a link, and are confirmed too:
-    no linked pair that shares a bucket is left out.
+    largest component meet the others of the bucket. Sizes, sketches and what both share with the bucket's center
+    bound the pair's similarity; pairs that may link are confirmed too: none that shares a bucket is left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs), "minhash-signed")
@@ -169,25 +192,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(met, "rep")
     stars = rows.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("r"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
     members = written(rows.drop("met").join(stars, "key"), "minhash-members")
-    first = written(members.where((F.col("rep") != F.col("center")) & _near_size(F.col("n"), F.col("center_n"), percent)).select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct(), "minhash-pairs")
-    links = confirmed(docs, first, percent)
+    first = written(members.where(F.col("rep") != F.col("center")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    known = compared(docs, first, percent)
+    links = known.where("linked").select("a", "b")
     labels = min_labels(links)
 
     held = members.where("members > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = written(held, "minhash-held")
     counts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", "m.main")
-    open_rows = held.join(main, "key").join(reps.select("rep", "sketch"), "rep")
-    open_rows = written(open_rows, "minhash-open")
+    measured = known.select(F.col("a").alias("center"), F.col("b").alias("rep"), "shared", "extra", "rest")
+    open_rows = held.where("rep <> center").join(main, "key").join(reps.select("rep", "sketch"), "rep").join(measured, ["center", "rep"])
+    open_rows = written(open_rows.select("key", "rep", "n", "component", "main", "sketch", "shared", "extra", "rest"), "minhash-open")
     x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
-    agree = sum((F.bit_count(F.element_at("x.sketch", i).bitwiseXOR(F.element_at("y.sketch", i))) for i in range(1, (BINS + 63) // 64 + 1)), F.lit(0))
+    differ = sum((F.bit_count(F.element_at("x.sketch", i).bitwiseXOR(F.element_at("y.sketch", i))) for i in range(1, (BINS + 63) // 64 + 1)), F.lit(0))
+    common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
+    # at most so many shingles are in both: those that both share with their center, and those outside it
+    most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    untested = (F.col("x.rep") != F.col("x.center")) & (F.col("y.rep") != F.col("y.center"))
-    meet = (F.col("x.key") == F.col("y.key")) & other & untested & _near_size(F.col("x.n"), F.col("y.n"), percent) & (F.lit(BINS) - agree >= SKETCH_AGREE)
-    second = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "minhash-pairs")
+    near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (F.lit(BINS) - differ >= SKETCH_AGREE) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = written(second.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
     if not second.isEmpty():
-        more = confirmed(docs, second, percent)
+        more = compared(docs, second, percent).where("linked").select("a", "b")
         if not more.isEmpty():
             labels = min_labels(links.unionByName(more))
 
