@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from gatherline.llm.shared import literal_longs, written
 
-SHARDS, ROUNDS = 16, 4
+SHARDS, ROUNDS = 16, 5
 #: A range of hashed ids that is ranked by itself has about so many rows; there are MAX_RANGES of them at most.
 RANGE_ROWS, MAX_RANGES = 20_000, 65_536
+#: Groups up to this size, and a quarter of a shard, move and are placed as one; members of larger ones each by itself.
+WHOLE_GROUP = 500
+#: While labels spread a shard may hold so many times its share, or full shards would lock each other; rows even out after.
+SLACK = 1.5
 
 
 def place_of(doc_id: Column) -> Column:
@@ -18,33 +22,48 @@ def place_of(doc_id: Column) -> Column:
 
 
 def propagated(members: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, shard`` of linked documents after ``rounds`` of label propagation.
+    """``doc_id, anchor, shard`` of linked documents after ``rounds`` of label propagation.
 
-    ``members(doc_id, link)``: documents that share a link are neighbours; a link costs a row for each member and
-    shard, never a pair. In each round a document asks for the shard where most of its neighbours are (ties by a hash
-    that its neighbours share). Requests to a shard are granted to a hashed share of those who ask, so that its
-    linked documents stay within ``capacity``. All state is a narrow table, rewritten each round.
+    ``members(doc_id, link, anchor)``: documents that share a link are neighbours; a link costs a row for each member
+    and shard, never a pair. In each round a document asks for the shard where most of its neighbours are (ties by a
+    hash that its neighbours share). Requests to a shard are granted to a hashed share of the anchors that ask, so
+    that its linked documents stay within ``capacity``. All state is a narrow table, rewritten each round.
     """
-    state = written(members.select("doc_id").distinct().select("doc_id", F.pmod(place_of(F.col("doc_id")), F.lit(shards)).cast("int").alias("shard")), "shard-labels")
+    state = written(members.groupBy("doc_id").agg(F.min("anchor").alias("anchor")).select("doc_id", "anchor", F.pmod(place_of(F.col("doc_id")), F.lit(shards)).cast("int").alias("shard")), "shard-labels")
     for turn in range(rounds):
-        at = members.join(state, "doc_id")
+        at = members.select("doc_id", "link").join(state, "doc_id")
         counts = at.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        votes = members.join(counts, "link").groupBy("doc_id", "shard").agg(F.sum("n").alias("votes"), F.min(F.xxhash64("link", "shard")).alias("tie"))
+        votes = members.select("doc_id", "link").join(counts, "link").groupBy("doc_id", "shard").agg(F.sum("n").alias("votes"), F.min(F.xxhash64("link", "shard")).alias("tie"))
         want = votes.groupBy("doc_id").agg(F.max(F.struct("votes", "tie", "shard"))["shard"].alias("want"))
         asked = written(state.join(want, "doc_id"), "shard-requests")
         flows = asked.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()  # shards * shards rows at most
-        held, ask = [0] * shards, [0] * shards
+        asks = [[0] * shards for _ in range(shards)]
         for r in flows:
-            held[r["shard"]] += r["n"]
-            ask[r["want"]] += r["n"] if r["shard"] != r["want"] else 0
-        if not any(ask):
+            asks[r["shard"]][r["want"]] += r["n"]
+        if all(i == j or not n for i, row in enumerate(asks) for j, n in enumerate(row)):
             break
-        share = [min(1.0, max(0, capacity - h) / a) if a else 0.0 for h, a in zip(held, ask, strict=True)]
-        granted = F.pmod(F.xxhash64(F.lit(turn), "doc_id"), F.lit(1_000_000)) < F.element_at(literal_longs([int(1_000_000 * s) for s in share]), F.col("want") + 1)
-        state = written(asked.select("doc_id", F.when(granted, F.col("want")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
+        share = quotas(asks, capacity)
+        granted = F.pmod(F.xxhash64(F.lit(turn), "anchor"), F.lit(1_000_000)) < F.element_at(literal_longs([int(1_000_000 * s) for s in share]), F.col("want") + 1)
+        state = written(asked.select("doc_id", "anchor", F.when(granted, F.col("want")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
     return state
 
 
+def quotas(asks: list[list[int]], capacity: int) -> list[float]:
+    """The share of the requests to each shard that is granted.
+
+    ``asks[i][j]``: documents in i that ask for j. A shard takes in what it has room for, and what leaves it; the
+    shares start at 1 and come down until no shard ends up above ``capacity``.
+    """
+    all_shards = range(len(asks))
+    held = [sum(row) for row in asks]
+    into = [sum(asks[i][j] for i in all_shards if i != j) for j in all_shards]
+    share = [1.0] * len(asks)
+    for _ in range(200):
+        leaving = [sum(asks[j][i] * share[i] for i in all_shards if i != j) for j in all_shards]
+        share = [min(share[j], max(0.0, capacity - held[j] + leaving[j]) / into[j]) if into[j] else 1.0 for j in all_shards]
+    return share
+
+
 def ranked(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     """``rows`` with ``name``: gapless ranks from 0 in each group of ``by``, in order of ``place``.
 
@@ -72,12 +91,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = Non
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(text)).alias("link"))
     rows = written(rows, "shard-rows")
     members = (rows if links is None else links).where("doc_id IS NOT NULL").select("doc_id", "link").distinct()
-    shared = members.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
-    members = written(members.join(shared, "link"), "shard-members")
+    shared = members.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
     n = rows.count()
+    anchor = F.when(F.col("n") <= min(WHOLE_GROUP, n // shards // 4), place_of(F.col("link"))).otherwise(place_of(F.col("doc_id")))
+    members = written(members.join(shared, "link").select("doc_id", "link", anchor.alias("anchor")), "shard-members")
     quota = [n // shards + (j < n % shards) for j in range(shards)]
-    labels = propagated(members, shards, n // shards, rounds)
-    rows = rows.select("doc_id", "size", "text_crc32", F.coalesce(place_of(F.col("doc_id")), F.lit(0)).alias("place")).join(labels, "doc_id", "left")
+    labels = propagated(members, shards, int(SLACK * n / shards) + 1, rounds)
+    rows = rows.join(labels, "doc_id", "left").select("doc_id", "size", "text_crc32", "shard", F.coalesce("anchor", place_of(F.col("doc_id")), F.lit(0)).alias("place"))
     rows = written(rows, "shard-labelled")
     linked = written(ranked(rows.where("shard IS NOT NULL"), ["shard"], n, "slot"), "shard-linked")
     fits = F.col("slot") < F.element_at(literal_longs(quota), F.col("shard") + 1)
