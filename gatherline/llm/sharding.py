@@ -83,12 +83,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = Non
 
     Shards differ by one row at most; ``slot`` counts from 0 without gaps in each. ``links(doc_id, link)`` names
     neighbours; by default documents of equal text are linked. A group of links that fits a shard ends up in one,
-    as far as the quotas allow; larger groups fill shards. ``size``: UTF-8 bytes plus 1, null texts have none;
-    ``text_crc32`` of a null text is null. Repeated rows and null ids are rows like others; ids that repeat share
+    as far as the quotas allow; larger groups fill shards. ``size``: UTF-8 bytes plus 1; a null text has
+    no bytes, and so the ``text_crc32`` of an empty one. Repeated rows and null ids are rows like others; ids that repeat share
     their links. An empty table gives no rows. Other columns are not read.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(text)).alias("link"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(text)).alias("link"))
     rows = written(rows, "shard-rows")
     members = (rows if links is None else links).where("doc_id IS NOT NULL").select("doc_id", "link").distinct()
     shared = members.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
