@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 #: A driver-side list or a broadcast side is only used up to this many rows.
 BOUNDED_ROWS = 1_000_000
+#: Folders made where none is named, by application: local runs and tests.
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gatherline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root and context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gatherline-")
+    return (root or _OWN[context.applicationId]).rstrip("/")
 
 
 def written(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
