@@ -176,7 +176,7 @@ def _assembled(tokens: list[bytes]):
 class WordIds(dict):
     """Packed ids of words, remembered up to a bound: each distinct word is merged once."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks, self.most = ranks, most
 
     def __missing__(self, word: str) -> bytes:

@@ -142,7 +142,7 @@ class _Scores(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = s = sum(self.model.get(f, 0.0) for f in features(word))
         return s
@@ -170,17 +170,22 @@ def offending(text: str, scores: _Scores, bias: float) -> list[dict]:
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
 
-def _scorer(model: dict[str, float]):
+def _scorer(model: dict[str, float], text_at: int, below: float | None):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, bias = _Scores(model), model[""]
         for batch in batches:
             at, spans = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(text_at):
                 text = text.as_py() or ""
-                score = float(-np.expm1(-np.logaddexp(0, sentence_logits(text, scores, bias)).sum()))
-                at.append(min(1.0, max(0.0, score)))
-                spans.append(offending(text, scores, bias) if score >= SENTENCE_THRESHOLD else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at, pa.float64()), pa.array(spans, pa.list_(SPAN))], names=[*batch.schema.names[:-1], "score", "offending"])
+                score = min(1.0, max(0.0, float(-np.expm1(-np.logaddexp(0, sentence_logits(text, scores, bias)).sum()))))
+                at.append(score)
+                if below is None:
+                    spans.append(offending(text, scores, bias) if score >= SENTENCE_THRESHOLD else [])
+            if below is None:
+                kept = [c for i, c in enumerate(batch.columns) if i != text_at]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.float64()), pa.array(spans, pa.list_(SPAN))], names=[*(f"c{i}" for i in range(len(kept))), "score", "offending"])
+            else:
+                yield batch.filter(pa.array([s < below for s in at], pa.bool_()))
 
     return scored
 
@@ -190,10 +195,10 @@ def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", keep
 
     Null and empty texts are one empty sentence and score as low as the bias. Whole texts are read; rows in, rows out.
     """
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("offending", span)])
-    return rows.mapInArrow(_scorer(model), schema)
+    return rows.mapInArrow(_scorer(model, len(keep), None), schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 
 def held_out(doc_id) -> "F.Column":
@@ -215,5 +220,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that score under ``threshold``, all columns as they were."""
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["text"].alias("text"))
-    return score(rows, model, keep=("_row",)).where(F.col("score") < threshold).select("_row.*")
+    rows = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(_scorer(model, names.index("text"), threshold), rows.schema).toDF(*names)
