@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 #: Labelled documents of each class that training reads at most, chosen by hash; all others are only scored.
 TRAIN_PER_CLASS = 4000
 STEPS, THRESHOLD, SENTENCE_THRESHOLD = 600, 0.7, 0.5
-#: How far a feature's count in toxic documents must lie above chance, as Poisson deviance (9: about 1 in 10,000).
-DEVIANCE, RIDGE = 9.0, 1e-3
+#: How far a feature's share of toxic documents must lie above theirs of all, as a binomial's log likelihood ratio.
+DEVIANCE, RIDGE = 11.0, 1e-3
 PREFIXES = (3, 4, 5, 6)
 SENTENCE_END = re.compile(r"[.!?\n]+")
 PUNCTUATION = string.punctuation + "«»„“”¿¡…–—"
@@ -56,8 +57,8 @@ def telling(texts: list[str], y: np.ndarray, deviance: float) -> dict[str, int]:
     rate = y.mean()
     names = []
     for name, t in counts[1].items():
-        chance = (t + counts[0][name]) * rate
-        if t > chance and t * np.log(t / chance) - (t - chance) >= deviance:
+        n = t + counts[0][name]
+        if t > n * rate and t * np.log(t / (n * rate)) + (counts[0][name] and (n - t) * np.log((n - t) / (n * (1 - rate)))) >= deviance:
             names.append(name)
     return {name: i for i, name in enumerate(sorted(names))}
 
