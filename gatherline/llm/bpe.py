@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import literal_longs
+from gatherline.llm.shared import literal_longs, slices
 
 #: The widely published split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -176,7 +176,7 @@ def _assembled(tokens: list[bytes]):
 class WordIds(dict):
     """Packed ids of words, remembered up to a bound: each distinct word is merged once."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         self.ranks, self.most = ranks, most
 
     def __missing__(self, word: str) -> bytes:
@@ -206,7 +206,7 @@ def list_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _in_tasks(ranks: dict[bytes, int], tokens: list[bytes]):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words = regex.compile(PATTERN).findall, WordIds(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             counts, packed, decoded = [], [], []
             for text in batch.column(1):
                 ids = b"".join(map(words.__getitem__, split(text.as_py() or "")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import BOUNDED_ROWS, min_labels, written
+from gatherline.llm.shared import BOUNDED_ROWS, min_labels, slices, written
 
 WORDS, PERCENT = 5, 75
 #: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7.
@@ -86,7 +86,7 @@ def sketch_of(values: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         sizes, prints, bands, sketches = [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), hashes)
@@ -115,7 +115,7 @@ def _compare(percent: int):
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at, left = WordHashes(), None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             keep, linked, shared, extra, maps = [], [], [], [], []
             for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 own = shingle_set(text.as_py(), hashes)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatherline.llm.shared import slices
 
 #: Labelled documents of each class that training reads at most, chosen by hash; all others are only scored.
 TRAIN_PER_CLASS = 4000
@@ -174,7 +175,7 @@ SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float
 def _scorer(model: dict[str, float], text_at: int, below: float | None):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, bias = _Scores(model), model[""]
-        for batch in batches:
+        for batch in slices(batches):
             at, spans = [], []
             for text in batch.column(text_at):
                 text = text.as_py() or ""
