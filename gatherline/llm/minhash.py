@@ -16,8 +16,6 @@ WORDS, PERCENT = 5, 75
 #: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-#: Bits of a sketch agree with probability (1 + J) / 2: at J = 0.75 140 of 160 are expected, 116 is 5.7 deviations less.
-SKETCH_AGREE = 116
 
 _U = np.uint64
 _STEP, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -79,31 +77,23 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch_of(values: np.ndarray) -> np.ndarray:
-    bits = np.packbits(((values * _MIX2) >> _U(63)).astype(np.uint8))
-    return np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64)
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
-        sizes, prints, bands, sketches = [], [], [], []
+        sizes, prints, bands = [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), hashes)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-            values = bins_of(s) if len(s) else None
-            bands.append(band_keys(values) if len(s) else [])
-            sketches.append(sketch_of(values) if len(s) else [])
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], names=["doc_id", "n_shingles", "print", "bands", "sketch"])
+            bands.append(band_keys(bins_of(s)) if len(s) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, print, bands, sketch`` of every row: set size, the set's digest, band keys, sketch bits."""
+    """``doc_id, n_shingles, print, bands`` of every row: set size, the set's digest, band keys."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, print binary, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, print binary, bands array<bigint>")
 
 
 #: Bits of the map of a text's shingles that its center lacks.
@@ -177,13 +167,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Equal sets collapse to one representative. 2. Representatives meet in band buckets; each bucket gives star
     edges from the member that shares most buckets, so candidates never outnumber bucket rows. 3. Edges are confirmed on full sets
     and components formed. 4. Where a bucket of three or more still spans components, the members outside its
-    largest component meet the others of the bucket. Sizes, sketches and what both share with the bucket's center
-    bound the pair's similarity; pairs that may link are confirmed too: none that shares a bucket is left out.
+    largest component meet the others of the bucket. Sizes and what both share with the bucket's center bound
+    the pair's similarity exactly; pairs that may link are confirmed too: none that shares a bucket is left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs), "minhash-signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(able.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
+    reps = written(able.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")), "minhash-reps")
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     rows = written(rows.join(shared, "key"), "minhash-rows")
@@ -202,15 +192,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", "m.main")
     measured = known.select(F.col("a").alias("center"), F.col("b").alias("rep"), "shared", "extra", "rest")
-    open_rows = held.where("rep <> center").join(main, "key").join(reps.select("rep", "sketch"), "rep").join(measured, ["center", "rep"])
-    open_rows = written(open_rows.select("key", "rep", "n", "component", "main", "sketch", "shared", "extra", "rest"), "minhash-open")
+    open_rows = held.where("rep <> center").join(main, "key").join(measured, ["center", "rep"])
+    open_rows = written(open_rows.select("key", "rep", "n", "component", "main", "shared", "extra", "rest"), "minhash-open")
     x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
-    differ = sum((F.bit_count(F.element_at("x.sketch", i).bitwiseXOR(F.element_at("y.sketch", i))) for i in range(1, (BINS + 63) // 64 + 1)), F.lit(0))
     common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
     # at most so many shingles are in both: those that both share with their center, and those outside it
     most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (F.lit(BINS) - differ >= SKETCH_AGREE) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
     second = x.join(y, (F.col("x.key") == F.col("y.key")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(second.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")

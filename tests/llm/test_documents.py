@@ -89,6 +89,19 @@ def test_near_groups(spark, docs, empty):
     assert minhash.drop_near_copies(clashing(table)).columns == clashing(table).columns
 
 
+def test_near_groups_of_short_texts(spark):
+    # parts of 15 words, 7 at least; in these families half the bits of two linked texts' bins differ, and no star joins them
+    cuts = (((0, 7), (0, 8), (0, 10), (1, 11), (0, 12), (2, 11), (0, 15)), ((0, 7), (0, 8), (0, 10), (0, 12), (0, 15)), ((2, 9), (2, 10), (0, 10), (2, 12), (0, 12), (0, 14)))
+    rows, want = [], set()
+    for f in (2991, 3978, 4965, 8274, 9381, 16586, 18027, 21993, 23598, 24313, 24513, 25563, 29502, 30438, 33159, 34263, *range(100, 160)):
+        w = [f"f{f}x{i}" for i in range(15)]
+        family = [(10 * f + i, " ".join(w[a:b])) for i, (a, b) in enumerate(cuts[f % 3])]
+        rows += family
+        want |= near_brute(family)
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {tuple(r) for r in minhash.near_groups(table).collect()} == want
+
+
 def test_mix(spark, docs, empty):
     out = mixing.mix(clashing(docs)).collect()
     sizes = {(r.doc_id, r.source): len((r.text or "").split()) for r in docs.collect()}
