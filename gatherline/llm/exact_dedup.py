@@ -90,13 +90,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; repeated rows of one doc_id and text stay once, texts untouched."""
+    """The rows of ``docs`` that stay, texts untouched; repeated rows of the doc_id that stays all stay (see ``one_of_each``)."""
     kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     keep = kept.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]) & (digest == keep["_sha"]), "left_semi")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each doc_id and text (null as empty), all columns as they were.
+
+    Rows that nothing repeats pass through. Of repeated rows the least by all columns as JSON stays; they are merged
+    before the exchange, so a row with very many repeats costs one row a map task.
+    """
+    named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)).alias("sha"))
+    counts = named.groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+    repeated = written(counts, "dedup-repeated")
+    if repeated.isEmpty():
+        return docs
+    same = named["id"].eqNullSafe(repeated["_id"]) & (named["sha"] == repeated["_sha"])
+    least = named.join(repeated, same, "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return named.join(repeated, same, "left_anti").select("row.*").unionByName(least.select("row.*"))
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatherline.llm.exact_dedup import one_of_each
 from gatherline.llm.shared import BOUNDED_ROWS, min_labels, slices, written
 
 WORDS, PERCENT = 5, 75
@@ -180,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the original of a group meets more documents than its variants do, so it makes the best center
     met = rows.groupBy("rep").agg(F.sum("members").alias("met"))
     rows = rows.join(met, "rep")
-    stars = rows.groupBy("key").agg(F.max(F.struct("met", F.negative("rep").alias("r"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
+    stars = rows.groupBy("key").agg(F.min(F.struct(F.negative("met").alias("m"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
     members = written(rows.drop("met").join(stars, "key"), "minhash-members")
     first = written(members.where(F.col("rep") != F.col("center")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     known = compared(docs, first, percent)
@@ -216,7 +217,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; columns and texts as they were."""
+    """``docs`` with one document of each near-duplicate group; columns and texts as they were.
+
+    A document is a doc_id and its text: where ids repeat, each of their texts stays or goes by itself, the smallest
+    id's (of its texts the least digest) staying, and rows that repeat both stay once.
+    """
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        docs = one_of_each(docs)
+        key = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"].alias("id"), F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)).alias("sha")))
+        kept = near_groups(docs.select(key.alias("doc_id"), docs["text"].alias("text")), percent=percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+        return docs.join(kept, key.eqNullSafe(F.col("_keep")), "left_semi")
     kept = near_groups(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
 

@@ -78,3 +78,15 @@ def test_stages(spark, tmp_path):
         want[r.doc_id, len(t), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in t)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert Counter(map(tuple, ids)) == want
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+
+
+def test_repeated_rows_and_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(2) + " more"), (3, text(3)), (3, text(4)), (4, text(3) + " more"), (5, None), (5, ""), (None, text(6)), (None, text(6)), (7, text(7) + " more"), (7, text(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    once = corpus_pipeline.exact(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text or "") for r in once) == Counter({(i, t or "") for i, t in rows})
+    apart = corpus_pipeline.near(spark, docs, str(tmp_path)).collect()
+    got = Counter((r.doc_id, r.text or "") for r in apart if r.doc_id not in (None, 7))
+    assert got == Counter([(1, text(1)), (1, text(2)), (3, text(3)), (3, text(4)), (5, "")])
+    assert sum(r.doc_id is None for r in apart) == 1 and sum(r.doc_id == 7 for r in apart) == 1
