@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import written
+from gatherline.llm.shared import literal_longs, written
 
 K, BRANCH = 20, 16
 #: The tree is fitted on so many vectors at most, and calibrated with so many queries, both chosen by hashed id.
@@ -21,6 +21,8 @@ LEAF_ROWS, MAX_LEAVES = 200, 4096
 TARGET_RECALL = 0.97
 #: Leaves are dealt to search groups of about so many vectors; a leaf with more is cut into several.
 GROUP_ROWS, LEAST_GROUPS = 20_000, 16
+#: A search group that more queries visit is searched in several blocks of about so many.
+BLOCK_QUERIES = 20_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -83,17 +85,21 @@ class Tree:
             moving = moving[[bool(self.children[n]) for n in at[moving]]]
         return np.array(self.leaf)[at]
 
-    def order(self, q: np.ndarray, most: int | None = None) -> list[int]:
-        """Leaves best bin first: a queue of nodes by distance to their centers, opened from the root."""
+    def order(self, q: np.ndarray, most: int | None = None, rows: list[int] | None = None, enough: int = 0) -> list[int]:
+        """Leaves best bin first: a queue of nodes by distance to their centers, opened from the root.
+
+        Ends after ``most`` leaves, but not before these hold ``enough`` by ``rows``, the rows of each leaf.
+        """
         gap = ((self.centers - q) ** 2).sum(1)
-        queue, out = [(gap[0], 0)], []
-        while queue and (most is None or len(out) < most):
+        queue, out, held = [(gap[0], 0)], [], 0
+        while queue and (most is None or len(out) < most or held < enough):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for c in self.children[node]:
                     heapq.heappush(queue, (gap[c], c))
             else:
                 out.append(self.leaf[node])
+                held += rows[self.leaf[node]] if rows else 0
         return out
 
 
@@ -184,6 +190,8 @@ class Index:
         self.rows = written(rows.mapInArrow(leaves, "vec_id bigint, v array<double>, leaf int"), "ann-leaves")
         self.groups = max(LEAST_GROUPS, -(-self.n // group_rows))
         counts = {r["leaf"]: r["n"] for r in self.rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # MAX_LEAVES rows at most
+        self.held = [counts.get(i, 0) for i in range(self.tree.leaves)] if self.n else []
+        self.block_queries = BLOCK_QUERIES
         self.cuts = [max(1, -(-counts.get(i, 0) // group_rows)) for i in range(max(counts, default=-1) + 1)]
         self.spark = spark
 
@@ -191,29 +199,37 @@ class Index:
         cuts = F.element_at(F.lit(self.cuts or [1]), F.col("leaf") + 1)
         return self.rows.withColumn("group", F.pmod(F.col("leaf") + F.pmod(F.xxhash64("vec_id"), cuts), F.lit(self.groups)).cast("int"))
 
-    def visiting(self, queries: DataFrame, visits: int | None) -> DataFrame:
-        """``group, query_id, v, leaves``: each query once for every group that holds a leaf it visits."""
-        tree, top, cuts, groups = self.tree, self.top, self.cuts, self.groups
+    def visiting(self, queries: DataFrame, visits: int | None, k: int) -> DataFrame:
+        """``group, query_id, leaves``: each query once for every group that holds a leaf it visits.
+
+        Visits go on until the leaves hold ``k`` rows besides the query's own.
+        """
+        tree, cuts, groups, held = self.tree, self.cuts, self.groups, self.held
 
         def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at, group, leaves = [], [], []
                 for i, q in enumerate(_matrix(b.column("v")) if b.num_rows else []):
                     by_group: dict[int, list[int]] = {}
-                    for leaf in tree.order(np.append(q, 0.0), visits):
+                    for leaf in tree.order(np.append(q, 0.0), visits, held, k + 1):
                         for c in range(min(cuts[leaf] if leaf < len(cuts) else 1, groups)):
                             by_group.setdefault((leaf + c) % groups, []).append(leaf)
                     at += [i] * len(by_group)
                     group += by_group.keys()
                     leaves += by_group.values()
                 rows = b.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), rows.column("vec_id"), rows.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["group", "query_id", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), rows.column("vec_id"), pa.array(leaves, pa.list_(pa.int32()))], names=["group", "query_id", "leaves"])
 
-        return queries.select("vec_id", "v").mapInArrow(out, "group int, query_id bigint, v array<double>, leaves array<int>")
+        return queries.select("vec_id", "v").mapInArrow(out, "group int, query_id bigint, leaves array<int>")
 
     def scan(self, queries: DataFrame, visits: int | None, k: int) -> DataFrame:
         """``query_id, vec_id, score, rank`` of the k best in the visited leaves, the query's own row left out."""
-        found = self.visiting(queries, visits).groupBy("group").cogroup(self.placed().groupBy("group")).applyInPandas(_searched(k), FOUND)
+        visiting = written(self.visiting(queries, visits, k), "ann-visits")
+        counts = {r["group"]: r["n"] for r in visiting.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row for GROUP_ROWS vectors
+        blocks = F.element_at(literal_longs([max(1, -(-counts.get(i, 0) // self.block_queries)) for i in range(self.groups)]), F.col("group") + 1)
+        asked = visiting.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("v")), "query_id")
+        dealt = self.placed().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        found = asked.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInPandas(_searched(k), FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 

@@ -93,3 +93,13 @@ def test_nearest(spark, n):
         assert all(r.score == s[r.vec_id] for r in got) and [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
         hits, total = hits + len({r.vec_id for r in got} & set(best)), total + len(best)
     assert hits >= 0.9 * total
+
+
+def test_nearest_visits_until_enough_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.tile(rng.normal(size=(1, 8)), (200, 1)), rng.normal(size=(200, 8)) * 5])  # half are copies, leaves hold few of the others
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(table, leaf_rows=4)
+    index.block_queries = 7
+    found = index.scan(index.rows.where("vec_id % 20 = 0"), 1, 20).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("m")).collect()
+    assert {(r.query_id, r.n, r.m) for r in found} == {(i, 20, 20) for i in range(0, 400, 20)}
