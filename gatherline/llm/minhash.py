@@ -14,7 +14,7 @@ from gatherline.llm.exact_dedup import one_of_each
 from gatherline.llm.shared import BOUNDED_ROWS, min_labels, slices, written
 
 WORDS, PERCENT = 5, 75
-#: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7.
+#: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7 if the sets are large; few values fill all bins of a small set and are not independent.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 
