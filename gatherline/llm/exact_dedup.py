@@ -3,89 +3,157 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import literal_longs, shared_folder, written
+from gatherline.llm.shared import shared_folder, written
 
-#: The directory never doubles beyond this many bits of the key (65,536 slots).
-MAX_DEPTH = 16
-#: Rows that a bucket holds before it splits.
-BUCKET_ROWS = 50_000
+#: Distinct keys that a bucket holds before it splits; with more than MOST_BUCKETS such buckets, buckets grow instead.
+BUCKET_KEYS, MOST_BUCKETS = 50_000, 1 << 14
+#: Bits of the key that one pass over the keys looks ahead, and all bits there are.
+STEP_BITS, KEY_BITS = 14, 64
+#: Words of 64 bits in the sketch of keys that several rows share.
+SKETCH_WORDS = 1 << 20
+#: Copies of one text are merged in so many places before its owner merges those.
+SALTS = 64
+#: Entries with at least this share of all rows are looked up by broadcast; there are HOT_SHARE of them at most.
+HOT_SHARE = 1000
 
 
-def directory(counts: dict[int, int], bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
-    """Global depth and bucket number of each directory slot.
+def split(root: tuple[int, int], counts: dict[int, int], bits: int, room: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The buckets ``(prefix, local depth)`` under ``root``, and those among them that must be split beyond ``bits``.
 
-    ``counts``: rows by the key's first ``max_depth`` bits. Starts with one bucket; a bucket with more than
-    ``bucket_rows`` rows splits by the next bit, and the directory doubles when that bit is new to it. A bucket
-    that can't split further (copies of one key) keeps its rows: they chain there.
+    ``counts``: distinct keys by their first ``bits`` bits. A bucket with more than ``room`` keys splits by its next bit.
     """
-    leaves, depth, todo = [], 0, [(0, 0, counts)]
+    done, more, todo = [], [], [(root, {p: n for p, n in counts.items() if p >> (bits - root[1]) == root[0]})]
     while todo:
-        prefix, local, held = todo.pop()
-        if sum(held.values()) > bucket_rows and local < max_depth:
-            shift = max_depth - local - 1
-            for bit in (1, 0):
-                todo.append((prefix << 1 | bit, local + 1, {k: n for k, n in held.items() if (k >> shift) & 1 == bit}))
-            depth = max(depth, local + 1)
+        (prefix, local), held = todo.pop()
+        if sum(held.values()) <= room:
+            done.append((prefix, local))
+        elif local == bits:
+            more.append((prefix, local))
         else:
-            leaves.append((prefix, local))
-    slots = [0] * (1 << depth)
-    for bucket, (prefix, local) in enumerate(sorted(leaves, key=lambda x: x[0] << (max_depth - x[1]))):
-        first = prefix << (depth - local)
-        for slot in range(first, first + (1 << (depth - local))):
-            slots[slot] = bucket
-    return depth, slots
+            shift = bits - local - 1
+            todo += [((prefix << 1 | bit, local + 1), {p: n for p, n in held.items() if (p >> shift) & 1 == bit}) for bit in (0, 1)]
+    return done, more
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``(keys, entries)``, both written to the shared folder.
+def first_bits(bits: int) -> Column:
+    return F.shiftrightunsigned("key", KEY_BITS - bits) if bits else F.lit(0).cast("bigint")
 
-    ``keys``: a narrow row for each document ``(doc_id, key, sha)``. ``entries``: a row for each distinct text
-    ``(bucket, key, chain, chain_length, keep_id, group_size, sha)``; texts that collide on ``key`` chain, told
-    apart by their bytes. ``key_bits`` under 64 is for tests of collisions.
 
-    The bucket of each row follows from its key; owners (the tasks of the second exchange) get whole buckets'
-    texts and compare bytes by grouping on the text itself. Copies are merged before the exchange, so a text
-    with a third of all rows reaches its owner once for each map task.
+def grown(keys: DataFrame, room: int) -> list[tuple[int, int]]:
+    """The buckets of distinct ``keys``: looks STEP_BITS ahead at a time, and further only into overfull buckets.
+
+    A pass brings back 2**STEP_BITS counts for each overfull bucket of the pass before, which hold ``room`` keys each.
+    There is no limit of depth but the key's bits, at which a bucket has one key.
+    """
+    spark, leaves, open_ones, depth = keys.sparkSession, [], [(0, 0)], 0
+    while open_ones:
+        bits = min(depth + STEP_BITS, KEY_BITS)
+        inside = keys
+        if depth:
+            inside = keys.join(F.broadcast(spark.createDataFrame([(p,) for p, _ in open_ones], "_open bigint")), first_bits(depth) == F.col("_open"), "left_semi")
+        counts = {r["p"]: r["n"] for r in inside.groupBy(first_bits(bits).alias("p")).agg(F.count("*").alias("n")).collect()}
+        parts = [split(root, counts, bits, room if bits < KEY_BITS else max(room, 1)) for root in open_ones]
+        leaves += [leaf for done, _ in parts for leaf in done]
+        open_ones, depth = [leaf for _, more in parts for leaf in more], bits
+    return sorted(leaves, key=lambda x: x[0] << (KEY_BITS - x[1]))
+
+
+@dataclass
+class Index:
+    """Where the index's files lie, its depth, and the key of each row ``(doc_id, key, sha)``."""
+
+    root: str
+    depth: int
+    rows: int
+    keys: DataFrame
+
+    def _read(self, name: str) -> DataFrame:
+        return self.keys.sparkSession.read.parquet(f"{self.root}/{name}")
+
+    @property
+    def directory(self) -> DataFrame:
+        """``slot, bucket`` of each of the 2**depth slots."""
+        return self._read("directory")
+
+    @property
+    def entries(self) -> DataFrame:
+        """A row for each distinct text: ``bucket, key, chain, chain_length, keep_id, group_size``, and ``body`` in chains."""
+        return self._read("entries")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket that the directory names for their key's first bits."""
+        return rows.withColumn("slot", first_bits(self.depth)).join(self.directory, "slot").drop("slot")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.xxhash64(body)
+    return docs.select(F.col(id_col).alias("doc_id"), F.shiftleft(F.shiftright(key, 64 - key_bits), 64 - key_bits).alias("key") if key_bits < 64 else key.alias("key"), body.alias("body"))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64) -> Index:
+    """The index of all rows, on files of the shared folder. ``key_bits`` under 64 is for tests of collisions.
+
+    1. Keys are counted; buckets split until they hold few enough distinct keys, and the directory gives each slot its
+    bucket: a range of keys. 2. A key of one row gets its entry as it is. Texts whose key several rows have move to the
+    bucket's owner task: a sketch of those keys, of SKETCH_WORDS words at most, holds back nearly all others. Copies
+    merge in map tasks and in SALTS places, so a text with a third of all rows reaches its owner in SALTS rows at most.
+    3. Owners have whole buckets. They compare bytes by grouping on the text itself; different texts of one key chain.
+    4. Entries are written in a folder for each bucket.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.shiftright(F.xxhash64(text), 64 - key_bits) if key_bits < 64 else F.xxhash64(text)
-    keys = written(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.unhex(F.sha2(text, 256)).alias("sha")), "dedup-keys")
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    counts = {r["p"]: r["n"] for r in keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # 65,536 rows at most
-    depth, slots = directory(counts, bucket_rows)
-    slot = F.shiftrightunsigned("key", 64 - depth).cast("int") + 1 if depth else F.lit(1)
-    owned = (
-        docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("body"))
-        .groupBy(F.element_at(literal_longs(slots), slot).cast("int").alias("bucket"), "key", "body")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("bucket", "key", "keep_id", "group_size", F.unhex(F.sha2("body", 256)).alias("sha"))
-    )
-    root = f"{shared_folder(docs.sparkSession)}/gatherline/dedup-index-{uuid.uuid4().hex}"
-    flat = written(owned, "dedup-index", f"{root}/entries")
-    docs.sparkSession.createDataFrame([(i, b) for i, b in enumerate(slots)], "slot int, bucket int").coalesce(1).write.parquet(f"{root}/directory")
-    lengths = flat.groupBy("key").agg(F.count("*").alias("chain_length")).where("chain_length > 1")
-    return keys, flat.join(lengths, "key", "left").withColumn("chain_length", F.coalesce("chain_length", F.lit(1)))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, key_bits: int = 64) -> DataFrame:
+    spark, root = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/gatherline/dedup-index-{uuid.uuid4().hex}"
+    texts = keyed(docs, id_col, text_col, key_bits)
+    keys = written(texts.select("doc_id", "key", F.unhex(F.sha2("body", 256)).alias("sha")), "dedup-keys", f"{root}/keys")
+    counts = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")), "dedup-counts", f"{root}/counts")
+    size = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    leaves = grown(counts, max(bucket_keys, size["keys"] // MOST_BUCKETS))
+    depth = max(local for _, local in leaves)
+    ranges = spark.createDataFrame([(i, p << (depth - local), 1 << (depth - local)) for i, (p, local) in enumerate(leaves)], "bucket int, first bigint, slots bigint")
+    ranges.select(F.explode(F.expr("sequence(first, first + slots - 1)")).alias("slot"), "bucket").write.parquet(f"{root}/directory")
+    index = Index(root, depth, size["rows"], keys)
+
+    single = index.placed(counts.where("n = 1")).select("bucket", "key", F.lit(1).alias("chain"), F.lit(1).cast("bigint").alias("chain_length"), "keep_id", F.col("n").alias("group_size"), F.lit(None).cast("string").alias("body"))
+    word, bit = F.pmod("key", F.lit(SKETCH_WORDS)).cast("int"), F.shiftrightunsigned("key", 58).cast("int")
+    bits = counts.where("n > 1").groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(key, 58) AS INT))")).alias("bits"))
+    asked = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
+    some = index.placed(asked).groupBy("bucket", "key", "body", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    owned = some.repartition("bucket").groupBy("bucket", "key", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    chain = Window.partitionBy("bucket", "key")
+    owned = owned.withColumns({"chain_length": F.count("*").over(chain), "held": F.sum("group_size").over(chain), "chain": F.row_number().over(chain.orderBy("body"))})
+    owned = owned.where("held > 1").select("bucket", "key", "chain", "chain_length", "keep_id", "group_size", F.when(F.col("chain_length") > 1, F.col("body")).alias("body"))
+    single.repartition("bucket").unionByName(owned).write.partitionBy("bucket").parquet(f"{root}/entries")
+    return index
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Texts are equal when their bytes are; a null text counts as empty. The largest ``doc_id`` of equal texts stays
-    (null ids lose; a group of null ids keeps them). Rows that repeat a doc_id and its text are all marked alike.
-    An empty table gives no rows. Other columns are not read. Chained keys (different texts, one key) are resolved
-    by a second look at the text's digest within the chain; for all other keys the key alone finds the entry.
+    Texts of any length are equal when their bytes are; a null text counts as empty. The largest ``doc_id`` of equal
+    texts stays (null ids lose; a group of null ids keeps them). Rows that repeat a doc_id and its text are all marked
+    alike. An empty table gives no rows. Other columns are not read.
+
+    Each row finds its bucket by the directory and its entry by its key in that bucket. Entries with a thousandth of
+    all rows, a thousand at most, are broadcast, so their rows stay where they are. Rows of a key that chains bring
+    their text and are compared with the chain's by their bytes.
     """
-    keys, entries = build_index(docs, id_col, text_col, bucket_rows, key_bits)
-    single = entries.where("chain_length = 1").select("key", "keep_id", "group_size")
-    if entries.where("chain_length > 1").isEmpty():
-        found = keys.join(single, "key")
-    else:
-        chained = entries.where("chain_length > 1").select("key", "sha", "keep_id", "group_size")
-        found = keys.join(single, "key").unionByName(keys.join(chained, ["key", "sha"]))
+    index = build_index(docs, id_col, text_col, bucket_keys, key_bits)
+    if not index.rows:
+        return index.keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    rows, whole = index.placed(index.keys), index.entries.where("chain_length = 1").select("bucket", "key", "keep_id", "group_size")
+    often = F.col("group_size") * HOT_SHARE >= index.rows
+    hot = F.broadcast(whole.where(often & (F.col("group_size") > 1)))
+    found = rows.join(hot, ["bucket", "key"]).unionByName(rows.join(hot.select("bucket", "key"), ["bucket", "key"], "left_anti").join(whole.where(~(often & (F.col("group_size") > 1))), ["bucket", "key"]))
+    found = found.select("doc_id", "keep_id", "group_size", "sha")
+    chained = index.entries.where("chain_length > 1")
+    if not chained.isEmpty():
+        own = keyed(docs, id_col, text_col, key_bits).join(chained.select("key").distinct(), "key", "left_semi")
+        by_bytes = index.placed(own).join(chained.select("bucket", "key", "body", "keep_id", "group_size"), ["bucket", "key", "body"])
+        found = found.unionByName(by_bytes.select("doc_id", "keep_id", "group_size", F.unhex(F.sha2("body", 256)).alias("sha")))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -35,8 +35,8 @@ def clashing(docs):
 
 
 def test_exact_groups(docs, empty):
-    for bits, rows in ((64, 50_000), (2, 3)):  # two bits: nearly all keys collide and chain
-        out = exact_dedup.exact_groups(clashing(docs), bucket_rows=rows, key_bits=bits).collect()
+    for bits, rows in ((64, 50_000), (64, 1), (2, 3), (1, 1)):  # one or two bits: nearly all keys collide and chain
+        out = exact_dedup.exact_groups(clashing(docs), bucket_keys=rows, key_bits=bits).collect()
         groups = defaultdict(list)
         for r in docs.collect():
             groups[r.text or ""].append(r.doc_id)
@@ -49,12 +49,31 @@ def test_exact_groups(docs, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 12]
 
 
-def test_directory_doubles_and_splits():
-    depth, slots = exact_dedup.directory({0: 10, 1: 10, 8: 1}, bucket_rows=10, max_depth=4)
-    assert depth == 4 and len(slots) == 16
-    assert slots[0] != slots[1] and len(set(slots[8:])) == 1
-    assert exact_dedup.directory({}, 10, 4) == (0, [0])
-    assert exact_dedup.directory({3: 99}, 10, 4)[0] == 4  # one key: it can't be split further and chains
+def test_directory_doubles_and_splits(spark):
+    keys = lambda *k: spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in k], "key long")
+    assert exact_dedup.grown(keys(), 10) == [(0, 0)]
+    top = [i << 60 for i in (0, 0b0001, 0b0010, 0b1000)]
+    assert exact_dedup.grown(keys(*top), 2) == [(0b000, 3), (0b001, 3), (0b01, 2), (0b1, 1)]
+    near = exact_dedup.grown(keys(5 << 60, (5 << 60) + 1, 1 << 63), 1)  # two keys that differ in the last bit alone: split at full depth
+    assert max(local for _, local in near) == 64 and sum(2.0**-local for _, local in near) == 1
+
+
+def test_index_answers_through_its_directory_and_owners(spark, docs):
+    more = spark.range(5000).selectExpr("id + 100 AS doc_id", "if(id < 2500, 'hot', concat('t', cast(id div 2 AS string))) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    table = docs.unionByName(more)
+    index = exact_dedup.build_index(table, bucket_keys=200)
+    slots, entries = index.directory.collect(), index.entries.collect()
+    assert sorted(r.slot for r in slots) == list(range(1 << index.depth)) and index.depth >= 3
+    bucket = {r.slot: r.bucket for r in slots}
+    assert all(bucket[(r.key % (1 << 64)) >> (64 - index.depth)] == r.bucket for r in entries)
+    assert max(Counter(r.bucket for r in entries).values()) <= 200
+    groups = Counter(r.text or "" for r in table.collect())
+    assert Counter(r.group_size for r in entries) == Counter(groups.values())
+    out = {r.doc_id: r for r in exact_dedup.exact_groups(table, bucket_keys=200).collect()}
+    assert out[150].group_size == 2500 and out[150].keep_id == 2599 and out[5099].kept and out[5098].keep_id == 5099
+    empty = spark.createDataFrame([], "slot long, bucket int")
+    index._read = lambda name: empty  # without its directory no row finds a bucket
+    assert index.placed(index.keys).count() == 0
 
 
 def shingles(text):
