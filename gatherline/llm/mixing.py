@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from gatherline.llm.shared import written
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix-1"
-#: Documents in a block at first; a source has MAX_BLOCKS blocks at most, so blocks grow with very large sources.
-BLOCK_DOCS, MAX_BLOCKS = 256, 4096
+#: Shards, and blocks that each is dealt, about; a block is so many words as that makes.
+SHARDS, BLOCKS = 16, 1024
+#: Documents in a range of permuted order that is summed up by itself, and words in a written piece of a shard.
+RANGE_DOCS, PIECE_WORDS = 4096, 16_000_000
 SPACE = 1 << 60
 
 
@@ -43,21 +45,42 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     return ranked.withColumn("share", level).select("source", "docs", "source_size", F.when(F.col("is_full"), F.col("full")).otherwise(F.col("weight") * F.col("share")).alias("target"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` draws without replacement are good; for counts of any size.
+
+    Inverts the distribution from ratios of neighbouring chances, over twelve deviations and more around its mode.
+    """
+    low, high = max(0, sample - bad), min(good, sample)
+    if low == high:
+        return low
+    every = good + bad
+    mode = min(max((sample + 1) * (good + 1) // (every + 2), low), high)
+    reach = 40 + int(12 * (sample * (good / every) * (bad / every) * ((every - sample) / max(every - 1, 1))) ** 0.5)
+    first = max(low, mode - reach)
+    k = np.arange(first, min(high, mode + reach), dtype=float)
+    steps = np.log(good - k) + np.log(sample - k) - np.log(k + 1) - np.log(bad - sample + k + 1)
+    log_chance = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(log_chance - log_chance.max()))
+    return first + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
 def split_node(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Split one tree node's block quotas between its two halves of the shards."""
+    """Split one tree node's block quotas between its two halves of the shards: a multivariate hypergeometric draw."""
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
     if hi - lo == 1:
         return pdf
     pdf = pdf.sort_values("source", na_position="last", kind="stable")
-    quotas, mid = pdf["quota"].to_numpy(np.int64), (lo + hi) // 2
-    total = int(quotas.sum())
+    quotas, mid = [int(q) for q in pdf["quota"]], (lo + hi) // 2
     # each shard's room is total // shards, one more for the first total % shards
     base, more = divmod(int(pdf["all_blocks"].iloc[0]), int(pdf["shards"].iloc[0]))
     room = sum(base + (s < more) for s in range(lo, mid))
-    seed = np.random.default_rng([lo, hi, total, int(pdf["seed"].iloc[0])])
-    method = "marginals"
-    left = seed.multivariate_hypergeometric(quotas, min(room, total), method=method) if total < 1_000_000_000 else quotas * room // max(total, 1)
-    return pd.concat([pdf.assign(hi=mid, quota=left), pdf.assign(lo=mid, quota=quotas - left)])
+    rng = np.random.default_rng([lo, hi, sum(quotas), int(pdf["seed"].iloc[0])])
+    left, rest = [], sum(quotas)
+    for quota in quotas:
+        rest -= quota
+        left.append(hypergeometric(rng, quota, rest, room))
+        room -= left[-1]
+    return pd.concat([pdf.assign(hi=mid, quota=left), pdf.assign(lo=mid, quota=[q - x for q, x in zip(quotas, left, strict=True)])])
 
 
 def shard_bounds(quotas: DataFrame, shards: int, seed: int = 1) -> DataFrame:
@@ -75,33 +98,30 @@ def shard_bounds(quotas: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     return node.select("source", "lo", ends.alias("end")).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "end"))), lambda x: x["end"]).alias("bounds"))
 
 
-def mix_plan(docs: DataFrame, shards: int = 16, weights=WEIGHTS, cap: float = CAP, seed: str = SEED, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
-    """``(sizes, plan)``: a narrow row for each document, and a row for each source.
+def mix_plan(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """``(sizes, plan)``, written: a narrow row for each document, and a row for each source.
 
-    The plan has the target, the whole passes over the source, the cut-off in permuted order of the last pass and
-    the shards' bounds. Blocks are equal ranges of the permuted order; only the block in which the target is met is
-    looked into, so no window spans a source.
+    A source's documents in permuted order, pass behind pass, are a line of words; its target is the part to draw, cut
+    into ``quota`` blocks of equal length, about BLOCKS for each shard in all. The tree deals the blocks to the shards.
     """
     sizes = written(docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), draw_key(F.col("doc_id"), seed).alias("draw")), "mix-sizes")
-    targets = source_targets(sizes, weights, cap)
-    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
-    targets = targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    targets = written(targets.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs))).cast("bigint")), "mix-targets")
-    in_block = on_source(sizes, targets.select("source", "rest", "blocks")).select("source", "size", "draw", "rest", "blocks", block_of("draw", "blocks").alias("block"))
-    by_block = in_block.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
-    ends = by_block.withColumn("end", F.sum("words").over(Window.partitionBy("source").orderBy("block")))
-    edges = ends.where("end - words < rest AND rest <= end").groupBy("source").agg(F.min(F.struct("block", "end", "words")).alias("e"))
-    edges = written(edges.select("source", F.col("e.block").alias("edge"), (F.col("e.end") - F.col("e.words")).alias("start")), "mix-edges")
-    at_edge = on_source(in_block, edges).where("block = edge").groupBy("source", "draw", "rest", "start").agg(F.sum("size").alias("size"))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("draw"))
-    last = at_edge.withColumn("run", run).where(F.col("start") + F.col("run") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max("draw").alias("last"))
-    plan = on_source(on_source(targets, edges, "left"), last, "left")
-    # with no document of the edge block taken, the cut is where that block begins
-    cut = F.when(F.col("edge").isNull(), -1).otherwise(F.coalesce("last", block_start("edge", "blocks") - 1))
-    plan = plan.select("source", "docs", "source_size", "target", "passes", "blocks", cut.alias("cut"), F.coalesce("edge", F.lit(-1)).alias("edge"))
-    plan = plan.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("edge") + 1)
-    bounds = shard_bounds(plan.select("source", "quota"), shards)
-    return sizes, written(on_source(plan, bounds, "left").drop("edge", "quota"), "mix-plan")
+    targets = source_targets(sizes, weights, cap).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_DOCS)).cast("bigint"))
+    block = F.sum("target").over(Window.partitionBy()) / (shards * BLOCKS)
+    targets = written(targets.withColumn("quota", F.when(F.col("target") > 0, F.ceil(F.col("target") / block)).otherwise(0).cast("bigint")), "mix-targets")
+    return sizes, written(on_source(targets, shard_bounds(targets.select("source", "quota"), shards), "left"), "mix-plan")
+
+
+def places(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``doc_id, source, size, draw, middle``: the words of its source before a document's middle, in permuted order.
+
+    Two levels: ranges of the order are summed up, and words run inside a range only, so no window spans a source.
+    """
+    ranged = on_source(sizes, plan.select("source", "ranges")).withColumn("range", range_of("draw", "ranges")).drop("ranges")
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("source", "range").agg(F.sum("size").alias("words")).select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("draw"))
+    out = ranged.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
+    return out.select("doc_id", "source", "size", "draw", (F.col("start") + inside - F.col("size") / 2).alias("middle"))
 
 
 def on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -109,50 +129,65 @@ def on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
 
-def block_of(draw: str, blocks: str) -> Column:
-    """The block of a place in permuted order: blocks are equal ranges of it."""
-    return F.expr(f"CAST({draw} DIV (CAST({SPACE} AS BIGINT) DIV {blocks} + 1) AS BIGINT)")
+def range_of(draw: str, ranges: str) -> Column:
+    """The range of a place in permuted order: ranges are equal parts of it."""
+    return F.expr(f"CAST({draw} DIV (CAST({SPACE} AS BIGINT) DIV {ranges} + 1) AS BIGINT)")
 
 
-def block_start(block: str, blocks: str) -> Column:
-    return F.expr(f"{block} * (CAST({SPACE} AS BIGINT) DIV {blocks} + 1)")
+def dealt(places: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+    """``places`` plus ``source_size, target, placed``: ``(copy, shard, order_key)`` for each block that a copy is in.
 
+    A copy belongs to the block that holds its middle, and goes where the tree dealt that block; blocks behind the
+    quota are nobody's. Sorting a shard by ``order_key`` shuffles it.
+    """
+    out = on_source(places, plan.select("source", "source_size", "target", "quota", "bounds"))
+    line = lambda e: e * F.col("source_size") + F.col("middle")
+    block = lambda e: F.floor(line(e) * F.col("quota") / F.col("target"))
+    shard = lambda e: F.size(F.filter("bounds", lambda end: end <= block(e)))
+    each = lambda e: F.struct(e.alias("copy"), shard(e).alias("shard"), order_key(F.col("doc_id"), e, seed).alias("order_key"))
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.col("source_size")) - 1, F.lit(0)).cast("int"))
+    placed = F.filter(F.transform(passes, each), lambda p: p["shard"] < F.size("bounds"))
+    return out.withColumn("placed", F.when(F.col("quota") > 0, placed).otherwise(F.array().cast(PLACED))).drop("quota", "bounds")
 
-def placements(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """``rows`` (with ``doc_id, source, size, draw``) plus ``source_size, target, copies, placed``.
 
-    ``placed`` has ``(copy, shard, order_key)`` for each copy drawn; sorting a shard by ``order_key`` shuffles it.
-    """
-    out = on_source(rows, plan.select("source", "source_size", "target", "passes", "blocks", "cut", "bounds"))
-    copies = (F.col("passes") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)).cast("int")
-    out = out.withColumn("copies", copies).withColumn("block", block_of("draw", "blocks"))
-    shard = lambda e: F.size(F.filter(F.coalesce(F.col("bounds"), F.array().cast("array<bigint>")), lambda x: x <= e * F.col("blocks") + F.col("block")))
-    each = lambda e: F.struct(e.cast("int").alias("copy"), shard(e).alias("shard"), F.xxhash64(F.lit(seed), F.col("doc_id"), e).alias("order_key"))
-    placed = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), each)).otherwise(F.array().cast("array<struct<copy:int,shard:int,order_key:bigint>>"))
-    return out.withColumn("placed", placed).drop("passes", "blocks", "cut", "bounds", "block")
+PLACED = "array<struct<copy:int,shard:int,order_key:bigint>>"
+
+
+def order_key(doc_id: Column, copy: Column, seed: str) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, copy)
 
 
-def mix(docs: DataFrame, shards: int = 16, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """One row a document: ``doc_id, source, size, source_size, target, taken, placed``.
 
-    ``taken`` are the words that the mix takes of it, repeats counted: whole passes over its source, and one more
-    for documents up to the cut-off in permuted order, chosen so that the source's sum is nearest its target.
-    Null texts and texts without words have size 0; the null source is a source. Repeated rows share a place and
-    are taken alike. Empty tables give no rows. Other columns are not read.
+    ``taken`` are the words of the copies that the shards were dealt, whole passes over its source and one more for
+    some; a source's sum is within half a document of its target. Texts of any length count with all their words; null
+    texts and texts without words have size 0; the null source is a source. Repeated rows share a place and are taken
+    alike. Empty tables give no rows. Other columns are not read. Sources are few: each tree node has a row for each.
     """
     sizes, plan = mix_plan(docs, shards, weights, cap, seed)
-    return placements(sizes, plan, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "placed")
+    return dealt(places(sizes, plan), plan, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("placed")).alias("taken"), "placed")
 
 
-def draw_mix(docs: DataFrame, shards: int = 16, weights=WEIGHTS, cap: float = CAP, seed: str = SEED, shuffle: bool = False) -> DataFrame:
-    """The mix itself: ``docs``' rows, each as often as it is drawn, in its shards' order if ``shuffle``."""
-    _, plan = mix_plan(docs, shards, weights, cap, seed)
-    names = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), draw_key(docs["doc_id"], seed).alias("draw"))
-    out = placements(rows, plan, seed).select("_row", F.explode("placed").alias("_p"))
-    if shuffle:
-        out = out.repartition(shards, "_p.shard").sortWithinPartitions("_p.shard", "_p.order_key")
-    return out.select("_row.*")
+def draw_mix(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: ``docs``' rows, each as often as it is drawn, shard by shard, shuffled inside each shard.
+
+    Texts move once, to their shards: each source's last place in each shard, found on the narrow table, tells the
+    shard of every copy. A shard is cut into pieces of about PIECE_WORDS words, ranges of its shuffled order.
+    """
+    sizes, plan = mix_plan(docs, shards, weights, cap, seed)
+    last = dealt(places(sizes, plan), plan, seed).select("source", "draw", F.explode("placed").alias("p")).groupBy("source", "p.shard").agg(F.max(F.struct("p.copy", "draw")).alias("last"))
+    ends = written(last.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "last"))).alias("ends")), "mix-ends")
+    words = plan.agg(F.sum("target")).first()[0] or 0.0
+    pieces = max(1, int(words // (shards * PIECE_WORDS)))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), draw_key(docs["doc_id"], seed).alias("draw"))
+    rows = on_source(rows, ends)
+    beyond = lambda e: F.filter("ends", lambda end: end["last"] >= F.struct(e.alias("copy"), F.col("draw")))
+    each = lambda e: F.struct(F.get(beyond(e), F.lit(0))["shard"].alias("shard"), order_key(F.col("doc_id"), e, seed).alias("order_key"))
+    copies = F.filter(F.transform(F.sequence(F.lit(0), F.element_at("ends", -1)["last"]["copy"]), each), lambda p: p["shard"].isNotNull())
+    out = rows.select("_row", F.explode(copies).alias("_p")).select("_row", "_p.shard", "_p.order_key")
+    out = out.withColumn("piece", F.expr(f"CAST(shiftrightunsigned(order_key, 2) DIV ({1 << 62} DIV {pieces} + 1) AS INT)"))
+    return out.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "order_key").select("_row.*")
 
 
 ORACLE = """
@@ -171,12 +206,9 @@ targets AS (
   SELECT source, source_size,
          CASE WHEN is_full THEN full_at ELSE weight * (SELECT arg_min(level, full_at / weight) FROM flagged WHERE NOT is_full) END AS target
   FROM flagged),
-planned AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM targets),
 run AS (
-  SELECT s.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
-         sum(size) OVER (PARTITION BY s.source ORDER BY draw) AS upto
-  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+  SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY draw) - size / 2.0 AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * len(list_filter(range(0, 4), lambda e: e * source_size + middle < target)))::BIGINT AS taken
 FROM run
 """

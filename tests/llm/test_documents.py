@@ -135,18 +135,50 @@ def test_mix(spark, docs, empty):
         assert abs(sum(r.taken for r in g) - g[0].target) <= max(r.size for r in g) + 1e-6
         assert all(len(r.placed) * r.size == r.taken for r in g)
     assert Counter(map(str, mixing.mix(docs).collect())) == Counter(map(str, out))  # reruns agree
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.draw_mix(empty).count() == 0
     drawn = mixing.draw_mix(clashing(docs))
-    assert drawn.columns == clashing(docs).columns and drawn.count() == sum(len(r.placed) for r in out)
+    assert drawn.columns == clashing(docs).columns
+    assert Counter(r.doc_id for r in drawn.collect()) == Counter({i: sum(len(r.placed) for r in out if r.doc_id == i) for i in {r.doc_id for r in out}})
+
+
+def test_mix_deals_the_trees_blocks(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * i % 50)), "en", [None, "a", "b", "b", "b"][i % 5], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix(docs, shards=5).collect()
+    words = Counter()
+    for r in out:
+        for p in r.placed:
+            words[p.shard] += r.size
+    assert set(words) == set(range(5)) and max(words.values()) - min(words.values()) <= 600  # even to about a document a source and end
+    placed = {(r.doc_id, p.shard, p.order_key) for r in out for p in r.placed}
+    drawn = [r.doc_id for r in mixing.draw_mix(docs, shards=5).collect()]
+    assert Counter(drawn) == Counter(r.doc_id for r in out for _ in r.placed)
+    # a shard's rows stand in shuffled order: ids rise as often as they fall
+    assert 0.45 < sum(a < b for a, b in zip(drawn, drawn[1:], strict=False)) / len(drawn) < 0.55
 
 
 def test_mix_tree_gives_exact_quotas(spark):
-    quotas = spark.createDataFrame([("a", 1000), ("b", 37), (None, 0), ("c", 3)], "source string, quota long")
-    bounds = {r.source: r.bounds for r in mixing.shard_bounds(quotas, 5).collect()}
-    assert {k: v[-1] for k, v in bounds.items()} == {"a": 1000, "b": 37, None: 0, "c": 3}
-    assert all(v == sorted(v) and len(v) == 5 for v in bounds.values())
-    each = [[v[0], *(y - x for x, y in zip(v, v[1:], strict=False))] for v in bounds.values()]
-    assert [sum(x) for x in zip(*each, strict=True)] == [208] * 5
+    for scale in (1, 10**9):
+        quotas = spark.createDataFrame([("a", 1000 * scale), ("b", 37 * scale), (None, 0), ("c", 3 * scale)], "source string, quota long")
+        bounds = {r.source: r.bounds for r in mixing.shard_bounds(quotas, 5).collect()}
+        assert {k: v[-1] for k, v in bounds.items()} == {"a": 1000 * scale, "b": 37 * scale, None: 0, "c": 3 * scale}
+        assert all(v == sorted(v) and len(v) == 5 for v in bounds.values())
+        each = [[v[0], *(y - x for x, y in zip(v, v[1:], strict=False))] for v in bounds.values()]
+        assert [sum(x) for x in zip(*each, strict=True)] == [208 * scale] * 5
+        assert len({y - x for x, y in zip([0, *bounds["a"]], bounds["a"], strict=False)}) > 1  # drawn, not shared out
+
+
+def test_hypergeometric_draws():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for good, bad, sample in ((5, 7, 4), (300, 20, 50), (3, 10**10, 10**9)):
+        got = [mixing.hypergeometric(rng, good, bad, sample) for _ in range(4000)]
+        mean = sample * good / (good + bad)
+        sd = (mean * bad / (good + bad) * (good + bad - sample) / (good + bad - 1)) ** 0.5
+        assert abs(np.mean(got) - mean) < 5 * sd / 4000**0.5 and abs(np.std(got) / sd - 1) < 0.06
+        assert min(got) >= max(0, sample - bad) and max(got) <= min(good, sample)
+    assert mixing.hypergeometric(rng, 4, 0, 3) == 3 and mixing.hypergeometric(rng, 0, 4, 3) == 0
 
 
 def test_sharded(spark, docs, empty):
