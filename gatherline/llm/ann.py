@@ -15,27 +15,31 @@ from gatherline.llm.shared import literal_longs, written
 
 K, BRANCH = 20, 16
 #: The tree is fitted on so many vectors at most, and calibrated with so many queries, both chosen by hashed id.
-FIT_ROWS, CALIBRATION_QUERIES = 20_000, 128
-#: Leaves hold about LEAF_ROWS vectors, until there are MAX_LEAVES; the tree stays under a few MB for any input.
-LEAF_ROWS, MAX_LEAVES = 200, 4096
-TARGET_RECALL = 0.97
+FIT_ROWS, CALIBRATION_QUERIES = 65_536, 128
+#: A leaf holds about LEAF_ROWS vectors; no more leaves than a quarter of FIT_ROWS, so raise that for tables over 500,000 rows.
+LEAF_ROWS = 32
+TARGET_RECALL = 0.95
 #: Leaves are dealt to search groups of about so many vectors; a leaf with more is cut into several.
 GROUP_ROWS, LEAST_GROUPS = 20_000, 16
-#: A search group that more queries visit is searched in several blocks of about so many.
-BLOCK_QUERIES = 20_000
+#: A search group is searched by so many queries at a time, and one product of matrices has so many entries at most.
+BLOCK_QUERIES, PRODUCT = 50_000, 1 << 21
+#: What double precision may be off by in a matrix product, as a share of both norms; contenders are scored again exactly.
+SLIP = 1e-9
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v``: vectors of the commonest length that are non-zero and finite; one row an id (the least vector)."""
+    """``vec_id, v``: the vectors of the commonest length that are non-zero and finite, in their own precision."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col) if kind in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(F.coalesce(finite, F.lit(False)))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(F.coalesce(finite, F.lit(False)))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    return rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    distinct = np.unique(x, axis=0)
+    some = np.unique(x[rng.choice(len(x), min(len(x), 64 * k), replace=False)], axis=0)
+    distinct = some if len(some) > 1 else np.unique(x, axis=0)
     k = min(k, len(distinct))
     centers = distinct[rng.choice(len(distinct), k, replace=False)]
     for _ in range(rounds):
@@ -85,12 +89,15 @@ class Tree:
             moving = moving[[bool(self.children[n]) for n in at[moving]]]
         return np.array(self.leaf)[at]
 
-    def order(self, q: np.ndarray, most: int | None = None, rows: list[int] | None = None, enough: int = 0) -> list[int]:
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to all centers, less the queries' own squares."""
+        return q @ self.centers.T * -2 + (self.centers**2).sum(1)
+
+    def order(self, gap: list[float], most: int | None = None, rows: list[int] | None = None, enough: int = 0) -> list[int]:
         """Leaves best bin first: a queue of nodes by distance to their centers, opened from the root.
 
         Ends after ``most`` leaves, but not before these hold ``enough`` by ``rows``, the rows of each leaf.
         """
-        gap = ((self.centers - q) ** 2).sum(1)
         queue, out, held = [(gap[0], 0)], [], 0
         while queue and (most is None or len(out) < most or held < enough):
             _, node = heapq.heappop(queue)
@@ -109,143 +116,186 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products in double precision, summed in order of the components: equal vectors give equal bits."""
-    out = np.zeros((len(q), len(x)))
+    """The inner products of rows in double precision, summed in order of the components: equal vectors give equal bits."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, d, None] * x[None, :, d]
+        out += q[:, d] * x[:, d]
     return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by score, ties to the smaller id; ``ids`` ascend."""
-    if len(scores) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= kth)
-    else:
-        at = np.arange(len(scores))
-    return at[np.argsort(-scores[at], kind="stable")][:k]
-
-
-FOUND = "query_id bigint, vec_id bigint, score double"
+class Best:
+    """The best ``k`` rows of each query so far, and all that a slip of the product may have put below them."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+        self.q, self.x, self.own, self.ids, self.k = q, x, own, ids, k
+        self.slip = SLIP * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max(initial=0.0))
+        self.floor = np.full(len(q), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def offer(self, who: np.ndarray, rows: np.ndarray) -> None:
+        """Score queries ``who`` against ``rows``, all with all; what lies under a query's floor is passed over."""
+        score = self.q[who] @ self.x[rows].T
+        i, j = np.nonzero(score >= self.floor[who][:, None])
+        other = self.own[who[i]] != self.ids[rows[j]]
+        i, j = i[other], j[other]
+        self.found.append((who[i], rows[j], score[i, j]))
+        self.held += len(i)
+        if self.held > PRODUCT:
+            self.pack()
+
+    def pack(self) -> None:
+        who, row, score = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((-score, who))
+        who, row, score = who[order], row[order], score[order]
+        first = np.searchsorted(who, np.arange(len(self.q) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.floor[full] = score[first[full] + self.k - 1] - self.slip[full]
+        keep = score >= self.floor[who]
+        self.found, self.held = [(who[keep], row[keep], score[keep])], int(keep.sum())
+
+    def exact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and exact score of the best, ties to the smaller id."""
+        self.pack()
+        who, row, _ = self.found[0]
+        score = products(self.q[who], self.x[row])
+        order = np.lexsort((self.ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        return who[keep], row[keep], score[keep]
+
+
+FOUND = "query bigint, query_id bigint, vec_id bigint, row bigint, score double"
 
 
 def _searched(k: int):
     def searched(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(vectors):
-            vectors = vectors.sort_values(["leaf", "vec_id"], kind="stable")
-            x, ids, leaf = np.array(vectors["v"].tolist()), vectors["vec_id"].to_numpy(), vectors["leaf"].to_numpy()
-            q, q_ids = np.array(queries["v"].tolist()), queries["query_id"].to_numpy()
-            visits: dict[int, list[int]] = {}
-            for i, leaves in enumerate(queries["leaves"]):
-                for one in leaves:
-                    visits.setdefault(int(one), []).append(i)
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(q)
-            for one, who in visits.items():
-                lo, hi = np.searchsorted(leaf, [one, one + 1])
-                for at in range(lo, hi, 2048):
-                    to = min(hi, at + 2048)
-                    for w in range(0, len(who), 512):
-                        some = who[w : w + 512]
-                        for i, row in zip(some, products(q[some], x[at:to]), strict=True):
-                            row[ids[at:to] == q_ids[i]] = -np.inf
-                            keep = best_of(ids[at:to], row, k)
-                            old_ids, old = best[i]
-                            new_ids, new = np.concatenate([old_ids, ids[at:to][keep]]), np.concatenate([old, row[keep]])
-                            top = np.lexsort((new_ids, -new))[:k]
-                            best[i] = (new_ids[top], new[top])
-            for i, (found, score) in enumerate(best):
-                ok = np.isfinite(score)
-                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": found[ok], "score": score[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        if not len(queries) or not len(vectors):
+            return pd.DataFrame({c.split()[0]: np.empty(0) for c in FOUND.split(", ")})
+        vectors = vectors.sort_values("leaf", kind="stable")
+        leaf = vectors["leaf"].to_numpy()
+        best = Best(np.stack(queries["v"]).astype(float), np.stack(vectors["v"]).astype(float), queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy(), k)
+        visitor, visited = np.repeat(np.arange(len(queries)), queries["leaves"].map(len)), np.concatenate(queries["leaves"].tolist())
+        order = np.argsort(visited, kind="stable")
+        visitor, visited = visitor[order], visited[order]
+        for one in np.unique(visited):
+            rows = np.arange(*np.searchsorted(leaf, [one, one + 1]))
+            who = visitor[slice(*np.searchsorted(visited, [one, one + 1]))]
+            for at in range(0, len(rows), 2048):
+                for w in range(0, len(who), PRODUCT // 2048):
+                    best.offer(who[w : w + PRODUCT // 2048], rows[at : at + 2048])
+        if not best.found:
+            return pd.DataFrame({c.split()[0]: np.empty(0) for c in FOUND.split(", ")})
+        who, row, score = best.exact()
+        return pd.DataFrame({"query": queries["query"].to_numpy()[who], "query_id": best.own[who], "vec_id": best.ids[row], "row": vectors["row"].to_numpy()[row], "score": score})
 
     return searched
 
 
 class Index:
-    """The tree, every usable vector with its leaf and search group (written), and the groups of each leaf."""
+    """The tree, and every usable vector with its leaf, written once; a row is known by a number of its own."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES, group_rows: int = GROUP_ROWS):
-        spark = vectors.sparkSession
-        rows = written(usable(vectors, id_col, vec_col), "ann-vectors")
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, group_rows: int = GROUP_ROWS):
+        rows = usable(vectors, id_col, vec_col)
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         stats = rows.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-        self.n, self.top = stats["n"], stats["top"] or 0.0
-        sample = rows.select("vec_id", "v").orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").limit(fit_rows).select("v").toArrow()
-        self.tree = tree = Tree(lifted(_matrix(sample.column("v")), self.top), max(1, min(max_leaves, self.n // leaf_rows))) if self.n else None
+        self.n, self.top, self.spark = stats["n"], stats["top"] or 0.0, vectors.sparkSession
+        if not self.n:
+            return
+        sample = rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").limit(fit_rows).select("v").toArrow()
+        self.tree = tree = Tree(lifted(_matrix(sample.column("v")), self.top), max(1, min(self.n, fit_rows // 4 * leaf_rows) // leaf_rows))
         top = self.top
 
         def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     leaf = tree.assign(lifted(_matrix(b.column("v")), top))
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["vec_id", "v", "row", "leaf"])
 
-        self.rows = written(rows.mapInArrow(leaves, "vec_id bigint, v array<double>, leaf int"), "ann-leaves")
+        kind = rows.schema["v"].dataType.simpleString()
+        numbered = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v", F.monotonically_increasing_id().alias("row"))
+        self.rows = written(numbered.mapInArrow(leaves, f"vec_id bigint, v {kind}, row bigint, leaf int"), "ann-leaves")
         self.groups = max(LEAST_GROUPS, -(-self.n // group_rows))
-        counts = {r["leaf"]: r["n"] for r in self.rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # MAX_LEAVES rows at most
-        self.held = [counts.get(i, 0) for i in range(self.tree.leaves)] if self.n else []
+        counts = {r["leaf"]: r["n"] for r in self.rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf of the tree
+        self.held = [counts.get(i, 0) for i in range(tree.leaves)]
+        self.cuts = [max(1, -(-n // group_rows)) for n in self.held]
+        #: rows of one id, at most: a query's own rows are no candidates
+        self.repeats = self.rows.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         self.block_queries = BLOCK_QUERIES
-        self.cuts = [max(1, -(-counts.get(i, 0) // group_rows)) for i in range(max(counts, default=-1) + 1)]
-        self.spark = spark
 
     def placed(self) -> DataFrame:
-        cuts = F.element_at(F.lit(self.cuts or [1]), F.col("leaf") + 1)
-        return self.rows.withColumn("group", F.pmod(F.col("leaf") + F.pmod(F.xxhash64("vec_id"), cuts), F.lit(self.groups)).cast("int"))
+        cuts = F.element_at(literal_longs(self.cuts), F.col("leaf") + 1)
+        return self.rows.withColumn("group", F.pmod(F.col("leaf") + F.pmod(F.xxhash64("row"), cuts), F.lit(self.groups)).cast("int"))
 
     def visiting(self, queries: DataFrame, visits: int | None, k: int) -> DataFrame:
-        """``group, query_id, leaves``: each query once for every group that holds a leaf it visits.
+        """``group, query, query_id, v, leaves``: each query once for every group that holds a leaf it visits.
 
         Visits go on until the leaves hold ``k`` rows besides the query's own.
         """
-        tree, cuts, groups, held = self.tree, self.cuts, self.groups, self.held
+        tree, cuts, groups, held, enough = self.tree, self.cuts, self.groups, self.held, k + self.repeats
 
         def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at, group, leaves = [], [], []
-                for i, q in enumerate(_matrix(b.column("v")) if b.num_rows else []):
-                    by_group: dict[int, list[int]] = {}
-                    for leaf in tree.order(np.append(q, 0.0), visits, held, k + 1):
-                        for c in range(min(cuts[leaf] if leaf < len(cuts) else 1, groups)):
-                            by_group.setdefault((leaf + c) % groups, []).append(leaf)
-                    at += [i] * len(by_group)
-                    group += by_group.keys()
-                    leaves += by_group.values()
-                rows = b.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), rows.column("vec_id"), pa.array(leaves, pa.list_(pa.int32()))], names=["group", "query_id", "leaves"])
-
-        return queries.select("vec_id", "v").mapInArrow(out, "group int, query_id bigint, leaves array<int>")
+            for batch in batches:
+                for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                    at, group, leaves = [], [], []
+                    q = _matrix(b.column("v"))
+                    for i, gap in enumerate(tree.gaps(np.column_stack([q, np.zeros(len(q))])).tolist()):
+                        by_group: dict[int, list[int]] = {}
+                        for leaf in tree.order(gap, visits, held, enough):
+                            for c in range(min(cuts[leaf], groups)):
+                                by_group.setdefault((leaf + c) % groups, []).append(leaf)
+                        at += [i] * len(by_group)
+                        group += by_group.keys()
+                        leaves += by_group.values()
+                    rows = b.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(rows.column(c) for c in ("row", "vec_id", "v")), pa.array(leaves, pa.list_(pa.int32()))], names=["group", "query", "query_id", "v", "leaves"])
+
+        return queries.select("row", "vec_id", "v").mapInArrow(out, f"group int, query bigint, query_id bigint, v {self.rows.schema['v'].dataType.simpleString()}, leaves array<int>")
 
     def scan(self, queries: DataFrame, visits: int | None, k: int) -> DataFrame:
-        """``query_id, vec_id, score, rank`` of the k best in the visited leaves, the query's own row left out."""
-        visiting = written(self.visiting(queries, visits, k), "ann-visits")
-        counts = {r["group"]: r["n"] for r in visiting.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row for GROUP_ROWS vectors
-        blocks = F.element_at(literal_longs([max(1, -(-counts.get(i, 0) // self.block_queries)) for i in range(self.groups)]), F.col("group") + 1)
-        asked = visiting.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("v")), "query_id")
-        dealt = self.placed().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        """``query, query_id, vec_id, row, score, rank`` of the k best in the visited leaves, rows of the query's own id left out."""
+        blocks = max(1, -(-queries.count() // self.block_queries))
+        asked = self.visiting(queries, visits, k).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        dealt = self.placed().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
         found = asked.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInPandas(_searched(k), FOUND)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
     def calibrated(self, k: int = K, recall: float = TARGET_RECALL, queries: int = CALIBRATION_QUERIES) -> int:
         """The fewest leaf visits at which the calibration queries find ``recall`` of their true neighbours.
 
-        Truth comes from visiting all leaves. Visits then widen leaf by leaf until the recall is reached.
+        The truth comes from all rows: each task keeps its best for the few queries. Visits then widen leaf by leaf
+        until the recall is reached.
         """
-        chosen = written(self.rows.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(queries), "ann-calibration")
-        truth = self.scan(chosen, None, k).join(self.rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()  # queries * k rows
-        vectors = {r["vec_id"]: r["v"] for r in chosen.select("vec_id", "v").collect()}
+        chosen = self.rows.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(queries).select("vec_id", "v").toArrow()
+        q, own = _matrix(chosen.column("v")), chosen.column("vec_id").to_numpy()
+
+        def nearest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0))
+            for b in batches:
+                if b.num_rows:
+                    best = Best(q, _matrix(b.column("v")), own, b.column("vec_id").to_numpy(), k)
+                    best.offer(np.arange(len(q)), np.arange(b.num_rows))
+                    who, row, score = best.exact()
+                    who, leaf, score = (np.concatenate(c) for c in zip(kept, (who, b.column("leaf").to_numpy()[row], score), strict=True))
+                    order = np.lexsort((-score, who))
+                    order = order[np.arange(len(who)) - np.searchsorted(who[order], who[order]) < k]
+                    kept = (who[order], leaf[order], score[order])
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int32()), pa.array(kept[2], pa.float64())], names=["who", "leaf", "score"])
+
+        rank = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("score"), "leaf"))
+        truth = self.rows.select("vec_id", "v", "leaf").mapInArrow(nearest_here, "who bigint, leaf int, score double").withColumn("rank", rank).where(F.col("rank") <= k).toPandas()  # queries * k rows
         if not len(truth):
             return self.tree.leaves
-        steps = np.zeros(self.tree.leaves, np.int64)
-        for query, leaves in truth.groupby("query_id")["leaf"]:
-            place = {leaf: i for i, leaf in enumerate(self.tree.order(np.append(vectors[query], 0.0)))}
+        steps, gaps = np.zeros(self.tree.leaves, np.int64), self.tree.gaps(np.column_stack([q, np.zeros(len(q))])).tolist()
+        for who, leaves in truth.groupby("who")["leaf"]:
+            place = {leaf: i for i, leaf in enumerate(self.tree.order(gaps[who]))}
             np.add.at(steps, [place[x] for x in leaves], 1)
         return int(np.searchsorted(np.cumsum(steps), recall * len(truth)) + 1)
 
@@ -253,10 +303,10 @@ class Index:
 def nearest(vectors: DataFrame, queries: Column, k: int = K, recall: float = TARGET_RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest inner product found for each row where ``queries`` holds.
 
-    ``queries`` is a condition on ``vec_id``. Every usable row is indexed, and a candidate for all queries but its
-    own id. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-    part; rows that repeat an id count once. Ties go to the smaller id. No usable vectors, no rows. The recall is
-    calibrated against all rows on a bounded set of queries.
+    ``queries`` is a condition on ``vec_id``. Every usable row is indexed, and a candidate for all queries but those of
+    its own id; a row that repeats an id is a candidate, and a query, of its own. Vectors that are null, zero, of
+    another length than most, or hold null or non-finite components take no part. Ties go to the smaller id. No usable
+    vectors, no rows. The recall is calibrated against all rows on a bounded set of queries.
     """
     index = Index(vectors, id_col, vec_col)
     if not index.n:

@@ -80,13 +80,13 @@ def test_nearest(spark, n):
     x[n // 2 :] = x[: n - n // 2] if n < 100 else x[n // 2 :]  # equal vectors: ties
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     bad = [(10001, None), (10020, [0.0] * 12), (10040, [1.0] * 11 + [math.nan]), (10060, [1.0] * 11 + [None]), (10080, [math.inf] * 12), (None, [1.0] * 12), (10100, [1.0])] if n > 1 else []
-    table = spark.createDataFrame(rows + bad + rows[:1], "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "leaf": F.lit(2), "group": F.lit(3)})
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "leaf": F.lit(2), "group": F.lit(3)})
     out = ann.nearest(table, F.col("vec_id") % 20 == 0, recall=1.0).collect()
     assert {r.query_id for r in out} == ({i for i in range(0, n, 20)} if n > 1 else set())
     x = x.astype(np.float32).astype(float)
     hits = total = 0
     for q in range(0, n, 20):
-        s = ann.products(x[q : q + 1], x)[0]
+        s = ann.products(np.tile(x[q], (n, 1)), x)
         best = [i for i in sorted(range(n), key=lambda i: (-s[i], i)) if i != q][:20]
         got = sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)
         assert [r.rank for r in got] == list(range(1, len(best) + 1))
@@ -95,6 +95,44 @@ def test_nearest(spark, n):
     assert hits >= 0.9 * total
 
 
+def truth(ids, x, k=20):
+    """Query id, rank, id and score of the nearest rows of every row whose id 20 divides."""
+    out = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = ann.products(np.tile(x[q], (len(x), 1)), x)
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+        out += [(int(ids[q]), r + 1, int(ids[i]), float(s[i])) for r, i in enumerate(best)]
+    return out
+
+
+def test_recall_at_default_settings(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 16))
+    x = (centers[rng.integers(0, 40, 6000)] + 0.5 * rng.normal(size=(6000, 16))).astype(np.float32).astype(float)
+    x[:2000] = rng.normal(size=(2000, 16)).astype(np.float32)  # a third is one cloud, clusters lie around it
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    index = ann.Index(table)
+    visits = index.calibrated()
+    assert index.tree.leaves > 150 and visits < 0.6 * index.tree.leaves  # most leaves stay closed
+    want, got = truth(np.arange(6000), x), [tuple(r) for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect()]
+    assert len(got) == len(want) and sorted(r[:2] for r in got) == sorted(r[:2] for r in want)
+    assert len({(q, i, s) for q, _, i, s in got} & {(q, i, s) for q, _, i, s in want}) >= 0.93 * len(want)
+
+
+def test_repeated_ids_and_large_leaves(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6)).astype(np.float32).astype(float)
+    x[100:400] = x[100]  # half are copies: one leaf is cut over many groups
+    ids = np.arange(600)
+    ids[:60] = np.repeat(np.arange(0, 600, 20), 2)  # ids with two further vectors each
+    table = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    index = ann.Index(table, group_rows=20)
+    assert index.groups == 30 and max(index.cuts) > 10
+    index.block_queries = 7
+    found = index.scan(index.rows.where("vec_id % 20 = 0"), None, 20).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, found)) == sorted(truth(ids, x))
+
+
 def test_nearest_visits_until_enough_rows(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([np.tile(rng.normal(size=(1, 8)), (200, 1)), rng.normal(size=(200, 8)) * 5])  # half are copies, leaves hold few of the others
