@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A driver-side list or a broadcast side is only used up to this many rows.
-BOUNDED_ROWS = 1_000_000
+#: A side that may grow with the data is only broadcast up to this size.
+BOUNDED_BYTES = 64_000_000
 #: Folders made where none is named, by application: local runs and tests.
 _OWN: dict[str, str] = {}
 
@@ -38,10 +38,27 @@ def literal_longs(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def columns_free_of(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without the columns an operator adds itself, so that extra columns can't clash."""
-    taken = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+def text_of(cell: pa.Scalar) -> str:
+    """The text of an Arrow cell: null is empty, bytes that aren't UTF-8 become replacement characters."""
+    try:
+        return cell.as_py() or ""
+    except UnicodeDecodeError:
+        return cell.as_buffer().to_pybytes().decode("utf-8", "replace")
+
+
+#: A key with at least this share of the rows is hot; there are HOT_SHARE hot keys at most.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``weight`` how many of left's ``total`` rows have it.
+
+    The rows of ``right`` with a thousandth of left's rows, a thousand at most, are broadcast, so the rows of hot keys
+    stay where they are; all others meet by an exchange.
+    """
+    often = F.col(weight) * HOT_SHARE >= total
+    hot = F.broadcast(right.where(often))
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.where(~often), on))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -52,30 +69,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
-def min_labels(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def min_labels(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows ``(id, component)``, component the smallest id.
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014). Each round is an aggregation and a join on
-    node ids, written to the shared folder; ends when a round changes no edge. Null ends and loops are ignored.
-    Edge counts never grow in small-star and large-star, so hubs cost a row for each neighbour.
+    node ids, written to the shared folder; ends when a round changes no edge, after about the logarithm of the longest
+    path's rounds. Null ends and loops are ignored. Edge counts never grow, and hubs' edges stay where they are.
     """
     both = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     parent = written(both.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
-    for _ in range(max_rounds):
+    old_n = parent.count()
+    while old_n:
         # large-star: neighbours above v hang on the smallest of v and its neighbours
         around = parent.unionByName(parent.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        low = around.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
-        large = around.join(low, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
+        low = around.groupBy("v").agg(F.min("m").alias("low"), F.count("*").alias("n")).select("v", F.least("v", "low").alias("low"), "n")
+        large = hot_join(around, low, ["v"], "n", 2 * old_n).where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
+        large = written(large, "edges")
         # small-star: v and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("v").agg(F.min("m").alias("low"))
-        joined = large.join(low, "v")
+        low = large.groupBy("v").agg(F.min("m").alias("low"), F.count("*").alias("n"))
+        joined = hot_join(large, low, ["v"], "n", large.count())
         small = joined.select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e"))
         new = written(small.select("e.v", "e.m").where("v <> m").distinct(), "edges")
-        old_n, new_n = parent.count(), new.count()
+        new_n = new.count()
         same = old_n == new_n and new.join(parent, ["v", "m"], "left_anti").isEmpty()
-        parent = new
+        parent, old_n = new, new_n
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return parent.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(parent.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())

@@ -7,13 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import min_labels, written
+from gatherline.llm.shared import hot_join, min_labels, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, allow?)
 RULES = (("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True))
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"'>]*)["']"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>\s]+)"""
+#: Patterns for both engines: tags, what makes a tag a canonical link or a refresh, and where it points.
+LINK_TAG, META_TAG = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+REFRESH = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?refresh["'\s/>]"""
+HREF = r"""(?is)[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+TARGET = r"""(?is)[\s"'/]content\s*=.*?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: What one page's URLs differ in: a host's first label, and parameters.
+HOST_FORM, EXTRA = r"^(?:www[0-9]*|m|mobile)\.([^.]+\..*)$", r"^(?:utm_[^=]*|ref|page|gclid|fbclid)?(?:=.*)?$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,10 +40,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """A URL's name as a node: without fragment, A-Z of scheme and host lower-cased."""
-    bare = F.regexp_replace(url, r"#[\s\S]*$", "")
-    head = F.regexp_extract(bare, r"^[^/?]*://[^/?]*", 0)
-    return F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + 1))
+    """A URL's name as a node: without scheme, fragment and default port, A-Z of the host lower-cased."""
+    rest = F.regexp_replace(F.regexp_replace(url, r"^[^/?#]*://", ""), r"#[\s\S]*$", "")
+    host = F.regexp_extract(rest, r"^[^/?]*", 0)
+    return F.concat(F.regexp_replace(F.translate(host, UPPER, LOWER), r":(?:80|443)$", ""), F.substr(rest, F.length(host) + 1))
+
+
+def form_of(node: Column) -> Column:
+    """The form that a page's URLs are redirected to: also without ``www.`` or ``m.``, closing slashes, and parameters
+    that count visits (``utm_*``, ``ref``, ``gclid``, ``fbclid``) or turn over the page's own parts (``page``)."""
+    host = F.regexp_replace(F.regexp_extract(node, r"^[^/?]*", 0), HOST_FORM, "$1")
+    path = F.regexp_replace(F.regexp_extract(node, r"^[^/?]*([^?]*)", 1), r"/+$", "")
+    asked = F.array_join(F.filter(F.split(F.regexp_extract(node, r"\?([\s\S]*)$", 1), "&", -1), lambda x: ~x.rlike(EXTRA)), "&")
+    return F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""))
 
 
 def resolved(link: Column, url: Column) -> Column:
@@ -50,39 +65,52 @@ def resolved(link: Column, url: Column) -> Column:
     return F.when((link != "") & (site != "") & ~link.startswith("#"), full)
 
 
-def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: node names that a canonical link or a refresh redirect makes aliases; at most two rows a page."""
+def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``a, b``: nodes that a canonical link or a refresh redirect of a page makes aliases; all tags of a page count."""
     url = F.col(url_col)
-    links = F.array(resolved(F.regexp_extract(html_col, CANONICAL, 1), url), resolved(F.regexp_extract(html_col, REFRESH, 1), url))
-    pairs = pages.where(F.col(url_col).contains("://")).select(node_of(url).alias("a"), F.explode(F.array_compact(links)).alias("to"))
-    return pairs.select("a", node_of(F.col("to")).alias("b")).where("a <> b").distinct()
+    href = lambda tag: F.concat(*[F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)])
+    canonical = F.transform(F.filter(F.regexp_extract_all(html_col, F.lit(LINK_TAG), 0), lambda t: t.rlike(CANONICAL)), lambda t: resolved(href(t), url))
+    refresh = F.transform(F.filter(F.regexp_extract_all(html_col, F.lit(META_TAG), 0), lambda t: t.rlike(REFRESH)), lambda t: resolved(F.regexp_extract(t, TARGET, 1), url))
+    found = pages.where(url.contains("://")).select(url.alias("from"), F.explode(F.array_compact(F.concat(canonical, refresh))).alias("to"))
+    return found.select(node_of(F.col("from")).alias("a"), node_of(F.col("to")).alias("b")).where("a <> b").distinct()
+
+
+def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``a, b``: canonical links, refresh redirects, given ``redirects(a, b)`` of URLs, and redirect-equivalent forms.
+
+    A URL is redirect-equivalent to its ``form_of``. Forms that one node alone has can pass nothing on and are left out.
+    """
+    named = links(pages, url_col, html_col)
+    if redirects is not None:
+        named = named.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a <> b"))
+    named = written(named, "url-links")
+    nodes = pages.where(F.col(url_col).contains("://")).select(node_of(F.col(url_col)).alias("a")).unionByName(named.select(F.explode(F.array("a", "b")).alias("a"))).distinct()
+    forms = written(nodes.select("a", form_of(F.col("a")).alias("b")), "url-forms")
+    several = forms.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    return named.unionByName(hot_join(forms, several, ["b"], "n", forms.count()).where("a <> b").select("a", "b"))
 
 
 def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: ``page_id, host, path, rule, verdict, alias_of_blocked``.
 
     A page with a rule of its own has that rule's verdict: explicit rules, allow among them, go before anything
-    passed on. Any other page is blocked if its URL is an alias of a blocked one: if their component over canonical
-    links, refresh redirects and ``redirects(a, b)`` URLs holds a node that a rule blocks. The rest is allowed.
+    passed on. Any other page is blocked if its URL is an alias of a blocked one: if their component over the edges
+    (see ``alias_edges``) holds a node that a rule blocks. The rest is allowed.
 
-    Null URLs, and such without ``://``, have empty host and path, no rule, and are allowed. Repeated rows are
-    judged alike; an empty table gives no rows; other columns are not read. Without any edge nothing is joined.
+    Null URLs, and such without ``://``, have empty host and path, no rule, and are allowed; null html has no links.
+    Whole texts of any length are searched for links. Repeated rows are judged alike; an empty table gives no rows;
+    other columns are not read.
     """
-    edges = alias_edges(pages, url_col, html_col)
-    if redirects is not None:
-        edges = edges.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a <> b"))
-    edges = written(edges, "url-edges")
+    edges = written(alias_edges(pages, redirects, url_col, html_col), "url-edges")
     host, path = host_and_path(F.col(url_col))
-    out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(url_col).alias("_url"))
+    out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.when(F.col(url_col).contains("://"), node_of(F.col(url_col))).alias("_node"))
     out = out.withColumn("_hit", rule_of(F.col("host"), F.col("path"), rules))
-    alias = F.lit(False)
-    if not edges.isEmpty():
-        labels = written(min_labels(edges), "url-labels")
-        h, p = host_and_path(F.col("id"))
-        blocked = labels.where(~rule_of(h, p, rules)["allow"]).select("component").distinct()
-        names = labels.join(blocked, "component", "left_semi").select(F.col("id").alias("_name"), F.lit(True).alias("_alias"))
-        out = out.withColumn("_node", node_of(F.col("_url"))).join(names, F.col("_node") == F.col("_name"), "left")
-        alias = F.coalesce("_alias", F.lit(False))
+    labels = written(min_labels(edges), "url-labels")
+    h, p = host_and_path(F.concat(F.lit("://"), "id"))
+    blocked = labels.where(~rule_of(h, p, rules)["allow"]).select("component").distinct()
+    names = labels.join(blocked, "component", "left_semi").select(F.col("id").alias("_name"), F.lit(True).alias("_alias"))
+    out = out.join(names, F.col("_node") == F.col("_name"), "left")
+    alias = F.coalesce("_alias", F.lit(False))
     allow = F.coalesce(F.col("_hit.allow"), ~alias)
     return out.select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), alias.alias("alias_of_blocked"))
 
@@ -98,22 +126,36 @@ def _host_sql(url: str) -> tuple[str, str]:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{UPPER}', '{LOWER}')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
 
 
-_NODE = "(translate(regexp_extract({0}, '^[^/?#]*://[^/?#]*'), '" + UPPER + "', '" + LOWER + "') || substr(regexp_replace({0}, '#[\\s\\S]*$', ''), length(regexp_extract({0}, '^[^/?#]*://[^/?#]*')) + 1))"
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _node_sql(url: str) -> str:
+    rest = f"regexp_replace(regexp_replace({url}, '^[^/?#]*://', ''), '#[\\s\\S]*$', '')"
+    host = f"regexp_extract({rest}, '^[^/?]*')"
+    return f"(regexp_replace(translate({host}, '{UPPER}', '{LOWER}'), ':(?:80|443)$', '') || substr({rest}, length({host}) + 1))"
+
+
+_ASKED = f"array_to_string(list_filter(string_split(regexp_extract(a, '\\?([\\s\\S]*)$', 1), '&'), lambda x: NOT regexp_matches(x, {_sql(EXTRA)})), '&')"
+_FORM = f"""regexp_replace(regexp_extract(a, '^[^/?]*'), {_sql(HOST_FORM)}, '\\1') || regexp_replace(regexp_extract(a, '^[^/?]*([^?]*)', 1), '/+$', '')
+ || CASE WHEN {_ASKED} <> '' THEN '?' || {_ASKED} ELSE '' END"""
 _LINK = """CASE WHEN l = '' OR l IS NULL OR starts_with(l, '#') THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN regexp_extract(url, '^([^/?#]*:)//', 1) || l
  WHEN starts_with(l, '/') THEN regexp_extract(url, '^[^/?#]*://[^/?#]*') || l ELSE regexp_extract(regexp_replace(url, '[?#][\\s\\S]*$', ''), '^([^/]*//[^/]*(?:/.*)?/)[^/]*$', 1) || l END"""
+_HREF = " || ".join(f"regexp_extract(tag, {_sql(HREF)}, {i})" for i in (1, 2, 3))
 
 ORACLE = f"""
-WITH RECURSIVE tags AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>|<link\\b[^>]*\\bhref[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']([^"''>]*)["'']', 1),
-                      regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)url\\s*=\\s*([^"''>\\s]+)', 1)]) AS tag
-  FROM pages WHERE contains(url, '://')),
+WITH RECURSIVE own AS (SELECT DISTINCT url, html FROM pages WHERE contains(url, '://')),
+tags AS (
+  SELECT url, {_HREF} AS tag FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(LINK_TAG)})) AS tag FROM own) WHERE regexp_matches(tag, {_sql(CANONICAL)})
+  UNION ALL SELECT url, regexp_extract(tag, {_sql(TARGET)}, 1) FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(META_TAG)})) AS tag FROM own) WHERE regexp_matches(tag, {_sql(REFRESH)})),
 links AS (SELECT url, trim(replace(tag, '&amp;', '&')) AS l FROM tags),
-named AS (SELECT url, {_LINK} AS t FROM links),
-edges AS (SELECT DISTINCT {_NODE.format("url")} AS a, {_NODE.format("t")} AS b FROM named WHERE t IS NOT NULL),
-sides AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+named AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM (SELECT url, {_LINK} AS t FROM links) WHERE t IS NOT NULL),
+nodes AS (SELECT {_node_sql("url")} AS a FROM own UNION SELECT a FROM named UNION SELECT b FROM named),
+edges AS (SELECT a, b FROM named UNION SELECT a, {_FORM} AS b FROM nodes),
+sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
-blocked AS (SELECT DISTINCT a FROM (SELECT a, b FROM reach UNION SELECT a, a FROM sides) WHERE {_rule_sql(*_host_sql("b"))[1]} = false)
+blocked AS (SELECT DISTINCT a FROM (SELECT a, b FROM reach UNION SELECT a, a FROM sides) WHERE {_rule_sql(*_host_sql("('://' || b)"))[1]} = false)
 SELECT page_id, {_host_sql("url")[0]} AS host, {_host_sql("url")[1]} AS path, {_rule_sql(*_host_sql("url"))[0]} AS rule,
        CASE WHEN coalesce({_rule_sql(*_host_sql("url"))[1]}, blocked.a IS NULL) THEN 'allow' ELSE 'block' END AS verdict
-FROM pages LEFT JOIN blocked ON blocked.a = {_NODE.format("url")}
+FROM pages LEFT JOIN blocked ON contains(url, '://') AND blocked.a = {_node_sql("url")}
 """
