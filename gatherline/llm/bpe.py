@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import literal_longs, slices
+from gatherline.llm.shared import literal_longs, slices, text_of
 
 #: The widely published split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,7 +129,7 @@ def _blocks(ranks: dict[bytes, int]):
         ids, places, words, chars = [], [], {}, 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
+                text = text_of(text)
                 own = split(text)
                 places.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.uint32, len(own)).tobytes())
                 ids.append(doc_id)
@@ -209,7 +209,7 @@ def _in_tasks(ranks: dict[bytes, int], tokens: list[bytes]):
         for batch in slices(batches):
             counts, packed, decoded = [], [], []
             for text in batch.column(1):
-                ids = b"".join(map(words.__getitem__, split(text.as_py() or "")))
+                ids = b"".join(map(words.__getitem__, split(text_of(text))))
                 counts.append(len(ids) // 4)
                 packed.append(ids)
                 decoded.append(b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())))
@@ -222,7 +222,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     """``doc_id, n_tokens, ids, decoded`` of every row; ``ids`` are packed as little-endian unsigned 32-bit integers.
 
     Each match of the split pattern is encoded by itself, without special tokens; ``decoded`` concatenates the
-    binary pieces of the ids. Null texts count as empty and have no tokens. Repeated rows, null ids and any other
+    binary pieces of the ids. Texts of any length are encoded whole; bytes that aren't UTF-8 count as replacement
+    characters. Null texts count as empty and have no tokens. Repeated rows, null ids and any other
     columns are no special case; an empty table gives no rows. Nothing is shuffled.
 
     ``fold="spark"``: tasks cut their texts into blocks, and Spark's higher-order functions fold the merges over the

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.llm.exact_dedup import one_of_each
-from gatherline.llm.shared import BOUNDED_ROWS, min_labels, slices, written
+from gatherline.llm.shared import BOUNDED_BYTES, hot_join, min_labels, slices, text_of, written
 
 WORDS, PERCENT = 5, 75
 #: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7 if the sets are large; few values fill all bins of a small set and are not independent.
@@ -83,7 +83,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sizes, prints, bands = [], [], []
         for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text_of(text), hashes)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()))
             bands.append(band_keys(bins_of(s)) if len(s) else [])
@@ -109,7 +109,7 @@ def _compare(percent: int):
         for batch in slices(batches):
             keep, linked, shared, extra, maps = [], [], [], [], []
             for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                own = shingle_set(text.as_py(), hashes)
+                own = shingle_set(text_of(text), hashes)
                 if other is None:
                     at, left = one, own
                 elif one == at and len(own) and len(left):
@@ -128,7 +128,15 @@ def _compare(percent: int):
 
 
 #: A text with more partners than this is compared in several tasks.
-PARTNERS = 2000
+PARTNERS = 500
+#: So many members of a bucket, outside its largest component, meet the others in one task.
+LOT = 64
+
+
+def bytes_of(ids: DataFrame) -> int:
+    """The size of ``ids`` in memory: a row's own bytes, and those of its strings if it has any."""
+    total = ids.agg((F.count("*") * 32 + F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("doc_id")))), F.lit(0))).alias("b"))
+    return total.first()["b"]
 
 
 def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -138,10 +146,10 @@ def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     ``extra``, beyond one for each bit set.
 
     Only texts that some pair names are moved: once for each pair as ``b``, and once for each PARTNERS partners as
-    ``a``. Their ids are broadcast up to a bound, and joined by a shuffle beyond. ``docs``: ``(doc_id, text)``.
+    ``a``. Their ids are broadcast up to BOUNDED_BYTES, and joined by a shuffle beyond. ``docs``: ``(doc_id, text)``.
     """
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-needed")
-    few = needed.limit(BOUNDED_ROWS + 1).count() <= BOUNDED_ROWS
+    few = bytes_of(needed) <= BOUNDED_BYTES
     texts = docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), "lots").cast("int").alias("lot"))
@@ -160,8 +168,8 @@ def _near_size(n: Column, m: Column, percent: int) -> Column:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
-    Documents link when 100 * intersection >= percent * union of their full sets of 5-word shingles; a component's
-    id is its smallest doc_id, and that document is kept. Empty and null texts link with nothing. Rows with a null
+    Documents link when 100 * intersection >= percent * union of their full sets of 5-word shingles, texts of any
+    length being read whole (bytes that aren't UTF-8 count as replacement characters); a component's id is its smallest doc_id, and that document is kept. Empty and null texts link with nothing. Rows with a null
     id are returned with a null component and kept. Rows that repeat a doc_id are linked by each of their texts.
     Other columns are not read; an empty table gives no rows.
 
@@ -176,13 +184,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(able.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")), "minhash-reps")
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = written(rows.join(shared, "key"), "minhash-rows")
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "minhash-shared")
+    every = shared.agg(F.sum("members")).first()[0] or 0
+    rows = written(hot_join(rows, shared, ["key"], "members", every), "minhash-rows")
     # the original of a group meets more documents than its variants do, so it makes the best center
     met = rows.groupBy("rep").agg(F.sum("members").alias("met"))
-    rows = rows.join(met, "rep")
-    stars = rows.groupBy("key").agg(F.min(F.struct(F.negative("met").alias("m"), "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
-    members = written(rows.drop("met").join(stars, "key"), "minhash-members")
+    rows = written(rows.join(met, "rep"), "minhash-rows")
+    stars = rows.groupBy("key", "members").agg(F.min(F.struct(F.negative("met").alias("m"), "rep", "n")).alias("c")).select("key", F.col("members").alias("weight"), F.col("c.rep").alias("center"))
+    members = written(hot_join(rows.drop("met"), stars, ["key"], "weight", every).drop("weight"), "minhash-members")
     first = written(members.where(F.col("rep") != F.col("center")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     known = compared(docs, first, percent)
     links = known.where("linked").select("a", "b")
@@ -195,13 +204,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     measured = known.select(F.col("a").alias("center"), F.col("b").alias("rep"), "shared", "extra", "rest")
     open_rows = held.where("rep <> center").join(main, "key").join(measured, ["center", "rep"])
     open_rows = written(open_rows.select("key", "rep", "n", "component", "main", "shared", "extra", "rest"), "minhash-open")
-    x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
+    # the members outside are dealt in lots, and each lot meets the bucket's others by itself
+    lots = written(open_rows.where("component <> main").groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots")), "minhash-lots")
+    open_rows = open_rows.join(lots, "key")
+    x = open_rows.where("component <> main").withColumn("lot", F.pmod(F.xxhash64("rep"), "lots").cast("int")).alias("x")
+    y = open_rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).alias("y")
     common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
     # at most so many shingles are in both: those that both share with their center, and those outside it
     most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lot") == F.col("y.lot")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(second.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
     if not second.isEmpty():
@@ -220,15 +233,15 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each near-duplicate group; columns and texts as they were.
 
     A document is a doc_id and its text: where ids repeat, each of their texts stays or goes by itself, the smallest
-    id's (of its texts the least digest) staying, and rows that repeat both stay once.
+    id's (of its texts the least digest) staying, and rows that repeat both stay once. Extra columns of any name stay.
     """
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         docs = one_of_each(docs)
         key = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"].alias("id"), F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)).alias("sha")))
-        kept = near_groups(docs.select(key.alias("doc_id"), docs["text"].alias("text")), percent=percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-        return docs.join(kept, key.eqNullSafe(F.col("_keep")), "left_semi")
-    kept = near_groups(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    else:
+        key = docs["doc_id"]
+    kept = near_groups(docs.select(key.alias("doc_id"), docs["text"].alias("text")), percent=percent).where("kept").select("doc_id").distinct()
+    return docs.join(kept, key.eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 ORACLE = """
