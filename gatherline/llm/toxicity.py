@@ -10,14 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatherline.llm.shared import slices
+from gatherline.llm.shared import slices, text_of
 
 #: Labelled documents of each class that training reads at most, chosen by hash; all others are only scored.
 TRAIN_PER_CLASS = 4000
+#: And of those only as many as stay under so many bytes of text a class; one longer than that alone is left out.
+TRAIN_BYTES = 64_000_000
 STEPS, THRESHOLD, SENTENCE_THRESHOLD = 600, 0.7, 0.5
 #: How far a feature's share of toxic documents must lie above theirs of all, as a binomial's log likelihood ratio.
 DEVIANCE, RIDGE = 11.0, 1e-3
@@ -68,8 +70,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float = 0
     """Weights by feature, and bias: adaptive-gradient steps on the noisy-or likelihood of the document labels.
 
     A document is toxic with probability 1 - prod(1 - p) over its sentences' p. Only telling features take part, and
-    only sentences that hold one are told apart; the rest count with the bias alone. With one class only, or no
-    text, there are no weights and the bias says "clean".
+    only sentences that hold one are told apart; in training the rest count with the bias alone, which keeps it low. With
+    one class only, or no text, there are no weights and the bias says "clean".
     """
     kept = novel(texts)
     texts, y = [texts[i] for i in kept], np.asarray(toxic, float)[kept]
@@ -114,11 +116,12 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float = 0
 MODEL = "feature string, weight double"
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> dict[str, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> dict[str, float]:
     """The model as ``{feature: weight}``, the bias under ""; bounded as the sample is.
 
-    Reads at most ``per_class`` labelled documents of each class, those of smallest hashed id; one task fits them
-    and only the weights come back. Null ids, labels and texts are left out. Repeated labels count once.
+    Reads at most ``per_class`` labelled documents of each class, those of smallest hashed id, and of these as many
+    as have ``most_bytes`` of text together; one task fits them and only the weights come back. Null ids, labels and
+    texts are left out. Repeated labels count once, and of repeated ids the least text does.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     order = [F.xxhash64(F.lit("train"), F.col(id_col)), F.col(id_col)]
@@ -127,10 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = marked.where(F.col("_y") == y).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.select(F.col(id_col).alias("_id"), "_y")
-    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.lit(0).alias("one"), F.col("_id").alias("id"), F.col("_y").alias("y"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
+    texts = texts.select(F.col("_id").alias("id"), F.col("_y").alias("y"), F.make_valid_utf8(F.col(text_col)).alias("text")).groupBy("id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("bigint")).over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("train"), F.col("id")), "id").rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select(F.lit(0).alias("one"), "id", "y", "text")
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
+        pdf = pdf.sort_values("id")
         weights, bias = fit(pdf["text"].tolist(), pdf["y"].to_numpy())
         return pd.DataFrame({"feature": ["", *weights], "weight": [bias, *weights.values()]})
 
@@ -138,20 +144,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class _Scores(dict):
-    """The summed weights of words, remembered up to a bound."""
+    """The summed weights of words, None for words without a learned feature; remembered up to a bound."""
 
     def __init__(self, model: dict[str, float]):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> float | None:
         if len(self) > 150_000:
             self.clear()
-        self[word] = s = sum(self.model.get(f, 0.0) for f in features(word))
+        known = [self.model[f] for f in features(word) if f in self.model]
+        self[word] = s = sum(known) if known else None
         return s
 
 
-def sentence_logits(text: str, scores: _Scores, bias: float) -> np.ndarray:
-    return np.array([bias + sum(map(scores.__getitem__, set(part.lower().split()))) for part in SENTENCE_END.split(text)])
+def sentence_logit(part: str, scores: _Scores, bias: float) -> float:
+    """Minus infinity for a sentence without a learned feature."""
+    known = [s for s in map(scores.__getitem__, set(part.lower().split())) if s is not None]
+    return bias + sum(known) if known else -np.inf
+
+
+def noisy_or(text: str, scores: _Scores, bias: float) -> float:
+    """1 - prod(1 - p) over the sentences; n sentences without a learned feature count as ln(1 + n) of bare bias, so no
+    text becomes toxic by its length."""
+    logits = np.array([sentence_logit(part, scores, bias) for part in SENTENCE_END.split(text)])
+    plain = np.log1p(np.isneginf(logits).sum()) * np.logaddexp(0, bias)
+    return min(1.0, max(0.0, float(-np.expm1(-plain - np.logaddexp(0, logits).sum()))))
 
 
 def offending(text: str, scores: _Scores, bias: float) -> list[dict]:
@@ -159,8 +176,7 @@ def offending(text: str, scores: _Scores, bias: float) -> list[dict]:
     out, start = [], 0
     for end in [*(m.start() for m in SENTENCE_END.finditer(text)), len(text)]:
         part = text[start:end]
-        z = bias + sum(map(scores.__getitem__, set(part.lower().split())))
-        p = float(1 / (1 + np.exp(-z)))
+        p = float(1 / (1 + np.exp(-sentence_logit(part, scores, bias))))
         if p >= SENTENCE_THRESHOLD:
             lead = len(part) - len(part.lstrip())
             out.append({"start": start + lead, "end": end, "score": p})
@@ -178,8 +194,8 @@ def _scorer(model: dict[str, float], text_at: int, below: float | None):
         for batch in slices(batches):
             at, spans = [], []
             for text in batch.column(text_at):
-                text = text.as_py() or ""
-                score = min(1.0, max(0.0, float(-np.expm1(-np.logaddexp(0, sentence_logits(text, scores, bias)).sum()))))
+                text = text_of(text)
+                score = noisy_or(text, scores, bias)
                 at.append(score)
                 if below is None:
                     spans.append(offending(text, scores, bias) if score >= SENTENCE_THRESHOLD else [])
@@ -195,7 +211,8 @@ def _scorer(model: dict[str, float], text_at: int, below: float | None):
 def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``offending`` (``start, end, score`` of toxic sentences) of every row.
 
-    Null and empty texts are one empty sentence and score as low as the bias. Whole texts are read; rows in, rows out.
+    Null and empty texts are one empty sentence and score as low as the bias. Whole texts of any length are read, bytes that
+    aren't UTF-8 as replacement characters; rows in, rows out.
     """
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))

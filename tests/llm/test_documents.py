@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,38 @@ def test_near_groups_of_short_texts(spark):
     assert {tuple(r) for r in minhash.near_groups(table).collect()} == want
 
 
+def test_near_groups_of_crowded_short_sets(spark):
+    # sets of 3 to 12 shingles at similarity 0.75 and near it, several variants of each in the same buckets
+    rows, want = [], set()
+    for f in range(60):
+        n = 7 + f % 10
+        base = [f"c{f}w{i}" for i in range(n)]
+        family = [" ".join(base), " ".join([*base, "x1"]), " ".join([*base, "x1", "x2"]), " ".join(["y1", *base]), " ".join(["y1", *base, "x1"]), " ".join([*base[1:], "z"]), " ".join(base[:-1]), " ".join([*base[:-1], "q"])]
+        family = [(100 * f + i, t) for i, t in enumerate(dict.fromkeys(family))]
+        rows += family
+        want |= near_brute(family)
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {tuple(r) for r in minhash.near_groups(table).collect()} == want
+
+
+def test_near_groups_in_lots(spark, monkeypatch):
+    # texts with more partners than a lot, more outsiders than a lot, and ids too many to broadcast
+    monkeypatch.setattr(minhash, "PARTNERS", 7)
+    monkeypatch.setattr(minhash, "LOT", 3)
+    monkeypatch.setattr(minhash, "BOUNDED_BYTES", 1)
+    base, rows = words(80, 400).split(), []
+    for i in range(60):
+        v = list(base)
+        for j in range(i % 5):
+            v[(11 * i + 17 * j) % 80] = f"u{i % 20}-{j}"
+        rows.append((i, " ".join(v)))
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumn("_keep", F.lit("clash"))
+    assert {tuple(r) for r in minhash.near_groups(table).collect()} == near_brute(rows)
+    assert {r.doc_id for r in minhash.drop_near_copies(table).collect()} == {i for i, _, low, kept in near_brute(rows) if kept}
+    broken = spark.sql("SELECT id AS doc_id, cast(unhex('61FF6220') AS string) || 'x' AS text FROM range(2)")
+    assert [r.component_id for r in minhash.near_groups(broken).collect()] == [0, 0]
+
+
 def test_mix(spark, docs, empty):
     out = mixing.mix(clashing(docs)).collect()
     sizes = {(r.doc_id, r.source): len((r.text or "").split()) for r in docs.collect()}
@@ -211,6 +244,26 @@ def test_toxicity(spark, docs, empty):
     for i, t, x in rows:
         for s in out[i].offending if x else []:
             assert "You are a" in f"{t} number{i}"[s.start : s.end]
+    # a clean text of 100,000 sentences stays clean, and one toxic sentence in it is found
+    long = ". ".join(f"n{i} of the lake" for i in range(100_000))
+    both = spark.createDataFrame([(9000, long), (9001, long + ". You are a blorfing one"), (9002, None)], "doc_id long, text string")
+    model = toxicity.train(table, labels)
+    scores = {r.doc_id: r for r in toxicity.score(both, model).collect()}
+    assert scores[9000].score < 0.1 and scores[9001].score >= 0.7 and scores[9002].score < 0.01 and len(scores[9001].offending) == 1
+    assert toxicity.train(table, labels, most_bytes=0) == {"": -12.0}
+    assert toxicity.train(table.unionByName(table), labels.unionByName(labels)) == pytest.approx(model)  # repeats count once
+    broken = both.selectExpr("doc_id", "cast(unhex('61FF62') AS string) AS text")
+    assert all(r.score < 0.01 for r in toxicity.score(broken, model).collect())
+    # the scores are the noisy-or of the given weights
+    weights = dict(model)
+    bias = weights.pop("")
+    for r in toxicity.score(table, model).where("doc_id < 60").collect():
+        text, keep, plain = f"{rows[r.doc_id][1]} number{r.doc_id}".lower(), 1.0, 0
+        for part in toxicity.SENTENCE_END.split(text):
+            held = [f for w in set(part.split()) for f in toxicity.features(w) if f in weights]
+            keep *= 1 - 1 / (1 + math.exp(-bias - sum(weights[f] for f in held))) if held else 1.0
+            plain += not held
+        assert r.score == pytest.approx(1 - keep * (1 + math.exp(bias)) ** -math.log(1 + plain), abs=1e-9)
     odd = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
     assert len(odd) == 13 and all(0 <= s < 0.7 for s in odd.values())
     assert toxicity.toxicity(empty, labels).count() == 0
@@ -242,6 +295,8 @@ def test_bpe(spark, docs, empty, ranks, fold):
         assert ids == reference.encode_ordinary(text) and r.n_tokens == len(ids)
         got[r.doc_id, text] += 1
     assert got == texts
+    broken = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text")
+    assert bytes(bpe.encode(broken, ranks, fold=fold).first().decoded).decode() == "a\ufffdb"
     assert bpe.encode(empty, ranks, fold=fold).count() == 0
 
 
