@@ -128,7 +128,7 @@ def _compare(percent: int):
 
 
 #: A text with more partners than this is compared in several tasks.
-PARTNERS = 500
+PARTNERS = 100
 #: So many members of a bucket, outside its largest component, meet the others in one task.
 LOT = 64
 
