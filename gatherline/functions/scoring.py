@@ -25,17 +25,24 @@ def correlation(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(spread > 0, F.try_divide(F.covar_pop(a, b), spread)), F.lit(0.0))
 
 
-def r_squared(a: Column, b: Column) -> Column:
-    r = correlation(a, b)
+def r_squared(a: Column, b: Column, guarded: bool = True) -> Column:
+    """The squared correlation; a NaN or infinity raises unless ``guarded`` is off."""
+    r = correlation(*_finite(guarded, a, b))
     return r * r
 
 
+def _finite(guarded: bool, *columns: Column) -> tuple[Column, ...]:
+    return tuple(require_finite(c, name) for c, name in zip(columns, ("prediction", "truth"), strict=True)) if guarded else columns
+
+
 def mse(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
 
 
-def nrmse(p: Column, y: Column, strict: bool = False) -> Column:
-    """Root mean squared error over the truth's population deviation; a constant truth gives null, or an error."""
+def nrmse(p: Column, y: Column, strict: bool = False, guarded: bool = True) -> Column:
+    """Root mean squared error over the truth's population deviation; a constant truth gives null, or an error if
+    ``strict``; a NaN or infinity raises unless ``guarded`` is off."""
+    p, y = _finite(guarded, p, y)
     spread = F.stddev_pop(y)
     if strict:
         spread = F.when(spread == 0, F.raise_error(F.lit("zero variance in the truth"))).otherwise(spread)
@@ -50,7 +57,9 @@ def mae(p: Column, y: Column) -> Column:
     return F.avg(F.abs(p - y))
 
 
-def accuracy(p: Column, y: Column) -> Column:
+def accuracy(p: Column, y: Column, guarded: bool = True) -> Column:
+    """The share of predictions on the truth's side of one half; a NaN or infinity raises unless ``guarded`` is off."""
+    p, y = _finite(guarded, p, y.cast("double"))
     return F.avg((binarised(p) == y).cast("double"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherline.functions.draws import normal, uniform
 from gatherline.functions.scoring import require_finite
+from gatherline.operators.series import in_order
 
 
 def cosine_params(spark: SparkSession, n_features: int, sigma: float = 1.0, seed: int = 137, scale: str = "n") -> DataFrame:
@@ -44,23 +45,32 @@ def leaky_weights(units: int, spectral_radius: float, input_scaling: float, seed
     return w * (spectral_radius / radius if radius else 0.0), input_scaling * rng.uniform(-1, 1, units)
 
 
-def leaky_states(u: np.ndarray, units: int, spectral_radius: float, input_scaling: float, leak: float, seed: int) -> np.ndarray:
-    """``s[t] = (1 - leak) s[t-1] + leak tanh(W s[t-1] + v u[t])``, from 0."""
-    w, v = leaky_weights(units, spectral_radius, input_scaling, seed)
-    out, s = np.empty((len(u), units)), np.zeros(units)
+def leaky_states(u: np.ndarray, w: np.ndarray, v: np.ndarray, leak: np.ndarray | float, start: np.ndarray | None = None) -> np.ndarray:
+    """``s[t] = (1 - leak) s[t-1] + leak tanh(W s[t-1] + v u[t])``, from 0 or ``start``; for many systems at once.
+
+    ``u``: time, or time by systems; ``w``: (systems by) units by units; ``v``: (systems by) units; ``leak``: for each system.
+    """
+    leak = np.asarray(leak)[..., None]
+    out, s = np.empty((len(u), *v.shape)), np.zeros(v.shape) if start is None else start
     for t, x in enumerate(u):
-        s = (1 - leak) * s + leak * np.tanh(w @ s + v * x)
+        s = (1 - leak) * s + leak * np.tanh((w @ s[..., None])[..., 0] + v * np.asarray(x)[..., None])
         out[t] = s
     return out
 
 
 def leaky_features(series: DataFrame, units: int = 8, spectral_radius: float = 0.9, input_scaling: float = 0.5, leak: float = 0.3, seed: int = 137, value: str = "u01") -> DataFrame:
     """``series_id, t, x``: leaky-state features, sequential in a series and parallel over series."""
+    w, v = leaky_weights(units, spectral_radius, input_scaling, seed)
+
+    def step(_):
+        last = [np.zeros(units)]
+
+        def go(u: np.ndarray) -> pa.Array:
+            out = leaky_states(u, w, v, leak, last[0])
+            last[0] = out[-1]
+            return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), units).cast(pa.list_(pa.float64()))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = leaky_states(pdf["v"].to_numpy(float), units, spectral_radius, input_scaling, leak, seed)
-        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "t": pdf["t"].to_numpy(), "x": list(x)})
+        return go
 
-    kind = series.schema["series_id"].dataType.simpleString()
-    return series.select("series_id", "t", F.col(value).alias("v")).groupBy("series_id").applyInPandas(one, f"series_id {kind}, t bigint, x array<double>")
+    rows = series.select("series_id", F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
+    return in_order(rows, ("series_id",), step, "x array<double>").drop("v")

@@ -144,6 +144,26 @@ def all_gates(runs: DataFrame) -> DataFrame:
     return out.unionByName(gate_g3(runs).select("experiment_id", "gate", "verdict")).unionByName(gate_g5(runs).select("experiment_id", "gate", "verdict"))
 
 
+def evaluate(gate: str, runs: DataFrame | None = None, **inputs) -> DataFrame:
+    """One gate by its name: its verdict rows. Thresholds and further tables go in by the gate functions' own names.
+
+    The moment gates, G3, G5, G8 and G10 judge ``runs``; G0 takes ``latest_report``, G0.5 ``left`` and ``right``, G7
+    ``files`` and ``as_of``. An unknown name raises.
+    """
+    moment = {"G1": g1, "G2": g2, "G2.5": g25, "G4": g4}
+    if gate in moment:
+        return moments(runs).select("experiment_id", F.lit(gate).alias("gate"), moment[gate](**inputs).alias("verdict"))
+    if gate == "G8":
+        return moments(runs).select("experiment_id", F.lit(gate).alias("gate"), g8().alias("self_falsified"))
+    whole = {"G0": gate_g0, "G0.5": gate_g05, "G7": gate_g7}
+    if gate in whole:
+        return whole[gate](**inputs)
+    of_runs = {"G3": gate_g3, "G5": gate_g5, "G10": separation}
+    if gate not in of_runs:
+        raise ValueError(f"unknown gate {gate}")
+    return of_runs[gate](runs, **inputs)
+
+
 def run_ids(runs: DataFrame, treatment: str, control: str) -> DataFrame:
     """``experiment_id, run_ids``: treatment ids, then control ids, each in log order."""
     ids = lambda task: F.transform(F.array_sort(F.collect_list(F.when(F.col("task_name") == task, F.struct(*LOG_ORDER)))), lambda x: x["run_id"])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherline.functions.distributions import normal_cdf, normal_ppf, student_t_p, wilcoxon_p
-from gatherline.functions.draws import draw, uniform
+from gatherline.functions.draws import digest, uniform
+from gatherline.functions.scoring import require_finite
 
 GROUP = ("grp",)
 
@@ -44,16 +45,30 @@ def wilcoxon(pairs: DataFrame, group=GROUP) -> DataFrame:
     return out.withColumn("z", z).withColumn("p", wilcoxon_p("statistic", n.cast("double"), F.col("ties").cast("double"))).drop("up", "down")
 
 
+#: Resamples that one row computes; a group's values are copied once for each so many.
+CHUNK = 50
+
+
 def boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """``*group, b, mean``: means of ``resamples`` draws with replacement of each group's values, ordered by ``order``.
 
-    For groups that fit a row; see ``poisson_boot_means`` for others.
+    For groups that fit a row; see ``poisson_boot_means`` for others. A value that isn't finite raises. Chunks of
+    resamples are dealt over all tasks; an md5 gives four draws.
     """
-    rows = values.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda e: e[value]).alias("xs"))
-    each = rows.select(*group, "xs", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    at = lambda i: F.get("xs", (draw(seed, *[F.col(g) for g in group], F.col("b"), i) % F.size("xs")).cast("int"))
-    total = F.aggregate(F.sequence(F.lit(1), F.size("xs")), F.lit(0.0), lambda a, i: a + at(i))
-    return each.select(*group, "b", (total / F.size("xs")).alias("mean"))
+    rows = values.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, require_finite(F.col(value), value).alias("x")))), lambda e: e["x"]).alias("xs"))
+    chunks = rows.select(*group, "xs", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // CHUNK) - 1))).alias("chunk")).repartition(*group, "chunk")
+    n = F.size("xs")
+
+    def drawn(digest: Column, part: int, quarter: Column) -> Column:
+        at = (F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint") % n).cast("int")
+        return F.when(4 * quarter + part < n, F.get("xs", at)).otherwise(0.0)
+
+    def mean(b: Column) -> Column:
+        add = lambda total, q: F.aggregate(F.array(digest(seed, *[F.col(g) for g in group], b, q)), total, lambda t, h: t + drawn(h, 0, q) + drawn(h, 1, q) + drawn(h, 2, q) + drawn(h, 3, q))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), F.lit(0.0), add) / n
+
+    bs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(CHUNK)), lambda i: i + F.col("chunk") * CHUNK), lambda b: b <= resamples)
+    return chunks.select(*group, F.explode(F.transform(bs, lambda b: F.struct(b.alias("b"), mean(b).alias("mean")))).alias("m")).select(*group, "m.b", "m.mean")
 
 
 def poisson_boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -92,6 +107,7 @@ def bca_ci(values: DataFrame, group=GROUP, level: float = 0.95, value: str = "x"
     second's to the power 1.5.
     """
     m = F.avg(value).over(Window.partitionBy(*group))
+    values = values.withColumn(value, require_finite(F.col(value), value))
     c = values.withColumn("_c", F.col(value) - m)
     stats = c.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(F.pow("_c", F.lit(3.0))).alias("s3"), F.sum(F.pow("_c", F.lit(2.0))).alias("s2"))
     stats = stats.withColumn("accel", F.coalesce(F.try_divide(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))), F.lit(0.0)))

@@ -6,40 +6,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherline.operators.features import leaky_states
+from gatherline.operators.features import leaky_states, leaky_weights
 
 ALPHAS = (1e-8, 1e-6, 1e-4, 1e-2, 1.0, 100.0)
 WARM_UP = 10
 STATS = "series_id {0}, fold int, n bigint, sx array<double>, sy array<double>, sxx array<double>, sxy array<double>, syy array<double>"
 
 
-def _sums(pdf: pd.DataFrame) -> dict:
-    x, y = np.array(pdf["x"].tolist(), float), np.array(pdf["y"].tolist(), float)
-    return {"n": len(x), "sx": x.sum(0), "sy": y.sum(0), "sxx": (x.T @ x).ravel(), "sxy": (x.T @ y).ravel(), "syy": (y * y).sum(0)}
+def _sums(key, x: np.ndarray, y: np.ndarray) -> dict:
+    return {"series_id": key[0], "fold": key[1], "n": len(x), "sx": x.sum(0), "sy": y.sum(0), "sxx": (x.T @ x).ravel(), "sxy": (x.T @ y).ravel(), "syy": (y * y).sum(0)}
 
 
-def statistics(rows: DataFrame) -> DataFrame:
-    """Per ``series_id, fold``: n, and sums of x, y, xx', xy' and y*y.
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-    ``rows(series_id, fold, x ARRAY, y ARRAY)``. One pass over the rows: each batch is summed up where it is read,
-    and only those sums are shuffled. A null fold (rows in no validation block) is fold -1.
+
+def partial_statistics(rows: DataFrame) -> DataFrame:
+    """For each batch of rows, ``series_id`` and ``fold``: n, and sums of x, y, xx', xy' and y*y.
+
+    ``rows(series_id, fold, x ARRAY, y ARRAY)``, read once and summed up where they are read. A null fold (rows in no
+    validation block) is fold -1. Sums of a series and fold add up to its statistics.
     """
     kind = rows.schema["series_id"].dataType.simpleString()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame([{"series_id": k[0], "fold": k[1]} | _sums(g) for k, g in pdf.groupby(["series_id", "fold"])])
-
-    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        summed = {c: [np.sum(np.array(pdf[c].tolist()), axis=0)] for c in ("sx", "sy", "sxx", "sxy", "syy")}
-        return pd.DataFrame({"series_id": [key[0]], "fold": [key[1]], "n": [pdf["n"].sum()]} | summed)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
+            keys = pd.MultiIndex.from_arrays([batch.column(0).to_pandas(), batch.column(1).to_pandas()])
+            codes, names = keys.factorize()
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
+            sums = [_sums(names[i], x[order[lo:hi]], y[order[lo:hi]]) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))]
+            kinds = {"series_id": batch.schema.field(0).type, "fold": pa.int32(), "n": pa.int64()}
+            yield pa.RecordBatch.from_pylist(sums, pa.schema([(c, kinds.get(c, pa.list_(pa.float64()))) for c in sums[0]]))
 
     some = rows.select("series_id", F.coalesce("fold", F.lit(-1)).alias("fold"), "x", "y")
-    return some.mapInPandas(partial, STATS.format(kind)).groupBy("series_id", "fold").applyInPandas(total, STATS.format(kind))
+    return some.mapInArrow(partial, STATS.format(kind))
 
 
 def _unpack(row) -> list[np.ndarray]:
@@ -72,21 +80,28 @@ FIT = "series_id {0}, target_k int, alpha double, intercept double, coef array<d
 
 def ridge_cv(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
     """``series_id, target_k, alpha, intercept, coef`` of each series: the alpha of best mean R2 over its folds, first
-    on ties, refitted on all rows. Folds are left out by subtraction; the rows are read once."""
+    on ties, refitted on all rows. Folds are left out by subtraction; the rows are read once, and one row for each batch,
+    series and fold is shuffled. A series that can't be solved has a null fit."""
     kind = rows.schema["series_id"].dataType.simpleString()
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = {int(r["fold"]): _unpack(r) for _, r in pdf.iterrows()}
+        blocks: dict[int, list[np.ndarray]] = {}
+        for _, r in pdf.iterrows():
+            own = _unpack(r)
+            blocks[int(r["fold"])] = [a + b for a, b in zip(blocks[int(r["fold"])], own, strict=True)] if int(r["fold"]) in blocks else own
         every = [sum(parts) for parts in zip(*blocks.values(), strict=True)]
         folds = [f for f in sorted(blocks) if f >= 0]
-        best = alphas[0]
-        if len(alphas) > 1 and len(folds) > 1:
-            score = [np.mean([r2(blocks[f], *solve([a - b for a, b in zip(every, blocks[f], strict=True)], alpha)) for f in folds]) for alpha in alphas]
-            best = alphas[int(np.argmax(score))]
-        w, b = solve(every, best)
+        try:
+            best = alphas[0]
+            if len(alphas) > 1 and len(folds) > 1:
+                score = [np.mean([r2(blocks[f], *solve([a - b for a, b in zip(every, blocks[f], strict=True)], alpha)) for f in folds]) for alpha in alphas]
+                best = alphas[int(np.argmax(score))]
+            w, b = solve(every, best)
+        except np.linalg.LinAlgError:  # such a series has no fit; the others go on
+            return pd.DataFrame({"series_id": key[0], "target_k": range(len(every[2])), "alpha": None, "intercept": None, "coef": None}).astype({"alpha": float, "intercept": float})
         return pd.DataFrame({"series_id": key[0], "target_k": range(len(b)), "alpha": best, "intercept": b, "coef": list(w.T)})
 
-    return statistics(rows).groupBy("series_id").applyInPandas(one, FIT.format(kind))
+    return partial_statistics(rows).groupBy("series_id").applyInPandas(one, FIT.format(kind))
 
 
 def predict(rows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -107,43 +122,60 @@ def ridge_two(rows: DataFrame, alpha: float, group=("series_id",)) -> DataFrame:
     return m.select(*group, "w1", "w2", (F.col("my") - F.col("w1") * F.col("m1") - F.col("w2") * F.col("m2")).alias("b"))
 
 
-def _states(u: np.ndarray, c: pd.Series, units: int, seed: int) -> np.ndarray:
-    return leaky_states(u, units, c["spectral_radius"], c["input_scaling"], c["leak_rate"], seed)
-
-
 def _sum_rows(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [np.array(float(len(x))), x.sum(0), y.sum(0), x.T @ x, x.T @ y, (y * y).sum(0)]
 
 
+PARAMETERS = ("spectral_radius", "input_scaling", "leak_rate")
+
+
+def _weights(configs: list, units: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    made = [leaky_weights(units, c["spectral_radius"], c["input_scaling"], seed) for c in configs]
+    return np.array([w for w, _ in made]), np.array([v for _, v in made]), np.array([c["leak_rate"] for c in configs])
+
+
+def fold_errors(u: np.ndarray, y: np.ndarray, weights: tuple, folds: int, alpha: float) -> np.ndarray:
+    """Mean validation error of each configuration. For each fold the rows outside it are joined, states run over them
+    from 0 and on into the fold; the first WARM_UP rows aren't fitted. All configurations and folds run side by side. A
+    failed fit scores infinite."""
+    w, v, leak = weights
+    size, n_configs = len(u) // folds, len(leak)
+    order = np.array([[*range(f * size), *range((f + 1) * size, len(u)), *range(f * size, (f + 1) * size)] for f in range(folds)]).T
+    target, cut = np.repeat(y[order], n_configs, axis=1), len(u) - size
+    if size == 0 or cut <= WARM_UP:
+        return np.full(n_configs, np.inf)
+    states = leaky_states(np.repeat(u[order], n_configs, axis=1), np.tile(w, (folds, 1, 1)), np.tile(v, (folds, 1)), np.tile(leak, folds))
+    x, t = states[WARM_UP:cut].transpose(1, 0, 2), target[WARM_UP:cut].T
+    mean_x, mean_t = x.mean(1), t.mean(1)
+    xc = x - mean_x[:, None]
+    a = xc.transpose(0, 2, 1) @ xc + alpha * np.eye(x.shape[2])
+    b = xc.transpose(0, 2, 1) @ (t - mean_t[:, None])[..., None]
+    try:
+        coef = np.linalg.solve(a, b)[..., 0]
+    except np.linalg.LinAlgError:
+        coef = np.array([np.linalg.lstsq(p, q, rcond=None)[0] for p, q in zip(a, b, strict=True)])[..., 0]
+    predicted = (states[cut:].transpose(1, 0, 2) @ coef[..., None])[..., 0] + (mean_t - (mean_x * coef).sum(1))[:, None]
+    mean = ((predicted - target[cut:].T) ** 2).mean(1).reshape(folds, n_configs).mean(0)
+    return np.where(np.isfinite(mean), mean, np.inf)
+
+
 def grid_search(series: DataFrame, configs: DataFrame, units: int = 8, folds: int = 3, alphas=ALPHAS, seed: int = 137) -> DataFrame:
     """``series_id, grid_pos, ..., score``: mean validation error of each configuration of leaky-state features.
 
-    ``series(series_id, t, u, y)``; ``configs`` is a small grid. A task holds one series and one configuration.
-    Folds are floor-rule blocks; the smallest alpha is used; the first WARM_UP states are left out; a failed fit
-    scores infinite.
+    ``series(series_id, t, u, y)``; ``configs`` is a small grid and goes to every task. A task holds one series and runs
+    all configurations' states at once. Folds are floor-rule blocks; the smallest alpha is used.
     """
     alpha, kind = min(alphas), series.schema["series_id"].dataType.simpleString()
+    grid = [r.asDict() for r in configs.orderBy("grid_pos").collect()]  # a parameter grid
+    weights = _weights(grid, units, seed)
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        u, y, c = pdf["u"].to_numpy(float), pdf["y"].to_numpy(float)[:, None], pdf.iloc[0]
-        size, scores = len(u) // folds, []
-        try:
-            x = _states(u, c, units, seed)
-            for f in range(folds):
-                val = np.zeros(len(u), bool)
-                val[f * size : (f + 1) * size] = True
-                fit = ~val
-                fit[:WARM_UP] = False
-                w, b = solve(_sum_rows(x[fit], y[fit]), alpha)
-                scores.append(float(((x[val] @ w + b - y[val]) ** 2).mean()))
-            score = float(np.mean(scores))
-        except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
-            score = float("inf")
-        return pd.DataFrame({"series_id": [key[0]], "grid_pos": [int(key[1])], "spectral_radius": c["spectral_radius"], "input_scaling": c["input_scaling"], "leak_rate": c["leak_rate"], "score": score if np.isfinite(score) else np.inf})
-
-    tasks = series.crossJoin(F.broadcast(configs))  # configs: a parameter grid, made on the driver
-    return tasks.groupBy("series_id", "grid_pos").applyInPandas(one, f"series_id {kind}, grid_pos int, spectral_radius double, input_scaling double, leak_rate double, score double")
+        scores = fold_errors(pdf["u"].to_numpy(float), pdf["y"].to_numpy(float), weights, folds, alpha)
+        return pd.DataFrame([{"series_id": key[0], "grid_pos": c["grid_pos"], **{p: c[p] for p in PARAMETERS}, "score": float(s)} for c, s in zip(grid, scores, strict=True)])
+
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be merged
+    return series.repartition(tasks, "series_id").groupBy("series_id").applyInPandas(one, f"series_id {kind}, grid_pos int, spectral_radius double, input_scaling double, leak_rate double, score double")
 
 
 def best_config(scores: DataFrame) -> DataFrame:
@@ -161,7 +193,7 @@ def refit_best(series: DataFrame, best: DataFrame, train_frac: float = 0.7, unit
         pdf = pdf.sort_values("t")
         u, y = pdf["u"].to_numpy(float), pdf["y"].to_numpy(float)[:, None]
         cut = int(len(u) * train_frac)
-        x = _states(u, pdf.iloc[0], units, seed)
+        x = leaky_states(u, *(a[0] for a in _weights([pdf.iloc[0]], units, seed)))
         fit = slice(min(WARM_UP, max(cut - 1, 0)), cut)
         w, b = solve(_sum_rows(x[fit], y[fit]), min(alphas))
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[cut:], "t": pdf["t"].iloc[cut:], "p": (x[cut:] @ w + b)[:, 0], "y": y[cut:, 0]})

@@ -12,8 +12,8 @@ KWH_PER_SECOND = 15 / 3.6e6
 
 
 def succeeded(success: str = "success") -> Column:
-    """True for the encodings that logs hold: true, True, 1."""
-    return F.lower(F.col(success).cast("string")).isin("true", "1")
+    """True for the encodings that logs hold: a boolean, or ``true`` in any case."""
+    return F.lower(F.col(success).cast("string")) == "true"
 
 
 def successful(runs: DataFrame) -> DataFrame:
@@ -122,8 +122,9 @@ def seed_runs(configs: DataFrame, n_seeds: int, task_seed: str = "task_seed", re
 
 def grid(spark, **values) -> DataFrame:
     """All combinations of the values, the last one running fastest, with their place in the grid."""
-    frames = [spark.createDataFrame([(i, float(v)) for i, v in enumerate(vs)], f"_{n} int, {n} double") for n, vs in values.items()]
-    out = reduce(lambda a, b: a.crossJoin(b), frames)
+    out = spark.range(0, 1, 1, 1).select()
+    for n, vs in values.items():
+        out = out.select("*", F.posexplode(F.lit([float(v) for v in vs])).alias(f"_{n}", n))
     place = reduce(lambda acc, n: acc * len(values[n]) + F.col(f"_{n}"), values, F.lit(0))
     return out.withColumn("grid_pos", place.cast("int")).select(*values, "grid_pos")
 

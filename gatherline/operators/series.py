@@ -6,9 +6,12 @@ follow one another share one exchange and sort.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("series_id",)
@@ -36,11 +39,54 @@ def trailing_blend(features: DataFrame, depth: int, columns: list[str], group=SE
     return features.withColumns({f"blend_{c}": 0.5 * F.col(c) + 0.5 * F.avg(c).over(_by(group).rowsBetween(-depth, 0)) for c in columns})
 
 
-def _recurrence(u: np.ndarray) -> np.ndarray:
-    y = np.zeros(len(u) + 1)
-    for t in range(10, len(u)):
-        y[t + 1] = 0.3 * y[t] + 0.05 * y[t] * y[t - 9 : t + 1].sum() + 1.5 * u[t - 9] * u[t] + 0.1
-    return y
+def in_order(rows: DataFrame, group, step, schema: str) -> DataFrame:
+    """``step(key)`` makes a function from arrays of a series' next rows to those of its results; runs over sorted rows.
+
+    Rows are sorted by group and ``t`` in their partition and come in Arrow batches, so a series may have any length.
+    ``rows``: the group's columns, ``t`` and one value; ``schema`` adds result columns to those.
+    """
+    n = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, go = None, None
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True))
+            values, parts, at = batch.column(n + 1).to_numpy(zero_copy_only=False), [], 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if go is None or keys[at] != key:
+                    key, go = keys[at], step(keys[at])
+                parts.append(go(values[at:to]))
+                at = to
+            results = pa.concat_arrays(parts) if parts else pa.array([], batch.schema.field(n + 1).type)
+            if parts:
+                yield pa.RecordBatch.from_arrays([*batch.columns, results], names=[*batch.schema.names, "result"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return rows.repartition(*group).sortWithinPartitions(*group, "t").mapInArrow(run, f"{kinds}, {schema}")
+
+
+def _recurrence(key):
+    """The tenth-order recurrence from its beginning: called with the next inputs, gives the values after them."""
+    u, y = deque(maxlen=10), deque([0.0], maxlen=10)
+
+    def go(inputs: np.ndarray) -> pa.Array:
+        if not ((inputs >= 0) & (inputs <= 0.5)).all():
+            raise ValueError(f"the recurrence's input must lie in [0, 0.5], series {key}")
+        out = []
+        for x in inputs.tolist():
+            u.append(x)
+            # the first value that the recurrence gives follows its eleventh input
+            new = 0.3 * y[-1] + 0.05 * y[-1] * sum(y) + 1.5 * u[0] * x + 0.1 if go.seen >= 10 else 0.0
+            go.seen += 1
+            y.append(new)
+            out.append(new)
+        return pa.array(out, pa.float64())
+
+    go.seen = 0
+    return go
 
 
 def narma_recurrence(series: DataFrame, value: str = "u01", group=SERIES) -> DataFrame:
@@ -48,16 +94,8 @@ def narma_recurrence(series: DataFrame, value: str = "u01", group=SERIES) -> Dat
 
     ``y`` at t is the recurrence's value after that input. Sequential within a series, parallel over series.
     """
-    kinds = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in group)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        u = pdf["u"].to_numpy(float)
-        if len(u) and not ((u >= 0) & (u <= 0.5)).all():
-            raise ValueError("the recurrence's input must lie in [0, 0.5]")
-        return pdf.assign(y=_recurrence(u)[1:])
-
-    return series.select(*group, "t", F.col(value).cast("double").alias("u")).groupBy(*group).applyInPandas(one, f"{kinds}, t bigint, u double, y double")
+    rows = series.select(*group, F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("u"))
+    return in_order(rows, group, _recurrence, "y double")
 
 
 def recurrence_check(stored: DataFrame, group=SERIES, rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
@@ -94,6 +132,3 @@ def fold_ids(series: DataFrame, folds: int, balanced: bool = True, group=SERIES)
         fold = F.when(fold < folds, fold)
     return series.withColumn("fold", fold.cast("int"))
 
-
-def running_max(value: str, window: Window) -> Column:
-    return F.max(value).over(window.rowsBetween(Window.unboundedPreceding, 0))

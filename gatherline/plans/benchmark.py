@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherline.functions import scoring
@@ -30,35 +30,52 @@ def fitted_scores(rows: DataFrame, train_frac: float = 0.7, folds: int = 3, alph
 
 
 def score(predictions: DataFrame, task: str) -> DataFrame:
-    """``series_id, value``: the task's metric of each series."""
+    """``series_id, value``: the task's metric of each series; null where a prediction is missing or not finite."""
     p, y = F.col("p"), F.col("y")
+    whole = F.count_if(~F.coalesce(scoring.is_finite(p), F.lit(False))) == 0
     if task == "stm":
-        return predictions.groupBy("series_id", "k").agg(scoring.r_squared(p, y).alias("r2")).groupBy("series_id").agg(F.sum("r2").alias("value"))
-    return predictions.groupBy("series_id").agg((scoring.accuracy(p, y) if task == "parity" else scoring.nrmse(p, y)).alias("value"))
+        each = predictions.groupBy("series_id", "k").agg(F.when(whole, scoring.r_squared(p, y, guarded=False)).alias("r2"))
+        return each.groupBy("series_id").agg(F.when(F.count("r2") == F.count("*"), F.sum("r2")).alias("value"))
+    metric = scoring.accuracy(p, y, guarded=False) if task == "parity" else scoring.nrmse(p, y, guarded=False)
+    return predictions.groupBy("series_id").agg(F.when(whole, metric).alias("value"))
 
 
-def log_rows(scores: DataFrame, task: str, label: str | None = None, task_seed: int = 42, reservoir_seed: int = 137) -> DataFrame:
-    """Run-log rows; a score that is missing or not finite is a failed run."""
+def log_rows(scores: DataFrame, faulty: DataFrame, task: str, label: str | None = None, task_seed: int = 42, reservoir_seed: int = 137) -> DataFrame:
+    """Run-log rows; a score that is missing or not finite is a failed run, and so is a faulty series."""
+    scores = scores.select("series_id", "value", F.lit(None).cast("string").alias("reason")).unionByName(faulty.select("series_id", F.lit(None).cast("double").alias("value"), "reason"))
     ok = F.coalesce(scoring.is_finite(F.col("value")), F.lit(False))
     return scores.select(
         F.concat_ws("-", F.lit(label or task), F.col("series_id").cast("string")).alias("run_id"), F.col("series_id").alias("experiment_id"), F.lit(label or task).alias("task_name"), F.lit(METRICS[task]).alias("primary_metric_name"),
-        F.col("value").alias("primary_metric_value"), F.lit(task_seed).cast("bigint").alias("task_seed"), F.lit(reservoir_seed).cast("bigint").alias("reservoir_seed"), ok.alias("success"), F.when(~ok, "score is not finite").alias("failure_reason"),
+        F.col("value").alias("primary_metric_value"), F.lit(task_seed).cast("bigint").alias("task_seed"), F.lit(reservoir_seed).cast("bigint").alias("reservoir_seed"), ok.alias("success"), F.when(~ok, F.coalesce("reason", F.lit("score is not finite"))).alias("failure_reason"),
     )
 
 
+def split_faulty(rows: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of the series that the task can use, and ``series_id, reason`` of the others, which become failed runs."""
+    u = F.col({"narma": "u01", "parity": "b"}.get(task, "u")).cast("double")
+    fault = F.when(~F.coalesce(scoring.is_finite(u), F.lit(False)), "input is not finite")
+    if task == "narma":
+        fault = fault.when((u < 0) | (u > 0.5), "input outside [0, 0.5]")
+    marked = rows.withColumn("_fault", F.min(fault).over(Window.partitionBy("series_id")))
+    faulty = marked.where("_fault IS NOT NULL").select("series_id", F.col("_fault").alias("reason")).distinct()
+    return marked.where("_fault IS NULL").drop("_fault"), faulty
+
+
 def run_task(rows: DataFrame, task: str, n_features: int = 8, sigma: float = 1.0, control: str | None = None, seed: int = 137) -> DataFrame:
     """One task on cosine features; ``control`` is ``random_features`` (as they are) or ``phase_random`` (drawn per row)."""
+    rows, faulty = split_faulty(rows, task)
     made = targets(rows, task)
     if control == "phase_random":
         x = features.cosine_features_per_row(made, n_features, sigma * n_features, seed, "v")
     else:
         x = features.cosine_features(made, features.cosine_params(rows.sparkSession, n_features, sigma * n_features, seed), "v")
-    return log_rows(score(fitted_scores(x), task), task, f"ablation:{control}" if control else None, reservoir_seed=seed)
+    return log_rows(score(fitted_scores(x), task), faulty, task, f"ablation:{control}" if control else None, reservoir_seed=seed)
 
 
 def run_leaky(rows: DataFrame, task: str = "narma", label: str = "esn_narma", grid: DataFrame | None = None) -> DataFrame:
     """The leaky-state baseline: grid search, refit of the best, score and log rows."""
+    rows, faulty = split_faulty(rows, task)
     made = targets(rows, task).select("series_id", "t", F.col("v").alias("u"), F.get("y", F.lit(0)).alias("y"))
     train = series.chrono_split(made, 0.7).where("is_train").drop("is_train")
     best = readout.best_config(readout.grid_search(train, grid))
-    return log_rows(score(readout.refit_best(made, best.drop("score")), task), task, label)
+    return log_rows(score(readout.refit_best(made, best.drop("score")), task), faulty, task, label)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatherline.operators import charts, gates, inference, quality, runs
 from gatherline.plans import workloads as w
-from gatherline.plans.series_queries import CORR, T_P, r6, scratch
+from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, T_P, r6, scratch
 from gatherline.sources import runlog
 from gatherline.streaming import live
 
@@ -265,7 +265,11 @@ def gate_all(spark: SparkSession, d: str) -> DataFrame:
     return gates.all_gates(w.runs(spark, d))
 
 
-@query()
+DRIFT = "drift AS (SELECT config_path FROM runs GROUP BY 1 HAVING count(DISTINCT config_hash) > 1)"
+UNLIKE = "unlike AS (SELECT circuit_hash FROM runs GROUP BY circuit_hash, task_seed, task_name HAVING max(primary_metric_value) - min(primary_metric_value) > 1e-9)"
+
+
+@query(f"WITH {RUNS}, {DRIFT}, {UNLIKE} SELECT 'G0' AS gate, CASE WHEN (SELECT count(*) FROM drift) + (SELECT count(*) FROM unlike) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict")
 def gate_g0(spark: SparkSession, d: str) -> DataFrame:
     """A health report from the checks on the runs view, written, read back and judged."""
     at = scratch(spark)
@@ -277,14 +281,21 @@ def gate_g0(spark: SparkSession, d: str) -> DataFrame:
     return gates.gate_g0(runlog.latest_report(spark, f"{at}/reports"))
 
 
-@query("SELECT 'G0.5' AS gate, CASE WHEN count(*) = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'FAIL' END AS verdict FROM events")
+@query(f"""WITH {w.SERIES_SQL}, moved AS (SELECT u AS x, u + CASE WHEN t % 2 = 0 THEN 2e-6 ELSE 0 END AS near, u + CASE WHEN t = 3 THEN 2e-5 ELSE 0 END AS far FROM series),
+gaps AS (SELECT max(abs(x - near)) AS near, max(abs(x - far)) AS far FROM moved)
+SELECT 'G0.5' AS gate, 'near' AS variant, CASE WHEN near IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN near <= 1e-5 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM gaps
+UNION ALL SELECT 'G0.5', 'far', CASE WHEN far IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN far <= 1e-5 THEN 'PASS' ELSE 'FAIL' END FROM gaps""")
 def gate_g05(spark: SparkSession, d: str) -> DataFrame:
-    """Series against a copy that is off by 2e-5 in one entry of each series: beyond the tolerance."""
+    """Series against two copies: one off by less than the tolerance in every second entry, one by more in some."""
     left = w.series(spark, d).select("series_id", "t", F.lit(0).alias("j"), F.col("u").alias("x"))
-    return gates.gate_g05(left, left.withColumn("x", F.when(F.col("t") == 3, F.col("x") + 2e-5).otherwise(F.col("x"))))
+    near = left.withColumn("x", F.when(F.col("t") % 2 == 0, F.col("x") + 2e-6).otherwise(F.col("x")))
+    far = left.withColumn("x", F.when(F.col("t") == 3, F.col("x") + 2e-5).otherwise(F.col("x")))
+    judged = [gates.gate_g05(left, right).select("gate", F.lit(name).alias("variant"), "verdict") for name, right in (("near", near), ("far", far))]
+    return judged[0].unionByName(judged[1])
 
 
-@query()
+@query("""SELECT CASE event_id % 10 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'times must be positive' WHEN 3 THEN 'missing t2' WHEN 4 THEN 'readout error outside [0, 1]'
+  WHEN 8 THEN 'too old' WHEN 9 THEN 'too old' END AS fault, count(*) AS n FROM events GROUP BY 1""")
 def gate_g7(spark: SparkSession, d: str) -> DataFrame:
     """A calibration text for each event: its age from the event's number, faulty where that ends in certain digits."""
     k = F.col("event_id") % 10
@@ -294,18 +305,23 @@ def gate_g7(spark: SparkSession, d: str) -> DataFrame:
     return gates.calibration_faults(files, F.timestamp_seconds(F.lit(1_767_225_600))).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(PAIRED.format(runs=RUNS) + f""", pairs AS (SELECT q.experiment_id AS grp, q.rn AS pair_id, q.v AS a, e.v AS b FROM x q JOIN x e ON q.experiment_id = e.experiment_id AND q.rn = e.rn WHERE q.task_name = 'stm' AND e.task_name = 'ablation:haar'), {BOOT_SQL}, {BCA_SQL},
+ts AS (SELECT grp, avg(a - b) AS md, stddev_samp(a - b) AS sd, count(*) - 1 AS df, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM pairs GROUP BY grp),
+tp AS (SELECT *, coalesce(CASE WHEN df >= 1 THEN CASE WHEN md > 0 THEN {T_P} / 2 ELSE 1 - {T_P} / 2 END END, 1.0) AS p FROM ts),
+hs AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p AS scaled FROM tp),
+hp AS (SELECT *, least(1.0, max(scaled) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM hs),
+cv AS (SELECT experiment_id AS grp, count(DISTINCT task_seed) AS seeds, count(DISTINCT reservoir_seed) AS draws FROM runs WHERE success AND task_name = 'stm' GROUP BY 1)
+SELECT hp.grp AS experiment_id, CASE WHEN md >= 0.05 AND coalesce(low > 0, false) AND adjusted < 0.05 AND seeds >= 5 AND draws >= 3 THEN 'separated' WHEN md > 0 THEN 'inconclusive' ELSE 'negative' END AS verdict
+FROM hp JOIN bca ON bca.grp = hp.grp JOIN cv ON cv.grp = hp.grp""")
 def separation_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return gates.separation(w.runs(spark, d), "stm", "ablation:haar", "mc", 0.05, resamples=200)
+    return gates.separation(w.runs(spark, d), "stm", "ablation:haar", "mc", 0.05)
 
 
-@query(f"""WITH {w.PAIRS_SQL}, xs AS (SELECT grp, list(a - b ORDER BY pair_id) AS xs, avg(a - b) AS effect FROM pairs GROUP BY grp),
-b AS (SELECT grp, effect, list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[(('0x' || substr(md5('42:' || grp || ':' || b || ':' || i), 1, 8))::BIGINT % len(xs)) + 1])) / len(xs) AS v FROM xs, range(1, 101) r(b)),
-q AS (SELECT grp, effect, quantile_cont(v, 0.025) AS low FROM b GROUP BY grp, effect)
+@query(f"""WITH {w.PAIRS_SQL}, {BOOT_SQL}, q AS (SELECT grp, effect, quantile_cont(m, 0.025) AS low FROM boot GROUP BY grp, effect)
 SELECT grp, CASE WHEN effect >= 1000 AND low > 0 THEN 'met' WHEN effect >= 1000 THEN 'inconclusive' ELSE 'not_met' END AS verdict FROM q""")
 def effect_rule(spark: SparkSession, d: str) -> DataFrame:
     values = w.pairs(spark, d).select("grp", "pair_id", (F.col("a") - F.col("b")).alias("x"))
-    out = inference.bootstrap_ci(values, resamples=100).join(values.groupBy("grp").agg(F.avg("x").alias("effect")), "grp")
+    out = inference.bootstrap_ci(values).join(values.groupBy("grp").agg(F.avg("x").alias("effect")), "grp")
     return out.select("grp", inference.effect_rule(F.col("effect"), F.col("low"), F.col("high"), 1000.0).alias("verdict"))
 
 
@@ -354,9 +370,12 @@ def chart_headline(spark: SparkSession, d: str) -> DataFrame:
 # checks
 
 
-@query(f"WITH {RUNS} SELECT experiment_id, 'primary_metric_value' AS name, 0::BIGINT AS bad FROM runs GROUP BY 1")
+@query(f"WITH {RUNS} SELECT experiment_id, 'primary_metric_value' AS name, count(*) FILTER (run_id::BIGINT % 7 IN (0, 1, 2)) AS bad FROM runs GROUP BY 1")
 def finite_report(spark: SparkSession, d: str) -> DataFrame:
-    return quality.finite_report(w.runs(spark, d), ["primary_metric_value"])
+    """Runs of which three in seven, by number, have no metric, or one that is NaN or infinite."""
+    k, v = F.col("run_id").cast("bigint") % 7, F.col("primary_metric_value")
+    spoiled = F.when(k == 0, F.lit(None)).when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).otherwise(v)
+    return quality.finite_report(w.runs(spark, d).withColumn("primary_metric_value", spoiled), ["primary_metric_value"])
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'quantity' ELSE 'discount' END AS rule, count(*) AS n FROM lineitem WHERE l_quantity > 40 OR l_discount > 0.05 GROUP BY ALL")
@@ -400,10 +419,13 @@ def matched_baseline(spark: SparkSession, d: str) -> DataFrame:
     return runs.matched_baseline(w.runs(spark, d), "stm", "esn", "mc").withColumns({"mean_value": F.round("mean_value", 6), "target": F.round("target", 6)})
 
 
-@query(f"WITH {w.SERIES_SQL} SELECT DISTINCT 'determinism' AS check_name, 'PASS' AS status FROM series UNION ALL SELECT DISTINCT 'config_drift', 'FAIL' FROM series UNION ALL SELECT DISTINCT 'overall', 'FAIL' FROM series")
+@query(f"""WITH {RUNS}, {DRIFT}, {UNLIKE}, twice AS (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT 'determinism' AS check_name, (SELECT count(*) FROM twice) AS n UNION ALL SELECT 'config_drift', (SELECT count(*) FROM drift) UNION ALL SELECT 'fingerprints', (SELECT count(*) FROM unlike))
+SELECT check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c UNION ALL SELECT 'overall', CASE WHEN sum(n) = 0 THEN 'PASS' ELSE 'FAIL' END FROM c""")
 def health_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = w.series(spark, d)
-    return quality.rolled_up({"determinism": rows.exceptAll(w.series(spark, d)), "config_drift": quality.config_drift(w.runs(spark, d))})
+    log = w.runs(spark, d)
+    return quality.rolled_up({"determinism": rows.exceptAll(w.series(spark, d)), "config_drift": quality.config_drift(log), "fingerprints": quality.fingerprint_consistency(log)})
 
 
 # streams

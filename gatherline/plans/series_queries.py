@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +69,18 @@ def narma_recurrence(spark: SparkSession, d: str) -> DataFrame:
     return series.narma_recurrence(w.series(spark, d)).select("series_id", "t", r6("y", "y"))
 
 
-@query(f"WITH {w.SERIES_SQL} SELECT series_id, count(*) AS n, 0 AS bad FROM series GROUP BY series_id")
+@query(NARMA_SQL + """, made AS (
+  SELECT s.series_id, s.t, s.u01 AS u, coalesce(CASE WHEN r.t >= 10 THEN r.ys[10] END, 0.0) + CASE WHEN s.series_id % 3 = 0 AND s.t = 30 THEN 0.001 ELSE 0 END AS y
+  FROM series s LEFT JOIN rec r ON r.series_id = s.series_id AND r.t = s.t),
+c AS (
+  SELECT series_id, y, CASE WHEN t < 10 THEN 0.0 ELSE 0.3 * lag(y) OVER w + 0.05 * lag(y) OVER w * sum(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) + 1.5 * lag(u, 9) OVER w * u + 0.1 END AS e
+  FROM made WINDOW w AS (PARTITION BY series_id ORDER BY t))
+SELECT series_id, count(*) AS n, count(*) FILTER (abs(y - e) > 1e-12 + 1e-10 * abs(e)) AS bad FROM c GROUP BY series_id""")
 def recurrence_check(spark: SparkSession, d: str) -> DataFrame:
-    checked = series.recurrence_check(series.narma_recurrence(w.series(spark, d)))
-    return checked.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if("bad").cast("int").alias("bad"))
+    """Stored values that follow the recurrence, but for one in every third series, which spoils those after it."""
+    made = series.narma_recurrence(w.series(spark, d))
+    spoiled = made.withColumn("y", F.col("y") + F.when((F.col("series_id") % 3 == 0) & (F.col("t") == 30), 0.001).otherwise(0.0))
+    return series.recurrence_check(spoiled).groupBy("series_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
 
 
 @query(f"WITH {w.SERIES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM series) SELECT series_id, t, CASE WHEN t // (n // 5) < 5 THEN (t // (n // 5))::INT END AS fold FROM c")
@@ -154,13 +163,14 @@ def rks_per_row(spark: SparkSession, d: str) -> DataFrame:
     return x.select("series_id", "t", F.posexplode("x").alias("j", "x")).select("series_id", "t", "j", r6("x", "x"))
 
 
-@query("""WITH f AS (SELECT vec_id % 4 AS series_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label >= 5)::INT::DOUBLE AS y FROM embeddings),
+@query("""WITH f AS (SELECT vec_id % 4 AS series_id, list_sum(embedding[1:32]::DOUBLE[]) AS x1, list_sum(embedding[33:64]::DOUBLE[]) AS x2, (label >= 5)::INT::DOUBLE AS y FROM embeddings),
 m AS (SELECT series_id, sum(x1 * x1) - sum(x1) * sum(x1) / count(*) + 0.01 AS a, sum(x1 * x2) - sum(x1) * sum(x2) / count(*) AS c, sum(x2 * x2) - sum(x2) * sum(x2) / count(*) + 0.01 AS d,
   sum(x1 * y) - sum(x1) * sum(y) / count(*) AS p, sum(x2 * y) - sum(x2) * sum(y) / count(*) AS q, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM f GROUP BY series_id),
 s AS (SELECT *, (p * d - q * c) / (a * d - c * c) AS w1, (q * a - p * c) / (a * d - c * c) AS w2 FROM m)
 SELECT series_id, round(w1, 6) AS w1, round(w2, 6) AS w2, round(my - w1 * m1 - w2 * m2, 6) AS b FROM s""")
 def ridge_f2(spark: SparkSession, d: str) -> DataFrame:
-    rows = w.features(spark, d, 2).select("series_id", F.get("x", F.lit(0)).alias("x1"), F.get("x", F.lit(1)).alias("x2"), "y")
+    half = lambda first: F.aggregate(F.slice("x", first, 32), F.lit(0.0), lambda a, v: a + v)
+    rows = w.features(spark, d).select("series_id", half(1).alias("x1"), half(33).alias("x2"), "y")
     return readout.ridge_two(rows, 0.01).select("series_id", r6("w1", "w1"), r6("w2", "w2"), r6("b", "b"))
 
 
@@ -175,10 +185,21 @@ def rks_baseline(spark: SparkSession, d: str) -> DataFrame:
     return benchmark.run_task(w.series(spark, d), "narma", control="random_features").drop("failure_reason")
 
 
-@query()
+def _leaky_sql(units: int = 8, leak: float = 0.3) -> str:
+    """States by recursion over the same weights, given as numbers."""
+    m, v = features.leaky_weights(units, 0.9, 0.5, 137)
+    pull = [f"{1 - leak} * r.s[{i + 1}] + {leak} * tanh(" + " + ".join(f"{x!r} * r.s[{j + 1}]" for j, x in enumerate(m[i].tolist())) + f" + {float(v[i])!r} * i.u01)" for i in range(units)]
+    zero = ", ".join(["0.0::DOUBLE"] * units)
+    return f"""WITH RECURSIVE {w.SERIES_SQL}, rec(series_id, t, s) AS (
+  SELECT DISTINCT series_id, -1::BIGINT, [{zero}] FROM series
+  UNION ALL SELECT r.series_id, i.t, [{", ".join(pull)}] FROM rec r JOIN series i ON i.series_id = r.series_id AND i.t = r.t + 1)
+SELECT series_id, t, (j - 1)::INT AS j, round(s[j], 6) AS x FROM rec, range(1, {units + 1}) k(j) WHERE t >= 0"""
+
+
+@query(_leaky_sql())
 def leaky_features(spark: SparkSession, d: str) -> DataFrame:
-    x = features.leaky_features(w.series(spark, d), units=4)
-    return x.select("series_id", "t", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    x = features.leaky_features(w.series(spark, d))
+    return x.select("series_id", "t", F.posexplode("x").alias("j", "x")).select("series_id", "t", "j", r6("x", "x"))
 
 
 def _narma(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +207,8 @@ def _narma(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession) -> DataFrame:
-    return grid(spark, spectral_radius=(0.8, 0.95), input_scaling=(0.5, 1.0), leak_rate=(0.3, 1.0))
+    """The configured grid: 60 configurations."""
+    return grid(spark, spectral_radius=(0.8, 0.9, 0.95, 0.99, 1.0), input_scaling=(0.1, 0.5, 1.0), leak_rate=(0.1, 0.3, 0.5, 1.0))
 
 
 @query()
@@ -257,23 +279,53 @@ def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return inference.wilcoxon(w.pairs(spark, d)).select("grp", "n", r6("statistic", "statistic"), r6("z", "z"))
 
 
-@query()
+def phi_sql(z: str) -> str:
+    """The normal distribution function as its series."""
+    terms = f"list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(abs({z})) + 0.5 * ln(pi()) - (k + 1) * ln(2) - lgamma(k + 1.5))))"
+    return f"(CASE WHEN ({z}) = 0 THEN 0.5 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
+def ppf_sql(p: str) -> str:
+    """Its inverse by Newton's steps from 0."""
+    return f"list_reduce(list_transform(range(0, 60), lambda i: i::DOUBLE), lambda z, i: z - ({phi_sql('z')} - {p}) * sqrt(2 * pi()) * exp(z * z / 2), 0.0::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE {w.PAIRS_SQL}, r AS (SELECT grp, a - b AS d, rank() OVER (PARTITION BY grp ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY grp, abs(a - b)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY grp, abs(a - b)) AS c FROM pairs WHERE a <> b),
+s AS (SELECT grp, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic, sum(c * c - 1) AS ties FROM r GROUP BY grp),
+ways(k, w) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1), lambda i: coalesce(w[i + 1], 0) + CASE WHEN i > k THEN coalesce(w[i - k], 0) ELSE 0 END) FROM ways WHERE k < 50),
+z AS (SELECT *, abs(statistic - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2.0) / 24.0) AS z FROM s)
+SELECT grp, n, round(CASE WHEN n <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(w[1:floor(statistic)::INT + 1]) / power(2, n)) ELSE 2 * (1 - {phi_sql("z")}) END, 6) AS p FROM z LEFT JOIN ways ON k = n""")
 def wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
     return inference.wilcoxon(w.pairs(spark, d)).select("grp", "n", r6("p", "p"))
 
 
-@query(f"""WITH {w.PAIRS_SQL}, xs AS (SELECT grp, list(a - b ORDER BY pair_id) AS xs FROM pairs GROUP BY grp),
-m AS (SELECT grp, b, list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[(('0x' || substr(md5('42:' || grp || ':' || b || ':' || i), 1, 8))::BIGINT % len(xs)) + 1])) / len(xs) AS m FROM xs, range(1, 201) r(b))
-SELECT grp, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY grp""")
+#: 1000 resamples of ``pairs(grp, pair_id, a, b)``: the same draws, four from each md5.
+BOOT_SQL = """xs AS (SELECT grp, list(a - b ORDER BY pair_id) AS xs, avg(a - b) AS effect FROM pairs GROUP BY grp),
+boot AS (
+  SELECT grp, effect, list_sum(list_transform(range(0, len(xs)), lambda i: xs[(('0x' || substr(md5('42:' || grp || ':' || b || ':' || (i // 4)), 8 * (i % 4) + 1, 8))::BIGINT % len(xs)) + 1])) / len(xs) AS m
+  FROM xs, range(1, 1001) r(b))"""
+BCA_SQL = f"""dev AS (SELECT grp, len(xs) AS n, effect, unnest(xs) - effect AS c FROM xs),
+jack AS (SELECT grp, n, effect, coalesce(sum(c * c * c) / nullif(6 * power(sum(c * c), 1.5), 0), 0) AS accel FROM dev GROUP BY grp, n, effect),
+means AS (SELECT grp, list_sort(list(m)) AS ms, greatest(least(count(*) FILTER (m < effect) / count(*), 1 - 1e-10), 1e-10)::DOUBLE AS share FROM boot GROUP BY grp),
+bias AS (SELECT j.*, ms, {ppf_sql("share")} AS z0 FROM jack j JOIN means ON means.grp = j.grp),
+tails AS (SELECT *, z0 - 1.959963984540054 AS zl, z0 + 1.959963984540054 AS zh FROM bias),
+args AS (SELECT *, z0 + zl / (1 - accel * zl) AS al, z0 + zh / (1 - accel * zh) AS ah FROM tails),
+ends AS (SELECT *, {phi_sql("al")} * (len(ms) - 1) AS pl, {phi_sql("ah")} * (len(ms) - 1) AS ph FROM args),
+bca AS (SELECT grp, n, effect AS mean, """ + ", ".join(f"CASE WHEN n >= 3 THEN ms[floor({p})::INT + 1] + ({p} - floor({p})) * (coalesce(ms[floor({p})::INT + 2], ms[floor({p})::INT + 1]) - ms[floor({p})::INT + 1]) END AS {name}" for p, name in (("pl", "low"), ("ph", "high"))) + " FROM ends)"
+
+
+def _differences(spark: SparkSession, d: str) -> DataFrame:
+    return w.pairs(spark, d).select("grp", "pair_id", (F.col("a") - F.col("b")).alias("x"))
+
+
+@query(f"WITH {w.PAIRS_SQL}, {BOOT_SQL} SELECT grp, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM boot GROUP BY grp")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    values = w.pairs(spark, d).select("grp", "pair_id", (F.col("a") - F.col("b")).alias("x"))
-    return inference.bootstrap_ci(values, resamples=200).select("grp", r6("low", "low"), r6("high", "high"))
+    return inference.bootstrap_ci(_differences(spark, d)).select("grp", r6("low", "low"), r6("high", "high"))
 
 
-@query()
+@query(f"WITH {w.PAIRS_SQL}, {BOOT_SQL}, {BCA_SQL} SELECT grp, n, round(mean, 6) AS mean, round(low, 4) AS low, round(high, 4) AS high FROM bca")
 def bca_ci(spark: SparkSession, d: str) -> DataFrame:
-    values = w.pairs(spark, d).select("grp", "pair_id", (F.col("a") - F.col("b")).alias("x"))
-    return inference.bca_ci(values, resamples=200).select("grp", "n", r6("mean", "mean"), r6("low", "low"), r6("high", "high"))
+    return inference.bca_ci(_differences(spark, d)).select("grp", "n", r6("mean", "mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query(f"WITH {w.SERIES_SQL} SELECT series_id, round(quantile_cont(u, 0.05), 6) AS p05, round(quantile_cont(u, 0.5), 6) AS p50, round(quantile_cont(u, 0.95), 6) AS p95 FROM series GROUP BY series_id")
@@ -284,8 +336,9 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, for a query that writes and reads back."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/gatherline-{uuid.uuid4().hex}"
-

@@ -89,7 +89,7 @@ PAIRS_SQL = """pairs AS (
   JOIN customer ON o_custkey = c_custkey WHERE a IS NOT NULL AND b IS NOT NULL)"""
 
 
-def features(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
-    """``series_id, t, x, y, fold``-ready rows: the first entries of an embedding, and whether its label is 5 or more."""
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series_id, t, x, y``: a whole embedding, and whether its label is 5 or more."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select((F.col("vec_id") % 4).alias("series_id"), F.col("vec_id").alias("t"), F.slice(F.col("embedding").cast("array<double>"), 1, width).alias("x"), (F.col("label") >= 5).cast("double").alias("y"))
+    return rows.select((F.col("vec_id") % 4).alias("series_id"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") >= 5).cast("double").alias("y"))

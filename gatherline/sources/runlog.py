@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatherline.operators.runs import stage_total
@@ -20,7 +22,7 @@ def parsed(runs: DataFrame) -> DataFrame:
     """JSON cells to arrays and maps, timestamps (ISO, with offset or Z; bad ones null) and success to types."""
     rows = complete(runs)
     typed = {c: F.from_json(c, kind) for c, kind in JSON_CELLS.items() if rows.schema[c].dataType.simpleString() == "string"}
-    typed |= {"timestamp_utc": F.try_to_timestamp("timestamp_utc"), "success": F.lower("success").isin("true", "1")} if rows.schema["success"].dataType.simpleString() == "string" else {}
+    typed |= {"timestamp_utc": F.try_to_timestamp("timestamp_utc"), "success": F.lower("success") == "true"} if rows.schema["success"].dataType.simpleString() == "string" else {}
     return rows.withColumns(typed)
 
 
@@ -49,10 +51,20 @@ def append_log(runs: DataFrame, path: str) -> None:
     complete(runs).write.mode("append").partitionBy("task_name").parquet(path)
 
 
-def keyed_insert(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The rows of ``new`` whose ``run_id`` isn't there yet, once each, with the runtime and the row as JSON."""
-    rows = new.dropDuplicates(["run_id"]).join(existing.select("run_id"), "run_id", "left_anti")
-    return rows.withColumn("runtime_seconds", stage_total("runtime_per_stage_seconds")).withColumn("manifest", F.to_json(F.struct(*new.columns)))
+def keyed_insert(new: DataFrame, existing: DataFrame, strict: bool = False) -> DataFrame:
+    """The rows of ``new`` whose ``run_id`` isn't there yet, once each, with the runtime and the row as JSON.
+
+    Of new rows with one id the least by its JSON stays. ``strict``: an id that is there, or comes twice, raises.
+    """
+    rows = new.withColumn("manifest", F.to_json(F.struct(*new.columns)))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("run_id").orderBy("manifest")))
+    there = existing.select("run_id", F.lit(True).alias("_there")).distinct()
+    rows = rows.join(there, "run_id", "left")
+    again = (F.col("_nth") > 1) | F.coalesce("_there", F.lit(False))
+    wanted = ~again
+    if strict:
+        wanted = F.when(again, F.raise_error(F.concat(F.lit("run_id is there already: "), "run_id")).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(wanted).drop("_nth", "_there").withColumn("runtime_seconds", stage_total("runtime_per_stage_seconds"))
 
 
 def export_csv(runs: DataFrame, path: str) -> bool:
@@ -100,10 +112,10 @@ def save_timings(timings: DataFrame, path: str) -> None:
 
 
 def query(runs: DataFrame, sql: str, args: list | None = None) -> DataFrame:
-    """A read query over ``{runs}`` with positional parameters."""
-    return runs.sparkSession.sql(sql, args=args or [], runs=runs) if "{runs}" in sql and not args else _with_view(runs, sql, args)
-
-
-def _with_view(runs: DataFrame, sql: str, args: list | None) -> DataFrame:
-    runs.createOrReplaceTempView("runs")
-    return runs.sparkSession.sql(sql.replace("{runs}", "runs"), args=args or [])
+    """A read query over ``{runs}`` with positional parameters; the session's own views stay as they are."""
+    name = f"runs_{uuid.uuid4().hex}"
+    runs.createTempView(name)
+    try:
+        return runs.sparkSession.sql(sql.replace("{runs}", name), args=args or [])
+    finally:
+        runs.sparkSession.catalog.dropTempView(name)

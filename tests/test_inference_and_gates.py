@@ -163,3 +163,21 @@ def test_log_operators(spark):
     bad = quality.range_violations(spark.createDataFrame([(1.0,), (-1.0,), (None,)], "x double"), [("positive", F.col("x") > 0)])
     assert bad.count() == 2
     assert spark.sql("SELECT map('a', 'PASS', 'b', 'FAIL') AS m").select(quality.all_pass("m")).first()[0] == "FAIL"
+
+
+def test_gates_by_name(spark):
+    log = spark.createDataFrame([(1, f"r{i}", "stm", "mc", 2.0 + i / 10, True, "cpu", "h", i, i) for i in range(5)] + [(1, "c", "ablation:no_entangle", "mc", 0.1, True, "cpu", "h", 0, 0)], "experiment_id int, run_id string, task_name string, primary_metric_name string, primary_metric_value double, success boolean, backend_device string, circuit_hash string, task_seed long, reservoir_seed long").withColumn("timestamp_utc", F.timestamp_seconds(F.col("task_seed")))
+    assert gates.evaluate("G1", log).first().verdict == "PASS" and gates.evaluate("G1", log, capacity=9.0).first().verdict == "FAIL"
+    assert gates.evaluate("G5", log).first().verdict == "PASS" and gates.evaluate("G3", log).first().verdict == "INSUFFICIENT_EVIDENCE"
+    assert not gates.evaluate("G8", log).first().self_falsified
+    assert gates.evaluate("G0", latest_report=spark.createDataFrame([("PASS",)], "overall string")).first().verdict == "PASS"
+    assert gates.evaluate("G7", files=spark.createDataFrame([("p", "{")], "path string, text string"), as_of=F.timestamp_seconds(F.lit(0))).first().verdict == "FAIL"
+    with pytest.raises(ValueError):
+        gates.evaluate("G11", log)
+
+
+def test_bootstrap_refuses_what_is_not_finite(spark):
+    values = spark.createDataFrame([(1, i, float("nan") if i == 3 else 1.0) for i in range(5)], "grp int, pair_id int, x double")
+    for interval in (inference.bootstrap_ci, inference.bca_ci):
+        with pytest.raises(Exception, match="non-finite"):
+            interval(values, resamples=10).collect()

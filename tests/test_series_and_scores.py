@@ -77,6 +77,12 @@ def test_scores(spark):
     assert one([(1.0, 2.0), (3.0, 2.0), (2.0, 5.0)], scoring.nrmse(p, y)) == pytest.approx(math.sqrt(11 / 3) / np.std([2, 2, 5]))
     with pytest.raises(Exception, match="non-finite"):
         one([(math.nan, 1.0)], F.max(scoring.require_finite(p, "p")))
+    for score in (scoring.r_squared, scoring.nrmse, scoring.accuracy):
+        with pytest.raises(Exception, match="non-finite"):
+            one([(math.nan, 1.0), (0.5, 0.0)], score(p, y))
+        with pytest.raises(Exception, match="non-finite"):
+            one([(0.5, math.inf), (0.5, 0.0)], score(p, y))
+        one([(math.nan, 1.0), (0.5, 0.0)], score(p, y, guarded=False))
     perfect = spark.createDataFrame([(k, float((t * (k + 3)) % 17), float((t * (k + 3)) % 17)) for k in range(5) for t in range(100)], "k int, p double, y double")
     assert perfect.groupBy("k").agg(scoring.r_squared(p, y).alias("r")).agg(F.sum("r")).first()[0] == pytest.approx(5.0)
     with pytest.raises(ValueError):
@@ -135,16 +141,19 @@ def test_grid_search_and_best(spark, table):
     scores = readout.grid_search(rows, grid, units=4)
     got = {r.grid_pos: r.score for r in scores.collect()}
     v = by_series(rows, "u", "y")[0]
-    states = features.leaky_states(v[:, 0], 4, 0.9, 1.0, 0.3, 137)
+    w, inputs = features.leaky_weights(4, 0.9, 1.0, 137)
     want = []
-    for f in range(3):
-        val = np.zeros(100, bool)
-        val[f * 33 : f * 33 + 33] = True
-        fit = ~val
-        fit[:10] = False
-        w, b = readout.solve(readout._sum_rows(states[fit], v[fit, 1:]), 1e-8)
-        want.append(((states[val] @ w + b - v[val, 1:]) ** 2).mean())
-    assert got[2] == pytest.approx(np.mean(want))
+    for f in range(3):  # a plain loop: the rows outside the fold from a zero state, then on into the fold
+        val = list(range(f * 33, f * 33 + 33))
+        out = [i for i in range(100) if i not in val]
+        s, states = np.zeros(4), []
+        for i in [*out, *val]:
+            s = 0.7 * s + 0.3 * np.tanh(w @ s + inputs * v[i, 0])
+            states.append(s)
+        states = np.array(states)
+        coef, b = readout.solve(readout._sum_rows(states[10:67], v[out, 1:][10:]), 1e-8)
+        want.append(((states[67:] @ coef + b - v[val, 1:]) ** 2).mean())
+    assert got[2] == pytest.approx(np.mean(want), rel=1e-4)
     best = readout.best_config(scores)
     assert best.first().grid_pos == min(got, key=lambda k: (got[k], k))
     tied = scores.withColumn("score", F.lit(1.0))
@@ -159,3 +168,26 @@ def test_pipeline_is_repeatable(table):
     a, b = ({r.run_id: r.primary_metric_value for r in x.collect()} for x in (first, again))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) and 0 <= a[k] <= 6 for k in a)
     assert {r.task_name for r in benchmark.run_task(table, "parity", control="phase_random").collect()} == {"ablation:phase_random"}
+
+
+def test_one_bad_series_does_not_stop_the_others(table):
+    spoiled = table.withColumn("u01", F.when((F.col("series_id") == 1) & (F.col("t") == 40), 0.9).otherwise(F.col("u01")))
+    spoiled = spoiled.withColumn("u", F.when((F.col("series_id") == 2) & (F.col("t") == 5), math.inf).otherwise(F.col("u")))
+    runs_of = lambda df: {r.experiment_id: (r.success, r.failure_reason) for r in df.collect()}
+    assert runs_of(benchmark.run_task(spoiled, "narma")) == {0: (True, None), 1: (False, "input outside [0, 0.5]"), 2: (True, None)}
+    assert runs_of(benchmark.run_task(spoiled, "stm")) == {0: (True, None), 1: (True, None), 2: (False, "input is not finite")}
+    assert runs_of(benchmark.run_task(spoiled, "parity")) == dict.fromkeys(range(3), (True, None))
+
+
+def test_recurrence_over_many_batches(spark, table):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = by_series(series.narma_recurrence(table), "u", "y")
+    states = by_series(features.leaky_features(table, units=3).select("series_id", "t", F.col("x")[2].alias("x")), "x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        again = by_series(series.narma_recurrence(table), "u", "y")
+        assert all((whole[k] == again[k]).all() for k in whole)
+        cut = by_series(features.leaky_features(table, units=3).select("series_id", "t", F.col("x")[2].alias("x")), "x")
+        assert all((states[k] == cut[k]).all() for k in states)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

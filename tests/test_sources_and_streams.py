@@ -41,6 +41,17 @@ def test_logs_round_trip(spark, log, tmp_path):
         runlog.read_csv_log(spark, f"{at}/none")
 
 
+def test_strict_keyed_insert_and_query(spark, log):
+    for old in (log.limit(0).unionByName(log), log.limit(0)):
+        new = log if old.count() else log.unionByName(log)
+        with pytest.raises(Exception, match="there already"):
+            runlog.keyed_insert(new, old, strict=True).collect()
+    assert runlog.keyed_insert(log, log.limit(0), strict=True).count() == log.count()
+    spark.range(3).createOrReplaceTempView("runs")
+    assert runlog.query(log, "SELECT count(*) AS n FROM {runs} WHERE run_id <> ?", ["r1"]).first().n == log.count() - 1
+    assert spark.table("runs").columns == ["id"]  # a view of the session's own stays
+
+
 def test_keyed_insert_and_export(spark, log, tmp_path):
     new = runlog.keyed_insert(log.unionByName(log), log.where("run_id = 'r1'")).orderBy("run_id").collect()
     assert [(r.run_id, r.runtime_seconds) for r in new] == [("r0", 2.5), ("r2", 2.5), ("r3", None)]
