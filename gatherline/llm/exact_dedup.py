@@ -8,18 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import shared_folder, written
+from gatherline.llm.shared import held_back, hot_join, shared_folder, written
 
 #: Distinct keys that a bucket holds before it splits; with more than MOST_BUCKETS such buckets, buckets grow instead.
 BUCKET_KEYS, MOST_BUCKETS = 50_000, 1 << 14
 #: Bits of the key that one pass over the keys looks ahead, and all bits there are.
 STEP_BITS, KEY_BITS = 14, 64
-#: Words of 64 bits in the sketch of keys that several rows share.
-SKETCH_WORDS = 1 << 20
 #: Copies of one text are merged in so many places before its owner merges those.
 SALTS = 64
-#: Entries with at least this share of all rows are looked up by broadcast; there are HOT_SHARE of them at most.
-HOT_SHARE = 1000
 
 
 def split(root: tuple[int, int], counts: dict[int, int], bits: int, room: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -101,7 +97,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Keys are counted; buckets split until they hold few enough distinct keys, and the directory gives each slot its
     bucket: a range of keys. 2. A key of one row gets its entry as it is. Texts whose key several rows have move to the
-    bucket's owner task: a sketch of those keys, of SKETCH_WORDS words at most, holds back nearly all others. Copies
+    bucket's owner task: a sketch of those keys holds back nearly all others. Copies
     merge in map tasks and in SALTS places, so a text with a third of all rows reaches its owner in SALTS rows at most.
     3. Owners have whole buckets. They compare bytes by grouping on the text itself; different texts of one key chain.
     4. Entries are written in a folder for each bucket.
@@ -118,9 +114,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = Index(root, depth, size["rows"], keys)
 
     single = index.placed(counts.where("n = 1")).select("bucket", "key", F.lit(1).alias("chain"), F.lit(1).cast("bigint").alias("chain_length"), "keep_id", F.col("n").alias("group_size"), F.lit(None).cast("string").alias("body"))
-    word, bit = F.pmod("key", F.lit(SKETCH_WORDS)).cast("int"), F.shiftrightunsigned("key", 58).cast("int")
-    bits = counts.where("n > 1").groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(key, 58) AS INT))")).alias("bits"))
-    asked = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
+    asked = held_back(texts, F.col("key"), counts.where("n > 1"), F.col("key"))
     some = index.placed(asked).groupBy("bucket", "key", "body", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     owned = some.repartition("bucket").groupBy("bucket", "key", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     chain = Window.partitionBy("bucket", "key")
@@ -145,10 +139,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not index.rows:
         return index.keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     rows, whole = index.placed(index.keys), index.entries.where("chain_length = 1").select("bucket", "key", "keep_id", "group_size")
-    often = F.col("group_size") * HOT_SHARE >= index.rows
-    hot = F.broadcast(whole.where(often & (F.col("group_size") > 1)))
-    found = rows.join(hot, ["bucket", "key"]).unionByName(rows.join(hot.select("bucket", "key"), ["bucket", "key"], "left_anti").join(whole.where(~(often & (F.col("group_size") > 1))), ["bucket", "key"]))
-    found = found.select("doc_id", "keep_id", "group_size", "sha")
+    found = hot_join(rows, whole, ["bucket", "key"], "group_size", index.rows).select("doc_id", "keep_id", "group_size", "sha")
     chained = index.entries.where("chain_length > 1")
     if not chained.isEmpty():
         own = keyed(docs, id_col, text_col, key_bits).join(chained.select("key").distinct(), "key", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatherline.llm.exact_dedup import one_of_each
-from gatherline.llm.shared import BOUNDED_BYTES, hot_join, min_labels, slices, text_of, written
+from gatherline.llm.shared import held_back, hot_join, min_labels, slices, text_of, written
 
 WORDS, PERCENT = 5, 75
 #: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7 if the sets are large; few values fill all bins of a small set and are not independent.
@@ -133,12 +133,6 @@ PARTNERS = 100
 LOT = 64
 
 
-def bytes_of(ids: DataFrame) -> int:
-    """The size of ``ids`` in memory: a row's own bytes, and those of its strings if it has any."""
-    total = ids.agg((F.count("*") * 32 + F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("doc_id")))), F.lit(0))).alias("b"))
-    return total.first()["b"]
-
-
 def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs(a, b)`` compared on their full shingle sets: ``linked`` if similar enough; written to the shared folder.
 
@@ -146,11 +140,9 @@ def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     ``extra``, beyond one for each bit set.
 
     Only texts that some pair names are moved: once for each pair as ``b``, and once for each PARTNERS partners as
-    ``a``. Their ids are broadcast up to BOUNDED_BYTES, and joined by a shuffle beyond. ``docs``: ``(doc_id, text)``.
+    ``a``. A sketch of their ids holds back nearly all others where they are read. ``docs``: ``(doc_id, text)``.
     """
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-needed")
-    few = bytes_of(needed) <= BOUNDED_BYTES
-    texts = docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
+    texts = held_back(docs, F.col("doc_id"), pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), "lots").cast("int").alias("lot"))
     right = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "lot", "b", "text")

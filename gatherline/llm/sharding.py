@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import literal_longs, written
+from gatherline.llm.shared import hot_join, literal_longs, written
 
 SHARDS, ROUNDS = 16, 5
 #: A range of hashed ids that is ranked by itself has about so many rows; there are MAX_RANGES of them at most.
@@ -30,10 +30,12 @@ def propagated(members: DataFrame, shards: int, capacity: int, rounds: int = ROU
     that its linked documents stay within ``capacity``. All state is a narrow table, rewritten each round.
     """
     state = written(members.groupBy("doc_id").agg(F.min("anchor").alias("anchor")).select("doc_id", "anchor", F.pmod(place_of(F.col("doc_id")), F.lit(shards)).cast("int").alias("shard")), "shard-labels")
+    n_members = members.count()
     for turn in range(rounds):
         at = members.select("doc_id", "link").join(state, "doc_id")
         counts = at.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        votes = members.select("doc_id", "link").join(counts, "link").groupBy("doc_id", "shard").agg(F.sum("n").alias("votes"), F.min(F.xxhash64("link", "shard")).alias("tie"))
+        counts = counts.withColumn("weight", F.sum("n").over(Window.partitionBy("link")))
+        votes = hot_join(members.select("doc_id", "link"), counts, ["link"], "weight", n_members).groupBy("doc_id", "shard").agg(F.sum("n").alias("votes"), F.min(F.xxhash64("link", "shard")).alias("tie"))
         want = votes.groupBy("doc_id").agg(F.max(F.struct("votes", "tie", "shard"))["shard"].alias("want"))
         asked = written(state.join(want, "doc_id"), "shard-requests")
         flows = asked.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()  # shards * shards rows at most
@@ -85,7 +87,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = Non
     neighbours; by default documents of equal text are linked. A group of links that fits a shard ends up in one,
     as far as the quotas allow; larger groups fill shards. ``size``: UTF-8 bytes plus 1; a null text has
     no bytes, and so the ``text_crc32`` of an empty one. Repeated rows and null ids are rows like others; ids that repeat share
-    their links. An empty table gives no rows. Other columns are not read.
+    their links. Texts of any length are hashed where they are read and don't move. An empty table gives no rows. Other columns are not read.
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(text)).alias("link"))
@@ -94,10 +96,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = Non
     shared = members.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
     n = rows.count()
     anchor = F.when(F.col("n") <= min(WHOLE_GROUP, n // shards // 4), place_of(F.col("link"))).otherwise(place_of(F.col("doc_id")))
-    members = written(members.join(shared, "link").select("doc_id", "link", anchor.alias("anchor")), "shard-members")
+    members = written(hot_join(members, shared, ["link"], "n", n).select("doc_id", "link", anchor.alias("anchor")), "shard-members")
     quota = [n // shards + (j < n % shards) for j in range(shards)]
     labels = propagated(members, shards, int(SLACK * n / shards) + 1, rounds)
-    rows = rows.join(labels, "doc_id", "left").select("doc_id", "size", "text_crc32", "shard", F.coalesce("anchor", place_of(F.col("doc_id")), F.lit(0)).alias("place"))
+    own = F.when(F.col("doc_id").isNotNull(), place_of(F.col("doc_id"))).otherwise(place_of(F.col("link")))
+    rows = rows.join(labels, "doc_id", "left").select("doc_id", "size", "text_crc32", "shard", F.coalesce("anchor", own).alias("place"))
     rows = written(rows, "shard-labelled")
     linked = written(ranked(rows.where("shard IS NOT NULL"), ["shard"], n, "slot"), "shard-linked")
     fits = F.col("slot") < F.element_at(literal_longs(quota), F.col("shard") + 1)

@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side that may grow with the data is only broadcast up to this size.
-BOUNDED_BYTES = 64_000_000
+#: Words of 64 bits in a sketch of keys.
+SKETCH_WORDS = 1 << 20
 #: Folders made where none is named, by application: local runs and tests.
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own if unset."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
+    if not root and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root and context.applicationId not in _OWN:
         _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gatherline-")
     return (root or _OWN[context.applicationId]).rstrip("/")
@@ -51,7 +53,7 @@ HOT_SHARE = 1000
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key and in ``weight`` how many of left's ``total`` rows have it.
+    """``left`` joined with ``right``, which has a row a key, or a few, and in ``weight`` how many of left's ``total`` rows have it.
 
     The rows of ``right`` with a thousandth of left's rows, a thousand at most, are broadcast, so the rows of hot keys
     stay where they are; all others meet by an exchange.
@@ -61,6 +63,20 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
     return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.where(~often), on))
 
 
+def held_back(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Those of ``rows`` whose key may be among the wanted ones: all that are, and few others.
+
+    A bit map of hashed keys is broadcast, SKETCH_WORDS words at most whatever the number of keys; with more keys it
+    lets more rows pass, so what follows must still join by the key itself.
+    """
+    hashed = F.xxhash64(F.lit("sketch"), wanted_key)
+    bits = wanted.select(hashed.alias("h")).groupBy(F.pmod("h", F.lit(SKETCH_WORDS)).cast("int").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))")).alias("_bits"))
+    marked = rows.withColumn("_hash", F.xxhash64(F.lit("sketch"), key))
+    bit = F.shiftrightunsigned("_hash", 58).cast("int")
+    passed = marked.join(F.broadcast(bits), F.pmod(F.col("_hash"), F.lit(SKETCH_WORDS)).cast("int") == F.col("_word"))
+    return passed.where(F.getbit("_bits", bit) == 1).drop("_hash", "_word", "_bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that what a task makes of them stays small; at the end unused memory goes back."""
     for batch in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatherline.llm.shared import held_back, written
+
 #: The headers that a 304 response may carry to update a stored one (RFC 9110, 15.4.5).
 MERGED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: A URL's captures are ordered within spans of this length; only each span's last response goes on to the next.
@@ -63,7 +65,8 @@ def resolved(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     validator on both sides); ``missing`` (no earlier full response, or no URL or time). Only resolved revisits take
     over a payload; their headers are the base's, in lower case, updated by those that a 304 may carry. Other records
     keep all they have, outcome ``kept``. Null headers count as none. Ids should be unique: rows that repeat an id
-    each give a row for every repetition of the base. An empty table gives no rows.
+    each give a row for every repetition of the base. An empty table gives no rows. Payloads of any length move whole, and
+    only those that some revisit asks for, nearly.
     """
     none = F.from_json(F.lit("{}"), "map<string,string>")
     rows = records.select("record_id", "uri", "at", "kind", "status", F.coalesce("headers", none).alias("headers"), "payload", canonical_url(F.col("uri")).alias("url_key"))
@@ -71,7 +74,8 @@ def resolved(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     full = F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False))
     timed = rows.where("url_key IS NOT NULL AND at IS NOT NULL AND record_id IS NOT NULL")
     base_of = as_of_response(timed.select("record_id", "url_key", "at", full.alias("full"), revisit.alias("revisit")), span_seconds)
-    bases = rows.where(full).select(F.col("record_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"))
+    base_of = written(base_of, "warc-bases")
+    bases = held_back(rows.where(full), F.col("record_id"), base_of.where("base_id IS NOT NULL"), F.col("base_id")).select(F.col("record_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"))
     asked = rows.where(revisit).drop("payload").join(base_of, "record_id", "left").join(bases, "base_id", "left")
     tags = [strong(header(h, "etag")) for h in ("headers", "base_headers")]
     times = [header(h, "last-modified") for h in ("headers", "base_headers")]

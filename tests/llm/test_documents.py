@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gatherline.llm import bpe, exact_dedup, minhash, mixing, sharding, toxicity
+from gatherline.llm import bpe, exact_dedup, minhash, mixing, shared, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,10 +137,10 @@ def test_near_groups_of_crowded_short_sets(spark):
 
 
 def test_near_groups_in_lots(spark, monkeypatch):
-    # texts with more partners than a lot, more outsiders than a lot, and ids too many to broadcast
+    # texts with more partners than a lot, more outsiders than a lot, and a sketch that lets others pass
     monkeypatch.setattr(minhash, "PARTNERS", 7)
     monkeypatch.setattr(minhash, "LOT", 3)
-    monkeypatch.setattr(minhash, "BOUNDED_BYTES", 1)
+    monkeypatch.setattr(shared, "SKETCH_WORDS", 1)
     base, rows = words(80, 400).split(), []
     for i in range(60):
         v = list(base)
@@ -273,6 +273,27 @@ def test_toxicity(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.score < 0.7}
 
 
+def test_labels_against_brute_force(spark):
+    # links of several kinds: propagated labels cut fewer pairs than chance, and quotas hold after every grant
+    links = [(i, f"g{i // 5}") for i in range(400)] + [(i, f"h{i // 10}") for i in range(0, 400, 2)] + [(i, "all") for i in range(0, 400, 9)]
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in range(400)], SCHEMA)
+    out = {r.doc_id: r.shard for r in sharding.sharded(docs, shards=4, links=spark.createDataFrame(links, "doc_id long, link string")).collect()}
+    assert Counter(Counter(out.values()).values()) == {100: 4}
+    groups = defaultdict(list)
+    for i, link in links:
+        groups[link].append(i)
+    cut = lambda place: sum(place[a] != place[b] for g in groups.values() for a in g for b in g if a < b)
+    assert cut(out) < 0.75 * cut({i: i % 4 for i in range(400)})
+    # one round by hand: every document asks for the shard that most members of its links have
+    members = spark.createDataFrame([(i, link, i) for i, link in links[:400]], "doc_id long, link string, anchor long")
+    start = {r.doc_id: r.shard for r in sharding.propagated(members, 4, 10**6, rounds=0).collect()}
+    after = {r.doc_id: r.shard for r in sharding.propagated(members, 4, 10**6, rounds=1).collect()}
+    for g in range(80):
+        counts = Counter(start[i] for i in range(5 * g, 5 * g + 5))
+        assert all(counts[after[i]] == max(counts.values()) for i in range(5 * g, 5 * g + 5))
+    assert sharding.quotas([[0, 10], [0, 5]], 8) == pytest.approx([1.0, 0.3])
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers
