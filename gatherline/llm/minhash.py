@@ -14,9 +14,11 @@ from gatherline.llm.exact_dedup import one_of_each
 from gatherline.llm.shared import held_back, hot_join, min_labels, slices, text_of, written
 
 WORDS, PERCENT = 5, 75
-#: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7 if the sets are large; few values fill all bins of a small set and are not independent.
+#: A link of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7 if the sets are large.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
+#: Few values fill all bins of a small set, and two in one bin cost much of it: so many shingles have a second permutation.
+SMALL_SET = 64
 
 _U = np.uint64
 _STEP, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -78,6 +80,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def all_keys(shingles: np.ndarray) -> np.ndarray:
+    """The band keys of a set of sorted hashes: none if empty, those of two permutations if small."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    keys = band_keys(bins_of(shingles))
+    if len(shingles) > SMALL_SET:
+        return keys
+    return np.concatenate([keys, band_keys(bins_of(np.sort(_mixed(shingles + _STEP))))])
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches):
@@ -86,8 +98,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingle_set(text_of(text), hashes)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-            bands.append(band_keys(bins_of(s)) if len(s) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
+            bands.append(all_keys(s))
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "bands"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,6 +183,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and components formed. 4. Where a bucket of three or more still spans components, the members outside its
     largest component meet the others of the bucket. Sizes and what both share with the bucket's center bound
     the pair's similarity exactly; pairs that may link are confirmed too: none that shares a bucket is left out.
+    Sets of SMALL_SET shingles or fewer meet in the buckets of two permutations.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs), "minhash-signed")

@@ -7,6 +7,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,17 @@ def test_near_groups_of_crowded_short_sets(spark):
     assert {tuple(r) for r in minhash.near_groups(table).collect()} == want
 
 
+def test_small_sets_share_a_band():
+    # of 120,000 such pairs of 4 and 3 hashes these three meet in no band of one permutation
+    for seed in (28192, 65307, 81518):
+        a = np.random.default_rng(seed).integers(0, 2**64, 4, dtype=np.uint64)
+        a, b = np.unique(a), np.unique(a[:3])
+        assert not (minhash.band_keys(minhash.bins_of(a)) == minhash.band_keys(minhash.bins_of(b))).any()
+        assert (minhash.all_keys(a) == minhash.all_keys(b)).any()
+    counts = [len(minhash.all_keys(np.arange(n, dtype=np.uint64))) for n in (0, 1, minhash.SMALL_SET, minhash.SMALL_SET + 1)]
+    assert counts == [0, 80, 80, 40]
+
+
 def test_near_groups_in_lots(spark, monkeypatch):
     # texts with more partners than a lot, more outsiders than a lot, and a sketch that lets others pass
     monkeypatch.setattr(minhash, "PARTNERS", 7)
