@@ -135,16 +135,17 @@ class Best:
     def __init__(self, q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
         self.q, self.x, self.own, self.ids, self.k = q, x, own, ids, k
         self.slip = SLIP * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max(initial=0.0))
-        self.floor = np.full(len(q), -np.inf)
+        #: each query's k largest products, the least of them first
+        self.top = np.full((len(q), k), -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def offer(self, who: np.ndarray, rows: np.ndarray) -> None:
-        """Score queries ``who`` against ``rows``, all with all; what lies under a query's floor is passed over."""
+        """Score queries ``who`` against ``rows``, all with all, each pair once; what lies under a query's floor is passed over."""
         score = self.q[who] @ self.x[rows].T
-        i, j = np.nonzero(score >= self.floor[who][:, None])
-        other = self.own[who[i]] != self.ids[rows[j]]
-        i, j = i[other], j[other]
+        score[self.own[who][:, None] == self.ids[rows]] = -np.inf
+        self.top[who] = np.partition(np.concatenate([self.top[who], score], axis=1), -self.k, axis=1)[:, -self.k :]
+        i, j = np.nonzero((score >= (self.top[who, 0] - self.slip[who])[:, None]) & (score > -np.inf))
         self.found.append((who[i], rows[j], score[i, j]))
         self.held += len(i)
         if self.held > PRODUCT:
@@ -152,12 +153,7 @@ class Best:
 
     def pack(self) -> None:
         who, row, score = (np.concatenate(c) for c in zip(*self.found, strict=True))
-        order = np.lexsort((-score, who))
-        who, row, score = who[order], row[order], score[order]
-        first = np.searchsorted(who, np.arange(len(self.q) + 1))
-        full = np.flatnonzero(np.diff(first) >= self.k)
-        self.floor[full] = score[first[full] + self.k - 1] - self.slip[full]
-        keep = score >= self.floor[who]
+        keep = score >= self.top[who, 0] - self.slip[who]
         self.found, self.held = [(who[keep], row[keep], score[keep])], int(keep.sum())
 
     def exact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,11 +170,15 @@ class Best:
 FOUND = "query bigint, query_id bigint, vec_id bigint, row bigint, score double"
 
 
-def _searched(k: int):
+def _searched(k: int, enough: int):
+    """``enough``: of equal vectors no query takes more than so many, the smallest ids; a group's others are passed over."""
+
     def searched(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(vectors):
             return pd.DataFrame({c.split()[0]: np.empty(0) for c in FOUND.split(", ")})
-        vectors = vectors.sort_values("leaf", kind="stable")
+        vectors = vectors.sort_values(["leaf", "vec_id", "row"])
+        alike = vectors["v"].map(lambda v: v.tobytes())
+        vectors = vectors[vectors.groupby(alike, sort=False).cumcount() < enough]
         leaf = vectors["leaf"].to_numpy()
         best = Best(np.stack(queries["v"]).astype(float), np.stack(vectors["v"]).astype(float), queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy(), k)
         visitor, visited = np.repeat(np.arange(len(queries)), queries["leaves"].map(len)), np.concatenate(queries["leaves"].tolist())
@@ -263,7 +263,7 @@ class Index:
         blocks = max(1, -(-queries.count() // self.block_queries))
         asked = self.visiting(queries, visits, k).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
         dealt = self.placed().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-        found = asked.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInPandas(_searched(k), FOUND)
+        found = asked.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInPandas(_searched(k, k + self.repeats), FOUND)
         order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
