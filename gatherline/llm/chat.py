@@ -32,18 +32,19 @@ def folded(events: DataFrame) -> DataFrame:
     to the turn's latest message; ``edit`` replaces all that the turn had; ``regenerate`` does so too and drops what
     later turns had before it. Events of one ``seq`` and turn follow by role and text. Null text counts as empty and
     a null role as that of the turn's earlier events, else empty; null turns come first; null conv_ids are one
-    conversation. Windows go over single turns; only turn totals are ordered within a conversation.
+    conversation. ``seq`` is of any type that has an order. Texts of any length are folded whole. Windows go over
+    single turns; only turn totals are ordered within a conversation.
     """
     log = events.select("conv_id", "seq", "turn", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
     per_turn = Window.partitionBy("conv_id", "turn")
-    log = log.withColumn("reset", F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))).over(per_turn))
-    turns = log.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
-    earlier = Window.partitionBy("c2").orderBy(F.col("t2").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = turns.where("again IS NOT NULL").select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "again")
-    if not cuts.isEmpty():
-        cuts = turns.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "again").withColumn("cut", F.max("again").over(earlier)).drop("again")
-        log = log.join(cuts, F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2"))).where("cut IS NULL OR seq > cut").drop("c2", "t2", "cut")
-    log = log.where("reset IS NULL OR seq >= reset")
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    cuts = log.groupBy("conv_id", "turn").agg(again.alias("seq")).withColumn("seq", F.max("seq").over(earlier)).where("seq IS NOT NULL")
+    # cuts travel to their turns as rows of the log, so texts move once
+    log = log.unionByName(cuts.withColumns({"kind": F.lit("cut"), "role": F.lit(None).cast("string"), "text": F.lit("")}))
+    last = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))).over(per_turn)
+    log = log.withColumns({"reset": last("edit", "regenerate"), "cut": last("cut")})
+    log = log.where("kind IS DISTINCT FROM 'cut' AND (cut IS NULL OR seq > cut) AND (reset IS NULL OR seq >= reset)")
     in_order = per_turn.orderBy(F.col("seq").asc_nulls_first(), F.col("role").asc_nulls_first(), "text").rowsBetween(Window.unboundedPreceding, 0)
     log = log.withColumn("part", F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).over(in_order)).withColumn("at", F.count("*").over(in_order))
     each = F.array_sort(F.collect_list(F.struct("at", "role", "text")))
@@ -98,6 +99,35 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
 
 
+def as_streamed(conversations: DataFrame) -> DataFrame:
+    """The same table as the log of chats that were streamed, which folds to the same messages as ``as_events``.
+
+    The first row of a turn, by role and text, was a draft of an eighth of its text, then its first half took the
+    draft's place (``regenerate`` for assistants, ``edit`` for others) and a ``delta`` brought the rest; before an
+    assistant's regeneration the next turn had a message that it drops. Further rows of a turn are messages of a half
+    and a delta. Positions in the log are structs of turn, row and step, so no conversation is numbered as a whole.
+    """
+    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce(role, F.lit("")), text))
+    rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", text.alias("text")).withColumn("nth", nth)
+    half = F.ceil(F.length("text") / 2).cast("int")
+    first, assistant = F.col("nth") == 1, F.col("role").eqNullSafe(F.lit("assistant"))
+    stale = first & assistant & (F.col("turn") < (1 << 63) - 1)
+
+    def event(step: int, kind: Column, text: Column, when: Column | None = None, turn: Column | None = None) -> Column:
+        seq = F.struct(F.col("turn").alias("turn"), F.col("nth").alias("nth"), F.lit(step).alias("step"))
+        made = F.struct(seq.alias("seq"), (F.col("turn") if turn is None else turn).alias("turn"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+        return made if when is None else F.when(when, made)
+
+    log = F.array(
+        event(0, F.lit("message"), F.substr("text", F.lit(1), F.floor(F.length("text") / 8).cast("int")), first),
+        event(1, F.lit("message"), F.lit("dropped"), stale, F.when(stale, F.col("turn") + 1)),
+        event(2, F.when(~first, "message").when(assistant, "regenerate").otherwise("edit"), F.substr("text", F.lit(1), half)),
+        event(3, F.lit("delta"), F.substr("text", half + 1)),
+    )
+    return rows.select("conv_id", F.explode(F.array_compact(log)).alias("e")).select("conv_id", "e.*")
+
+
 def _escaped_sql(text: str) -> str:
     text = f"replace({text}, '\\', '\\\\')"
     for c in CONTROL:

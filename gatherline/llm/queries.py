@@ -19,7 +19,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.format_conversations(chat.as_events(rows)))
+    return chat.digests(chat.format_conversations(chat.as_streamed(rows)))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,13 @@ def test_chat_round_trip(spark):
             inside = r.formatted[t.start : t.start + t.length]
             assert not any(c in inside for c in chat.CONTROL)
     assert chat.digests(chat.format_conversations(chat.as_events(table.limit(0)))).count() == 0
+    long = spark.sql("SELECT 7L AS conv_id, 9223372036854775807L AS turn, 'assistant' AS role, repeat('long é<|', 200000) AS text")
+    more = table.select("conv_id", "turn", "role", "text").unionByName(long).unionByName(spark.sql("SELECT 7L, null, 'assistant', 'no turn'").toDF("conv_id", "turn", "role", "text"))
+    streamed = chat.as_streamed(more)
+    assert {r.kind for r in streamed.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert streamed.where("text = 'dropped'").count() == 3  # the assistants' turns that another turn can follow
+    plain, again = (sorted(map(str, chat.digests(chat.format_conversations(log)).collect())) for log in (chat.as_events(more), streamed))
+    assert plain == again and chat.as_streamed(table.limit(0)).count() == 0
 
 
 def test_chat_folds_deltas_edits_and_regenerations(spark):
