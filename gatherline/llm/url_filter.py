@@ -78,7 +78,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``a, b``: canonical links, refresh redirects, given ``redirects(a, b)`` of URLs, and redirect-equivalent forms.
 
-    A URL is redirect-equivalent to its ``form_of``. Forms that one node alone has can pass nothing on and are left out.
+    A URL is redirect-equivalent to its ``form_of``. A form that one node alone has can pass nothing on and is left
+    out, unless it is a node itself, with a form of its own: ``www.m.x`` has the form ``m.x``, and that has ``x``.
     """
     named = links(pages, url_col, html_col)
     if redirects is not None:
@@ -86,7 +87,8 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: s
     named = written(named, "url-links")
     nodes = pages.where(F.col(url_col).contains("://")).select(node_of(F.col(url_col)).alias("a")).unionByName(named.select(F.explode(F.array("a", "b")).alias("a"))).distinct()
     forms = written(nodes.select("a", form_of(F.col("a")).alias("b")), "url-forms")
-    several = forms.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    bearers = forms.select("b").unionByName(forms.where("a <> b").select(F.col("a").alias("b")))
+    several = bearers.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     return named.unionByName(hot_join(forms, several, ["b"], "n", forms.count()).where("a <> b").select("a", "b"))
 
 
