@@ -107,12 +107,13 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id
     host, path = host_and_path(F.col(url_col))
     out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.when(F.col(url_col).contains("://"), node_of(F.col(url_col))).alias("_node"))
     out = out.withColumn("_hit", rule_of(F.col("host"), F.col("path"), rules))
+    bad = lambda node: F.coalesce(~rule_of(*host_and_path(F.concat(F.lit("://"), node)), rules)["allow"], F.lit(False))
     labels = written(min_labels(edges), "url-labels")
-    h, p = host_and_path(F.concat(F.lit("://"), "id"))
-    blocked = labels.where(~rule_of(h, p, rules)["allow"]).select("component").distinct()
+    blocked = labels.where(bad(F.col("id"))).select("component").distinct()
     names = labels.join(blocked, "component", "left_semi").select(F.col("id").alias("_name"), F.lit(True).alias("_alias"))
     out = out.join(names, F.col("_node") == F.col("_name"), "left")
-    alias = F.coalesce("_alias", F.lit(False))
+    # a page's own node and form belong to its component, also where no edge was worth keeping
+    alias = F.coalesce("_alias", F.lit(False)) | bad(F.col("_node")) | bad(form_of(F.col("_node")))
     allow = F.coalesce(F.col("_hit.allow"), ~alias)
     return out.select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), alias.alias("alias_of_blocked"))
 

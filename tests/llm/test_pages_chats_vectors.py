@@ -47,6 +47,9 @@ def test_redirect_equivalent_urls(spark):
     out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages).collect()}
     assert {i for i, (rule, verdict) in out.items() if verdict == "block" and rule is None} == {1, 2, 3, 7, 8, 9, 10}
     assert {out[i] for i in (4, 5, 6, 11, 12)} == {(None, "allow")}
+    # alone in its component, a port hiding it from the rules; a chain of forms, each a page; a form that isn't one
+    more = [(1, "http://x.net:80/a", ""), (2, "http://www.m.y.com/p", ""), (3, "http://m.y.com/p", "<link rel=canonical href=//y.net/>"), (4, "http://example.net:443/en/", None)]
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(more, pages.schema)).collect()} == dict.fromkeys([1, 2, 3, 4], (None, "block"))
 
 
 def test_given_pages_have_aliases(spark):
