@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherline.llm import ann, bpe, chat, conversation_repair, decontamination, exact_dedup, minhash, mixing, sharding, toxicity, url_filter, warc
+from gatherline.llm import ann, bpe, chat, conversation_repair, decontamination, exact_dedup, minhash, mixing, sharding, spelling, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_ranks()))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.digests(conversation_repair.repairs(conversation_repair.damaged(given)), given)
@@ -69,5 +73,5 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op4_warc_revisits, op5_nearest_neighbours, op6_minhash_dedup, op7_exact_dedup, op8_sharding, op9_toxicity, op10_byte_bpe, op12_conversation_repair, op13_decontamination)}
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_warc_revisits": warc.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_decontamination": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_formatting, op3_source_mixing, op4_warc_revisits, op5_nearest_neighbours, op6_minhash_dedup, op7_exact_dedup, op8_sharding, op9_toxicity, op10_byte_bpe, op11_spelling_variants, op12_conversation_repair, op13_decontamination)}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_warc_revisits": warc.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_decontamination": decontamination.ORACLE}
