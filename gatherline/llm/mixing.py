@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     """``source, docs, source_size, target``: the targets share all sizes by weight, none above ``cap`` times its source.
 
     One row for each source; sources by code point, null last, take the weights in turn. In order of the size at
-    which a source fills up for its weight, the sources before have filled up and the rest share what is left.
+    which a source fills up for its weight (those at the same size by code point, null last), the sources before have
+    filled up and the rest share what is left.
     """
     totals = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -41,7 +42,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     left = F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
     rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     ranked = ranked.withColumn("level", left / rest).withColumn("is_full", F.col("full") <= F.col("weight") * F.col("level"))
-    level = F.min(F.when(~F.col("is_full"), F.struct(F.col("full") / F.col("weight"), "source", "level"))).over(every)["level"]
+    level = F.min(F.when(~F.col("is_full"), F.struct(F.col("full") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)["level"]
     return ranked.withColumn("share", level).select("source", "docs", "source_size", F.when(F.col("is_full"), F.col("full")).otherwise(F.col("weight") * F.col("share")).alias("target"))
 
 
@@ -204,7 +205,7 @@ levels AS (
 flagged AS (SELECT *, full_at <= weight * level AS is_full FROM levels),
 targets AS (
   SELECT source, source_size,
-         CASE WHEN is_full THEN full_at ELSE weight * (SELECT arg_min(level, full_at / weight) FROM flagged WHERE NOT is_full) END AS target
+         CASE WHEN is_full THEN full_at ELSE weight * (SELECT level FROM flagged WHERE NOT is_full ORDER BY full_at / weight, source NULLS LAST LIMIT 1) END AS target
   FROM flagged),
 run AS (
   SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY draw) - size / 2.0 AS middle
