@@ -40,9 +40,10 @@ def strong(tag: Column) -> Column:
 
 
 def as_of_response(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
-    """``record_id, base_id`` of every revisit: the latest full response of its URL before it, or null.
+    """``record_id, url_key, at, base_id, base_at`` of every revisit: the latest full response of its URL before it, or null.
 
-    ``records(record_id, url_key, at, full, revisit)``. Before: an earlier time, or the same and a smaller id. Time is
+    ``records(record_id, url_key, at, full, revisit)``. Before: an earlier time, or the same and a smaller id. Revisits
+    that repeat id, URL and time have one row. Time is
     cut into spans; the last response of each span is carried over the spans of a URL, and windows sort single
     spans, so a URL with a third of all captures is spread over many tasks.
     """
@@ -51,9 +52,10 @@ def as_of_response(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> Data
     ends = rows.groupBy("url_key", "span").agg(F.max(here).alias("last"), F.max("revisit").alias("asked"))
     carried = F.max("last").over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.withColumn("before", carried).where("asked").select("url_key", "span", "before")
-    inside = F.max(here).over(Window.partitionBy("url_key", "span").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max(here).over(Window.partitionBy("url_key", "span").orderBy("at", "record_id", F.col("revisit").desc()).rowsBetween(Window.unboundedPreceding, -1))
     found = rows.withColumn("inside", inside).where("revisit").join(ends, ["url_key", "span"], "left")
-    return found.select("record_id", F.coalesce("inside", "before")["record_id"].alias("base_id"))
+    base = F.coalesce("inside", "before")
+    return found.groupBy("url_key", "at", "record_id").agg(F.min(base).alias("b")).select("record_id", "url_key", "at", F.col("b.record_id").alias("base_id"), F.col("b.at").alias("base_at"))
 
 
 def resolved(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
@@ -64,8 +66,8 @@ def resolved(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     ``mismatch`` (entity tags differ, or, where a side has none, the Last-Modified differ); ``unverified`` (no
     validator on both sides); ``missing`` (no earlier full response, or no URL or time). Only resolved revisits take
     over a payload; their headers are the base's, in lower case, updated by those that a 304 may carry. Other records
-    keep all they have, outcome ``kept``. Null headers count as none. Ids should be unique: rows that repeat an id
-    each give a row for every repetition of the base. An empty table gives no rows. Payloads of any length move whole, and
+    keep all they have, outcome ``kept``. Null headers count as none. Each record gives one row, repeated ones too;
+    responses that repeat id, URL and time are one base, that of the largest payload digest. An empty table gives no rows. Payloads of any length move whole, and
     only those that some revisit asks for, nearly.
     """
     none = F.from_json(F.lit("{}"), "map<string,string>")
@@ -75,8 +77,12 @@ def resolved(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     timed = rows.where("url_key IS NOT NULL AND at IS NOT NULL AND record_id IS NOT NULL")
     base_of = as_of_response(timed.select("record_id", "url_key", "at", full.alias("full"), revisit.alias("revisit")), span_seconds)
     base_of = written(base_of, "warc-bases")
-    bases = held_back(rows.where(full), F.col("record_id"), base_of.where("base_id IS NOT NULL"), F.col("base_id")).select(F.col("record_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"))
-    asked = rows.where(revisit).drop("payload").join(base_of, "record_id", "left").join(bases, "base_id", "left")
+    bases = held_back(rows.where(full), F.col("record_id"), base_of.where("base_id IS NOT NULL"), F.col("base_id"))
+    same = ["base_id", "url_key", "base_at"]
+    digest = F.struct(F.coalesce(F.sha2("payload", 256), F.lit("")), F.array_sort(F.map_entries("headers")))
+    bases = bases.groupBy(F.col("record_id").alias("base_id"), "url_key", F.col("at").alias("base_at")).agg(F.max_by(F.struct("headers", "payload"), digest).alias("_b"))
+    bases = bases.select(*same, F.col("_b.headers").alias("base_headers"), F.col("_b.payload").alias("base_payload"))
+    asked = rows.where(revisit).drop("payload").join(base_of, ["record_id", "url_key", "at"], "left").join(bases, same, "left")
     tags = [strong(header(h, "etag")) for h in ("headers", "base_headers")]
     times = [header(h, "last-modified") for h in ("headers", "base_headers")]
     outcome = (
