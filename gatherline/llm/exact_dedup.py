@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from gatherline.llm.shared import held_back, hot_join, shared_folder, written
 
-#: Distinct keys that a bucket holds before it splits; with more than MOST_BUCKETS such buckets, buckets grow instead.
+#: Distinct keys that a bucket holds before it splits; with more than half of MOST_BUCKETS such buckets, buckets grow instead.
 BUCKET_KEYS, MOST_BUCKETS = 50_000, 1 << 14
-#: Bits of the key that one pass over the keys looks ahead, and all bits there are.
-STEP_BITS, KEY_BITS = 14, 64
+#: Bits of the key that a first pass over the keys looks ahead, counts that any pass brings back, and all bits there are.
+STEP_BITS, PASS_COUNTS, KEY_BITS = 14, 1 << 18, 64
 #: Copies of one text are merged in so many places before its owner merges those.
 SALTS = 64
 
@@ -41,14 +41,15 @@ def first_bits(bits: int) -> Column:
 
 
 def grown(keys: DataFrame, room: int) -> list[tuple[int, int]]:
-    """The buckets of distinct ``keys``: looks STEP_BITS ahead at a time, and further only into overfull buckets.
+    """The buckets of distinct ``keys``: looks STEP_BITS ahead, and further only into overfull buckets.
 
-    A pass brings back 2**STEP_BITS counts for each overfull bucket of the pass before, which hold ``room`` keys each.
-    There is no limit of depth but the key's bits, at which a bucket has one key.
+    A pass looks so far ahead, one bit at least, that PASS_COUNTS counts come back, or two for each overfull bucket,
+    which hold more than ``room`` keys each. There is no limit of depth but the key's bits, at which a bucket has one key.
     """
     spark, leaves, open_ones, depth = keys.sparkSession, [], [(0, 0)], 0
     while open_ones:
-        bits = min(depth + STEP_BITS, KEY_BITS)
+        ahead = max(1, min(STEP_BITS, (PASS_COUNTS // len(open_ones)).bit_length() - 1))
+        bits = min(depth + ahead, KEY_BITS)
         inside = keys
         if depth:
             inside = keys.join(F.broadcast(spark.createDataFrame([(p,) for p, _ in open_ones], "_open bigint")), first_bits(depth) == F.col("_open"), "left_semi")
@@ -107,7 +108,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = written(texts.select("doc_id", "key", F.unhex(F.sha2("body", 256)).alias("sha")), "dedup-keys", f"{root}/keys")
     counts = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")), "dedup-counts", f"{root}/counts")
     size = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    leaves = grown(counts, max(bucket_keys, size["keys"] // MOST_BUCKETS))
+    leaves = grown(counts, max(bucket_keys, 2 * size["keys"] // MOST_BUCKETS))
     depth = max(local for _, local in leaves)
     ranges = spark.createDataFrame([(i, p << (depth - local), 1 << (depth - local)) for i, (p, local) in enumerate(leaves)], "bucket int, first bigint, slots bigint")
     ranges.select(F.explode(F.expr("sequence(first, first + slots - 1)")).alias("slot"), "bucket").write.parquet(f"{root}/directory")
