@@ -18,7 +18,7 @@ CANONICAL = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?
 REFRESH = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?refresh["'\s/>]"""
 HREF = r"""(?is)[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TARGET = r"""(?is)[\s"'/]content\s*=.*?\burl\s*=\s*["']?([^"'\s>]+)"""
-#: What one page's URLs differ in: a host's first label, and parameters.
+#: What one page's URLs often differ in, for ``forms``: a host's first label, and parameters.
 HOST_FORM, EXTRA = r"^(?:www[0-9]*|m|mobile)\.([^.]+\..*)$", r"^(?:utm_[^=]*|ref|page|gclid|fbclid)?(?:=.*)?$"
 
 
@@ -47,8 +47,9 @@ def node_of(url: Column) -> Column:
 
 
 def form_of(node: Column) -> Column:
-    """The form that a page's URLs are redirected to: also without ``www.`` or ``m.``, closing slashes, and parameters
-    that count visits (``utm_*``, ``ref``, ``gclid``, ``fbclid``) or turn over the page's own parts (``page``)."""
+    """The form that many sites redirect a page's URLs to: also without ``www.`` or ``m.``, closing slashes, and
+    parameters that count visits (``utm_*``, ``ref``, ``gclid``, ``fbclid``) or turn over the page's parts (``page``).
+    No link says so, and other sites mean other pages by it. Null for null."""
     host = F.regexp_replace(F.regexp_extract(node, r"^[^/?]*", 0), HOST_FORM, "$1")
     path = F.regexp_replace(F.regexp_extract(node, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     asked = F.array_join(F.filter(F.split(F.regexp_extract(node, r"\?([\s\S]*)$", 1), "&", -1), lambda x: ~x.rlike(EXTRA)), "&")
@@ -75,35 +76,38 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return found.select(node_of(F.col("from")).alias("a"), node_of(F.col("to")).alias("b")).where("a <> b").distinct()
 
 
-def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: canonical links, refresh redirects, given ``redirects(a, b)`` of URLs, and redirect-equivalent forms.
+def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, forms: bool = False, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``a, b``: canonical links, refresh redirects and given ``redirects(a, b)`` of URLs; with ``forms`` also that of each node.
 
-    A URL is redirect-equivalent to its ``form_of``. A form that one node alone has can pass nothing on and is left
-    out, unless it is a node itself, with a form of its own: ``www.m.x`` has the form ``m.x``, and that has ``x``.
+    A form that one node alone has can pass nothing on and is left out, unless it is a node itself, with a form of its
+    own: ``www.m.x`` has the form ``m.x``, and that has ``x``.
     """
     named = links(pages, url_col, html_col)
     if redirects is not None:
         named = named.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a <> b"))
+    if not forms:
+        return named
     named = written(named, "url-links")
     nodes = pages.where(F.col(url_col).contains("://")).select(node_of(F.col(url_col)).alias("a")).unionByName(named.select(F.explode(F.array("a", "b")).alias("a"))).distinct()
-    forms = written(nodes.select("a", form_of(F.col("a")).alias("b")), "url-forms")
-    bearers = forms.select("b").unionByName(forms.where("a <> b").select(F.col("a").alias("b")))
+    formed = written(nodes.select("a", form_of(F.col("a")).alias("b")), "url-forms")
+    bearers = formed.select("b").unionByName(formed.where("a <> b").select(F.col("a").alias("b")))
     several = bearers.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-    return named.unionByName(hot_join(forms, several, ["b"], "n", forms.count()).where("a <> b").select("a", "b"))
+    return named.unionByName(hot_join(formed, several, ["b"], "n", formed.count()).where("a <> b").select("a", "b"))
 
 
-def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, forms: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: ``page_id, host, path, rule, verdict, alias_of_blocked``.
 
     A page with a rule of its own has that rule's verdict: explicit rules, allow among them, go before anything
-    passed on. Any other page is blocked if its URL is an alias of a blocked one: if their component over the edges
-    (see ``alias_edges``) holds a node that a rule blocks. The rest is allowed.
+    passed on. Any other page is blocked if its URL is an alias of a blocked one: if its component over the edges
+    (see ``alias_edges``) holds a node that a rule blocks. The rest is allowed. URLs are one node if they differ in
+    scheme, fragment, default port and the host's case alone; other forms of a page are aliases only with ``forms``.
 
     Null URLs, and such without ``://``, have empty host and path, no rule, and are allowed; null html has no links.
     Whole texts of any length are searched for links. Repeated rows are judged alike; an empty table gives no rows;
     other columns are not read.
     """
-    edges = written(alias_edges(pages, redirects, url_col, html_col), "url-edges")
+    edges = written(alias_edges(pages, redirects, forms, url_col, html_col), "url-edges")
     host, path = host_and_path(F.col(url_col))
     out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.when(F.col(url_col).contains("://"), node_of(F.col(url_col))).alias("_node"))
     out = out.withColumn("_hit", rule_of(F.col("host"), F.col("path"), rules))
@@ -112,8 +116,10 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id
     blocked = labels.where(bad(F.col("id"))).select("component").distinct()
     names = labels.join(blocked, "component", "left_semi").select(F.col("id").alias("_name"), F.lit(True).alias("_alias"))
     out = out.join(names, F.col("_node") == F.col("_name"), "left")
-    # a page's own node and form belong to its component, also where no edge was worth keeping
-    alias = F.coalesce("_alias", F.lit(False)) | bad(F.col("_node")) | bad(form_of(F.col("_node")))
+    # a page's own node, and its form, belong to its component also without an edge
+    alias = F.coalesce("_alias", F.lit(False)) | bad(F.col("_node"))
+    if forms:
+        alias = alias | bad(form_of(F.col("_node")))
     allow = F.coalesce(F.col("_hit.allow"), ~alias)
     return out.select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), alias.alias("alias_of_blocked"))
 
@@ -139,9 +145,6 @@ def _node_sql(url: str) -> str:
     return f"(regexp_replace(translate({host}, '{UPPER}', '{LOWER}'), ':(?:80|443)$', '') || substr({rest}, length({host}) + 1))"
 
 
-_ASKED = f"array_to_string(list_filter(string_split(regexp_extract(a, '\\?([\\s\\S]*)$', 1), '&'), lambda x: NOT regexp_matches(x, {_sql(EXTRA)})), '&')"
-_FORM = f"""regexp_replace(regexp_extract(a, '^[^/?]*'), {_sql(HOST_FORM)}, '\\1') || regexp_replace(regexp_extract(a, '^[^/?]*([^?]*)', 1), '/+$', '')
- || CASE WHEN {_ASKED} <> '' THEN '?' || {_ASKED} ELSE '' END"""
 _LINK = """CASE WHEN l = '' OR l IS NULL OR starts_with(l, '#') THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN regexp_extract(url, '^([^/?#]*:)//', 1) || l
  WHEN starts_with(l, '/') THEN regexp_extract(url, '^[^/?#]*://[^/?#]*') || l ELSE regexp_extract(regexp_replace(url, '[?#][\\s\\S]*$', ''), '^([^/]*//[^/]*(?:/.*)?/)[^/]*$', 1) || l END"""
 _HREF = " || ".join(f"regexp_extract(tag, {_sql(HREF)}, {i})" for i in (1, 2, 3))
@@ -153,11 +156,10 @@ tags AS (
   UNION ALL SELECT url, regexp_extract(tag, {_sql(TARGET)}, 1) FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(META_TAG)})) AS tag FROM own) WHERE regexp_matches(tag, {_sql(REFRESH)})),
 links AS (SELECT url, trim(replace(tag, '&amp;', '&')) AS l FROM tags),
 named AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM (SELECT url, {_LINK} AS t FROM links) WHERE t IS NOT NULL),
-nodes AS (SELECT {_node_sql("url")} AS a FROM own UNION SELECT a FROM named UNION SELECT b FROM named),
-edges AS (SELECT a, b FROM named UNION SELECT a, {_FORM} AS b FROM nodes),
-sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+nodes AS (SELECT {_node_sql("url")} AS a FROM own),
+sides AS (SELECT a, b FROM named UNION SELECT b, a FROM named UNION SELECT a, a FROM nodes),
 reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
-blocked AS (SELECT DISTINCT a FROM (SELECT a, b FROM reach UNION SELECT a, a FROM sides) WHERE {_rule_sql(*_host_sql("('://' || b)"))[1]} = false)
+blocked AS (SELECT DISTINCT a FROM reach WHERE {_rule_sql(*_host_sql("('://' || b)"))[1]} = false)
 SELECT page_id, {_host_sql("url")[0]} AS host, {_host_sql("url")[1]} AS path, {_rule_sql(*_host_sql("url"))[0]} AS rule,
        CASE WHEN coalesce({_rule_sql(*_host_sql("url"))[1]}, blocked.a IS NULL) THEN 'allow' ELSE 'block' END AS verdict
 FROM pages LEFT JOIN blocked ON contains(url, '://') AND blocked.a = {_node_sql("url")}
