@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherline.llm.shared import literal_longs, written
+from gatherline.llm.shared import literal_longs, sampled, written
 
 K, BRANCH = 20, 16
 #: The tree is fitted on so many vectors at most, and calibrated with so many queries, both chosen by hashed id.
 FIT_ROWS, CALIBRATION_QUERIES = 65_536, 128
 #: A leaf holds about LEAF_ROWS vectors; no more leaves than a quarter of FIT_ROWS, so raise that for tables over 500,000 rows.
 LEAF_ROWS = 32
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 #: Leaves are dealt to search groups of about so many vectors; a leaf with more is cut into several.
 GROUP_ROWS, LEAST_GROUPS = 20_000, 16
 #: A search group is searched by so many queries at a time, and one product of matrices has so many entries at most.
@@ -198,6 +198,14 @@ def _searched(k: int, enough: int):
     return searched
 
 
+def _chosen(rows: DataFrame, name: str, n: int, total: int) -> pa.Table:
+    """``vec_id, v`` of the rows of smallest hashed id; where ids repeat so much that the bound finds few, of all rows."""
+    found = sampled(rows, name, "vec_id", n, total).select("vec_id", "v").toArrow()
+    if found.num_rows < min(n, total):
+        found = sampled(rows, name, "vec_id", n, 0).select("vec_id", "v").toArrow()
+    return found
+
+
 class Index:
     """The tree, and every usable vector with its leaf, written once; a row is known by a number of its own."""
 
@@ -208,7 +216,7 @@ class Index:
         self.n, self.top, self.spark = stats["n"], stats["top"] or 0.0, vectors.sparkSession
         if not self.n:
             return
-        sample = rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").limit(fit_rows).select("v").toArrow()
+        sample = _chosen(rows, "fit", fit_rows, self.n)
         self.tree = tree = Tree(lifted(_matrix(sample.column("v")), self.top), max(1, min(self.n, fit_rows // 4 * leaf_rows) // leaf_rows))
         top = self.top
 
@@ -273,7 +281,7 @@ class Index:
         The truth comes from all rows: each task keeps its best for the few queries. Visits then widen leaf by leaf
         until the recall is reached.
         """
-        chosen = self.rows.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(queries).select("vec_id", "v").toArrow()
+        chosen = _chosen(self.rows, "calibrate", queries, self.n)
         q, own = _matrix(chosen.column("v")), chosen.column("vec_id").to_numpy()
 
         def nearest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

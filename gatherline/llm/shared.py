@@ -77,6 +77,18 @@ def held_back(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Colum
     return passed.where(F.getbit("_bits", bit) == 1).drop("_hash", "_word", "_bits")
 
 
+def sampled(rows: DataFrame, name: str, key: str, n: int, total: int) -> DataFrame:
+    """The ``n`` of ``total`` rows whose ``key`` has the smallest hash under ``name``, in that order.
+
+    Of many rows only those under a bound of the hash, about 2 * n + 1000, go on to be sorted, so no task gets ``n``
+    of every partition. Fewer than ``n`` may be found only if keys repeat.
+    """
+    hashed = F.xxhash64(F.lit(name), key)
+    if total > 2 * n + 1000:
+        rows = rows.where(hashed < F.lit(int((2 * n + 1000) * (1 << 64) // total) - (1 << 63)))
+    return rows.orderBy(hashed, key).limit(n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that what a task makes of them stays small; at the end unused memory goes back."""
     for batch in batches:
