@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatherline.llm.shared import slices, text_of
+from gatherline.llm.shared import sampled, slices, text_of
 
 #: Labelled documents of each class that training reads at most, chosen by hash; all others are only scored.
 TRAIN_PER_CLASS = 4000
@@ -124,10 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts are left out. Repeated labels count once, and of repeated ids the least text does.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    order = [F.xxhash64(F.lit("train"), F.col(id_col)), F.col(id_col)]
+    held = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}  # two rows
     chosen = None
     for y in (0, 1):
-        part = marked.where(F.col("_y") == y).orderBy(*order).limit(per_class)
+        part = sampled(marked.where(F.col("_y") == y), "train", id_col, per_class, held.get(y, 0))
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.select(F.col(id_col).alias("_id"), "_y")
     texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
@@ -188,7 +188,7 @@ def offending(text: str, scores: _Scores, bias: float) -> list[dict]:
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
 
-def _scorer(model: dict[str, float], text_at: int, below: float | None):
+def _scorer(model: dict[str, float], text_at: int, below: float | None, find: bool = True):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, bias = _Scores(model), model[""]
         for batch in slices(batches):
@@ -198,7 +198,7 @@ def _scorer(model: dict[str, float], text_at: int, below: float | None):
                 score = noisy_or(text, scores, bias)
                 at.append(score)
                 if below is None:
-                    spans.append(offending(text, scores, bias) if score >= SENTENCE_THRESHOLD else [])
+                    spans.append(offending(text, scores, bias) if find and score >= SENTENCE_THRESHOLD else [])
             if below is None:
                 kept = [c for i, c in enumerate(batch.columns) if i != text_at]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.float64()), pa.array(spans, pa.list_(SPAN))], names=[*(f"c{i}" for i in range(len(kept))), "score", "offending"])
@@ -208,8 +208,8 @@ def _scorer(model: dict[str, float], text_at: int, below: float | None):
     return scored
 
 
-def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``score`` (0 to 1) and ``offending`` (``start, end, score`` of toxic sentences) of every row.
+def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), find: bool = True) -> DataFrame:
+    """``keep`` columns, ``score`` (0 to 1) and ``offending`` (``start, end, score`` of toxic sentences; none unless ``find``) of every row.
 
     Null and empty texts are one empty sentence and score as low as the bias. Whole texts of any length are read, bytes that
     aren't UTF-8 as replacement characters; rows in, rows out.
@@ -217,21 +217,21 @@ def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", keep
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("offending", span)])
-    return rows.mapInArrow(_scorer(model, len(keep), None), schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(_scorer(model, len(keep), None, find), schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 
 def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, find: bool = True) -> DataFrame:
     """One row a document: ``doc_id, held_out, score, predicted, offending``.
 
     Labels are learned only from rows that aren't held out. An empty table gives no rows; without usable labels all
-    is clean. Repeated rows score alike; a null doc_id is never held out.
+    is clean. Repeated rows score alike; a null doc_id is never held out. Without ``find`` no sentences are located.
     """
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    out = score(docs, model)
+    out = score(docs, model, find=find)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
