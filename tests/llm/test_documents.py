@@ -60,6 +60,17 @@ def test_directory_doubles_and_splits(spark):
     assert max(local for _, local in near) == 64 and sum(2.0**-local for _, local in near) == 1
 
 
+def test_directory_of_many_overfull_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PASS_COUNTS", 64)
+    keys = spark.range(40_000).select(F.xxhash64("id").alias("key"))
+    leaves = exact_dedup.grown(keys, 5)  # about twelve thousand buckets, from passes of two counts for each overfull one
+    assert sum(2.0**-local for _, local in leaves) == 1.0 and len(leaves) > 8_000
+    shifted = sorted((p << (64 - local), local) for p, local in leaves)
+    firsts = np.array([p for p, _ in shifted], dtype=np.uint64)
+    held = np.bincount(np.searchsorted(firsts, np.array([r.key for r in keys.collect()]).astype(np.uint64), side="right") - 1, minlength=len(leaves))
+    assert held.max() <= 5
+
+
 def test_index_answers_through_its_directory_and_owners(spark, docs):
     more = spark.range(5000).selectExpr("id + 100 AS doc_id", "if(id < 2500, 'hot', concat('t', cast(id div 2 AS string))) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
     table = docs.unionByName(more)
@@ -186,6 +197,15 @@ def test_mix(spark, docs, empty):
     assert Counter(r.doc_id for r in drawn.collect()) == Counter({i: sum(len(r.placed) for r in out if r.doc_id == i) for i in {r.doc_id for r in out}})
 
 
+def test_mix_of_sources_that_fill_up_alike(spark):
+    size = lambda n: " ".join(["w"] * n)
+    mixed = lambda rows: {r.source: (r.target, r.taken) for r in mixing.mix(spark.createDataFrame([(i, s, size(n)) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")).collect()}
+    assert mixed([("a", 100), (None, 200)]) == {"a": (100.0, 100), None: (200.0, 200)}
+    assert mixed([("a", 100), ("b", 200)]) == {"a": (100.0, 100), "b": (200.0, 200)}
+    assert sum(t for t, _ in mixed([("a", 10), ("b", 20), ("c", 30), (None, 10), ("d", 900)]).values()) == 970
+    assert mixed([("a", 0), (None, 0)]) == {"a": (0.0, 0), None: (0.0, 0)}
+
+
 def test_mix_deals_the_trees_blocks(spark):
     rows = [(i, " ".join(["w"] * (1 + i * i % 50)), "en", [None, "a", "b", "b", "b"][i % 5], 0) for i in range(3000)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -244,6 +264,13 @@ def test_sharded(spark, docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_sample_by_hash_bound(spark):
+    rows = spark.range(50_000).withColumnRenamed("id", "k")
+    want = [r.k for r in rows.orderBy(F.xxhash64(F.lit("x"), "k"), "k").limit(300).collect()]
+    assert [r.k for r in shared.sampled(rows, "x", "k", 300, 50_000).collect()] == want == [r.k for r in shared.sampled(rows, "x", "k", 300, 0).collect()]
+    assert shared.sampled(rows.limit(0), "x", "k", 5, 0).count() == 0
+
+
 def test_toxicity(spark, docs, empty):
     clean = [f"the {a} {b} of the {c}. it was {a} and {c} there" for a in ("red", "blue", "old", "new") for b in ("house", "tree", "road", "ship", "bird") for c in ("town", "sea", "hill", "wood", "lake", "farm")]
     rows = [(i, t if i % 3 else f"{t}. You are a {['blorfing', 'blorfed', 'zuggy'][i % 7 % 3]} one, {t}", i % 3 == 0) for i, t in enumerate(clean * 2)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -44,18 +45,27 @@ def test_redirect_equivalent_urls(spark):
         (11, "http://e.com/1", '<link rel=canonical href=""><link rel="canonical" href="/2">'), (12, "http://f.com/", '<a rel="canonical" href="http://z.net">'),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages).collect()}
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages, forms=True).collect()}
     assert {i for i, (rule, verdict) in out.items() if verdict == "block" and rule is None} == {1, 2, 3, 7, 8, 9, 10}
     assert {out[i] for i in (4, 5, 6, 11, 12)} == {(None, "allow")}
     # alone in its component, a port hiding it from the rules; a chain of forms, each a page; a form that isn't one
     more = [(1, "http://x.net:80/a", ""), (2, "http://www.m.y.com/p", ""), (3, "http://m.y.com/p", "<link rel=canonical href=//y.net/>"), (4, "http://example.net:443/en/", None)]
-    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(more, pages.schema)).collect()} == dict.fromkeys([1, 2, 3, 4], (None, "block"))
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(more, pages.schema), forms=True).collect()} == dict.fromkeys([1, 2, 3, 4], (None, "block"))
 
 
 def test_given_pages_have_aliases(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     doubled = pages.unionByName(pages.selectExpr("page_id + 1000 AS page_id", "concat('http://www.', substring_index(url, '://', -1)) AS url", "html"))
-    assert url_filter.judged(doubled).where("alias_of_blocked").count() > 100  # every page has an equivalent under another host
+    assert url_filter.judged(doubled, forms=True).where("alias_of_blocked").count() > 100  # every page has an equivalent under another host
+
+
+def test_only_links_make_aliases(spark):
+    link = '<link rel=canonical href="http://bad.net/p">'
+    rows = [(1, "http://a.org/x?page=7", link), (2, "http://a.org/x?page=8", ""), (3, "https://A.org:443/x?page=7#top", None), (4, "http://www.a.org/x?page=7", ""), (5, "http://a.org/x?page=7&ref=y", ""), (6, "http://m.example.com:80/de/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judged(pages).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "block"}
+    loose = {r.page_id: r.verdict for r in url_filter.judged(pages, forms=True).collect()}
+    assert loose == dict.fromkeys(range(1, 7), "block")
 
 
 def test_chat_round_trip(spark):
@@ -129,6 +139,19 @@ def test_nearest(spark, n):
     assert hits >= 0.9 * total
 
 
+def test_repeated_records(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=m)
+    base, again = (1, "http://a/x", at(0), "response", 200, {"ETag": "1"}, "body"), (2, "http://a/x", at(5), "revisit", 304, {"ETag": "1"}, None)
+    rows = [base] * 3 + [again] * 4 + [(1, "http://a/x", at(0), "response", 200, {"ETag": "1"}, "bodx"), (2, "http://a/x", at(7), "revisit", 304, {"ETag": "1"}, None), (2, "http://b/", at(7), "revisit", 304, {}, None), (1, "http://a/x", at(0), "revisit", 304, {}, None), (None, "http://a/x", at(9), "revisit", 304, None, None)]
+    table = spark.createDataFrame(rows, "record_id long, uri string, at timestamp, kind string, status int, headers map<string,string>, payload string")
+    out = warc.resolved(table).collect()
+    assert len(out) == len(rows)
+    found = [(r.base_id, r.payload, r.outcome) for r in out if r.record_id == 2 and r.uri == "http://a/x"]
+    best = max("body", "bodx", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert found == [(1, best, "resolved")] * 5
+    assert sorted(r.outcome for r in out if r.kind == "revisit" and (r.record_id != 2 or r.uri != "http://a/x")) == ["missing"] * 3
+
+
 def truth(ids, x, k=20):
     """Query id, rank, id and score of the nearest rows of every row whose id 20 divides."""
     out = []
