@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherline.functions.distributions import normal_cdf, normal_ppf, student_t_p, wilcoxon_p
-from gatherline.functions.draws import digest, uniform
+from gatherline.functions.draws import digest
 from gatherline.functions.scoring import require_finite
+from gatherline.operators.blocks import BLOCK_ROWS, running
+from gatherline.sources.scratch import written
 
 GROUP = ("grp",)
 
@@ -32,57 +34,57 @@ def one_sided(mean_diff: Column, p: Column) -> Column:
     return F.when(mean_diff > 0, p / 2).otherwise(1 - p / 2)
 
 
-def wilcoxon(pairs: DataFrame, group=GROUP) -> DataFrame:
-    """``n, statistic, ties, z, p`` of the signed-rank test: zero differences dropped, mean ranks, smaller rank sum."""
-    rows = pairs.select(*group, (F.col("a") - F.col("b")).alias("d")).where("d <> 0")
-    size = F.abs("d")
-    tied = F.count("*").over(Window.partitionBy(*group, size))
-    ranks = F.rank().over(Window.partitionBy(*group).orderBy(size)) + (tied - 1) / 2
-    out = rows.withColumn("r", ranks).withColumn("c", tied).groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0)).alias("down"), F.sum(F.col("c") * F.col("c") - 1).alias("ties"))
+def wilcoxon(pairs: DataFrame, group=GROUP, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``n, statistic, ties, z, p`` of the signed-rank test: zero differences dropped, mean ranks, smaller rank sum.
+
+    Differences of one size are merged where they are read; a size's mean rank is what lies below it and half its own
+    count, by a running total that has no limit of group size.
+    """
+    d = F.col("a") - F.col("b")
+    sizes = written(pairs.select(*group, d.alias("d")).where("d <> 0").groupBy(*group, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("c_up")))
+    ranked = running(sizes, group, ["size"], F.col("c"), "below", "n", block_rows).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
+    c = F.col("c").cast("double")
+    out = ranked.groupBy(*group).agg(F.sum("c").alias("n"), F.sum(F.col("c_up") * F.col("rank")).alias("up"), F.sum((F.col("c") - F.col("c_up")) * F.col("rank")).alias("down"), F.sum(c * (c * c - 1)).cast("bigint").alias("ties"))
     n = F.col("n")
     out = out.withColumn("statistic", F.least("up", "down"))
-    z = F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24))
-    return out.withColumn("z", z).withColumn("p", wilcoxon_p("statistic", n.cast("double"), F.col("ties").cast("double"))).drop("up", "down")
+    z = F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.sqrt((n.cast("double") * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24))
+    return out.select(*group, "n", "ties", "statistic", z.alias("z"), wilcoxon_p("statistic", n.cast("double"), F.col("ties").cast("double")).alias("p"))
 
 
-#: Resamples that one row computes; a group's values are copied once for each so many.
-CHUNK = 50
+#: Values that the draws meet by broadcast; more meet them by an exchange.
+BROADCAST_VALUES = 1_000_000
+#: Digests, of four draws each, that a row of the plan stands for.
+CHUNK = 4096
 
 
-def boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42) -> DataFrame:
+def boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``*group, b, mean``: means of ``resamples`` draws with replacement of each group's values, ordered by ``order``.
 
-    For groups that fit a row; see ``poisson_boot_means`` for others. A value that isn't finite raises. Chunks of
-    resamples are dealt over all tasks; an md5 gives four draws.
+    Values are numbered within their group. Draws are rows: of each resample's md5 digests, four draws each, CHUNK are a
+    row of the plan that is dealt to a task, opened there and joined to the values by number. Sums combine where they
+    are drawn, so no row or task holds a group. A value that isn't finite raises.
     """
-    rows = values.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, require_finite(F.col(value), value).alias("x")))), lambda e: e["x"]).alias("xs"))
-    chunks = rows.select(*group, "xs", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // CHUNK) - 1))).alias("chunk")).repartition(*group, "chunk")
-    n = F.size("xs")
-
-    def drawn(digest: Column, part: int, quarter: Column) -> Column:
-        at = (F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint") % n).cast("int")
-        return F.when(4 * quarter + part < n, F.get("xs", at)).otherwise(0.0)
-
-    def mean(b: Column) -> Column:
-        add = lambda total, q: F.aggregate(F.array(digest(seed, *[F.col(g) for g in group], b, q)), total, lambda t, h: t + drawn(h, 0, q) + drawn(h, 1, q) + drawn(h, 2, q) + drawn(h, 3, q))
-        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), F.lit(0.0), add) / n
-
-    bs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(CHUNK)), lambda i: i + F.col("chunk") * CHUNK), lambda b: b <= resamples)
-    return chunks.select(*group, F.explode(F.transform(bs, lambda b: F.struct(b.alias("b"), mean(b).alias("mean")))).alias("m")).select(*group, "m.b", "m.mean")
-
-
-def poisson_boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """The same for groups of any size: each row gets a Poisson(1) weight for each resample; sums combine map-side."""
-    u = uniform(seed, F.col(order), F.col("b"))
-    cdf, p, weight = [], 0.36787944117144233, F.lit(0)
-    total = 0.0
-    for k in range(1, 13):
-        total += p
-        cdf.append(total)
-        p /= k
-        weight = weight + (u > cdf[-1]).cast("int")
-    each = values.select(*group, order, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    return each.groupBy(*group, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
+    keys = list(group)
+    rows = written(values.select(*keys, F.col(order).alias("_o"), require_finite(F.col(value), value).cast("double").alias("_x")))
+    numbered = running(rows, group, ["_o", "_x"], before="_i", total="_n", block_rows=block_rows)
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    every = sizes.agg(F.sum("_n")).first()[0] or 0
+    context = values.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(every * resamples // 100_000_000))
+    last = F.floor((F.col("_n") - 1) / 4)
+    plan = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    plan = plan.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))).alias("_chunk")).repartition(tasks, *keys, "b", "_chunk")
+    first = F.col("_chunk") * CHUNK
+    digests = plan.select(*keys, "_n", "b", F.explode(F.sequence(first, F.least(first + CHUNK - 1, last))).alias("_q"))
+    digests = digests.select(*keys, "_n", "b", "_q", digest(seed, *[F.col(g) for g in keys], F.col("b"), F.col("_q")).alias("_h"))
+    drawn = lambda part: F.when(4 * F.col("_q") + part < F.col("_n"), F.conv(F.substring("_h", 8 * part + 1, 8), 16, 10).cast("bigint") % F.col("_n"))
+    draws = digests.select(*keys, "_n", "b", F.explode(F.array(*map(drawn, range(4)))).alias("_i")).where("_i IS NOT NULL")
+    numbered = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_i").alias("_at"), "_x")
+    same = F.col("_i") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = draws.join(F.broadcast(numbered) if every <= BROADCAST_VALUES else numbered, same)
+    return met.groupBy(*keys, "b").agg((F.sum("_x") / F.max("_n")).alias("mean"))
 
 
 def bootstrap_ci(values: DataFrame, group=GROUP, level: float = 0.95, **how) -> DataFrame:
@@ -104,13 +106,11 @@ def bca_ci(values: DataFrame, group=GROUP, level: float = 0.95, value: str = "x"
     """``mean, low, high``: bias-corrected and accelerated interval; groups under three values give nulls.
 
     For a mean the jackknife has a closed form: acceleration is the third central moment's sum over six times the
-    second's to the power 1.5.
+    second's to the power 1.5, which is the skewness over six times the root of n.
     """
-    m = F.avg(value).over(Window.partitionBy(*group))
     values = values.withColumn(value, require_finite(F.col(value), value))
-    c = values.withColumn("_c", F.col(value) - m)
-    stats = c.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(F.pow("_c", F.lit(3.0))).alias("s3"), F.sum(F.pow("_c", F.lit(2.0))).alias("s2"))
-    stats = stats.withColumn("accel", F.coalesce(F.try_divide(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))), F.lit(0.0)))
+    stats = values.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.skewness(value).alias("skew"))
+    stats = stats.withColumn("accel", F.coalesce(F.nanvl("skew", F.lit(0.0)) / (6 * F.sqrt("n")), F.lit(0.0)))
     boots = boot_means(values, group, value=value, **how).groupBy(*group).agg(F.array_sort(F.collect_list("mean")).alias("means"))
     out = stats.join(boots, list(group))
     below = F.size(F.filter("means", lambda x: x < F.col("mean"))) / F.size("means")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatherline.operators.blocks import running
+
 LOG_ORDER = ("timestamp_utc", "run_id")
 KWH_PER_SECOND = 15 / 3.6e6
 
@@ -104,8 +106,8 @@ def evidence_ids(runs: DataFrame, treatment: str, control: str) -> DataFrame:
 
 def pair_by_position(runs: DataFrame, treatment: str, control: str, metric: str, group=("experiment_id",)) -> DataFrame:
     """``a, b``: the i-th values of both tasks in log order; the longer list's rest is left out."""
-    at = Window.partitionBy(*group).orderBy(*LOG_ORDER)
-    side = lambda task, name: metric_values(of_task(successful(runs), task), metric).select(*group, F.row_number().over(at).alias("pair_id"), F.col("value").alias(name))
+    placed = lambda task: running(metric_values(of_task(successful(runs), task), metric), group, LOG_ORDER)
+    side = lambda task, name: placed(task).select(*group, (F.col("_before") + 1).alias("pair_id"), F.col("value").alias(name))
     return side(treatment, "a").join(side(control, "b"), [*group, "pair_id"])
 
 

@@ -1,7 +1,8 @@
 """Operators over many series at once: lags, rolling parity, blends, recurrences, splits and folds.
 
-A series table has ``series_id, t`` and value columns. All windows are by series and ordered by ``t``; operators that
-follow one another share one exchange and sort.
+A series table has ``series_id, t`` and value columns. Frames are by series and ordered by ``t``; series of up to
+``block_rows`` rows are windows of one task, and operators that follow one another share an exchange and sort. A longer
+series is cut into blocks of that size (see ``blocks``), with the same results.
 """
 
 from __future__ import annotations
@@ -14,29 +15,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = ("series_id",)
-
+from gatherline.operators.blocks import BLOCK_ROWS, framed, running
 
-def _by(group) -> Window:
-    return Window.partitionBy(*group).orderBy("t")
+SERIES = ("series_id",)
 
 
-def lag_matrix(series: DataFrame, delay_max: int, value: str = "u", group=SERIES) -> DataFrame:
+def lag_matrix(series: DataFrame, delay_max: int, value: str = "u", group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``y_k[t] = u[t - k]`` for k up to ``delay_max``; 0.0 before the series begins."""
-    return series.withColumns({f"y_{k}": F.lag(value, k, 0.0).over(_by(group)) if k else F.col(value) for k in range(delay_max + 1)})
+    lags = lambda w: {f"y_{k}": F.lag(value, k, 0.0).over(w) if k else F.col(value) for k in range(delay_max + 1)}
+    return framed(series, group, ["t"], delay_max, lags, block_rows)
 
 
-def rolling_parity(series: DataFrame, width: int, value: str = "b", group=SERIES) -> DataFrame:
+def rolling_parity(series: DataFrame, width: int, value: str = "b", group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``y``: exclusive or of the last ``width`` bits; 0 for the first ``width - 1`` rows."""
-    n = F.row_number().over(_by(group))
-    return series.withColumn("y", F.when(n < width, 0).otherwise(F.bit_xor(value).over(_by(group).rowsBetween(1 - width, 0))).cast("int"))
 
+    def parity(w: Window) -> dict:
+        frame = w.rowsBetween(1 - width, 0)
+        return {"y": F.when(F.count("*").over(frame) < width, 0).otherwise(F.bit_xor(value).over(frame)).cast("int")}
+
+    return framed(series, group, ["t"], width - 1, parity, block_rows)
 
-def trailing_blend(features: DataFrame, depth: int, columns: list[str], group=SERIES) -> DataFrame:
+
+def trailing_blend(features: DataFrame, depth: int, columns: list[str], group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``blend_x = 0.5 x + 0.5 mean(x over this and the ``depth`` rows before)`` for each column; ``depth`` >= 1."""
     if depth < 1:
         raise ValueError("depth must be at least 1")
-    return features.withColumns({f"blend_{c}": 0.5 * F.col(c) + 0.5 * F.avg(c).over(_by(group).rowsBetween(-depth, 0)) for c in columns})
+    blend = lambda w: {f"blend_{c}": 0.5 * F.col(c) + 0.5 * F.avg(c).over(w.rowsBetween(-depth, 0)) for c in columns}
+    return framed(features, group, ["t"], depth, blend, block_rows)
 
 
 def in_order(rows: DataFrame, group, step, schema: str) -> DataFrame:
@@ -98,31 +103,31 @@ def narma_recurrence(series: DataFrame, value: str = "u01", group=SERIES) -> Dat
     return in_order(rows, group, _recurrence, "y double")
 
 
-def recurrence_check(stored: DataFrame, group=SERIES, rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
-    """Adds ``expected`` and ``bad``: does the stored ``y`` follow the recurrence from its own past? Windows only."""
-    w = _by(group)
-    n = F.row_number().over(w)
-    past = F.lag("y", 1).over(w)
-    ten = F.sum("y").over(w.rowsBetween(-10, -1))
-    expected = F.when(n <= 10, F.lit(0.0)).otherwise(0.3 * past + 0.05 * past * ten + 1.5 * F.lag("u", 9).over(w) * F.col("u") + 0.1)
-    out = stored.withColumn("expected", expected)
+def recurrence_check(stored: DataFrame, group=SERIES, rtol: float = 1e-10, atol: float = 1e-12, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``expected`` and ``bad``: does the stored ``y`` follow the recurrence from its own past? Frames only."""
+
+    def follows(w: Window) -> dict:
+        ten = w.rowsBetween(-10, -1)
+        past, first = F.lag("y", 1).over(w), F.count("*").over(ten) < 10
+        return {"expected": F.when(first, F.lit(0.0)).otherwise(0.3 * past + 0.05 * past * F.sum("y").over(ten) + 1.5 * F.lag("u", 9).over(w) * F.col("u") + 0.1)}
+
+    out = framed(stored, group, ["t"], 10, follows, block_rows)
     return out.withColumn("bad", F.abs(F.col("y") - F.col("expected")) > atol + rtol * F.abs(F.col("expected")))
 
 
-def chrono_split(series: DataFrame, train_frac: float, group=SERIES) -> DataFrame:
+def chrono_split(series: DataFrame, train_frac: float, group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``is_train``: the first ``int(n * train_frac)`` rows of each series."""
-    n = F.count("*").over(Window.partitionBy(*group))
-    return series.withColumn("is_train", F.row_number().over(_by(group)) - 1 < F.floor(n * F.lit(train_frac)))
+    placed = running(series, group, ["t"], block_rows=block_rows)
+    return placed.withColumn("is_train", F.col("_before") < F.floor(F.col("_total") * F.lit(train_frac))).drop("_before", "_total")
 
 
-def fold_ids(series: DataFrame, folds: int, balanced: bool = True, group=SERIES) -> DataFrame:
+def fold_ids(series: DataFrame, folds: int, balanced: bool = True, group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``fold``: contiguous blocks in order of t.
 
     Balanced: the first ``n mod folds`` blocks hold one row more. Otherwise blocks have ``n // folds`` rows and the
     rest has no fold (null). With fewer rows than folds, rows are folds of their own (balanced), or null.
     """
-    at = F.row_number().over(_by(group)) - 1
-    n = F.count("*").over(Window.partitionBy(*group))
+    at, n = F.col("_before"), F.col("_total")
     size, more = F.floor(n / folds), n % folds
     if balanced:
         cut = more * (size + 1)
@@ -130,5 +135,4 @@ def fold_ids(series: DataFrame, folds: int, balanced: bool = True, group=SERIES)
     else:
         fold = F.floor(F.try_divide(at, size))
         fold = F.when(fold < folds, fold)
-    return series.withColumn("fold", fold.cast("int"))
-
+    return running(series, group, ["t"], block_rows=block_rows).withColumn("fold", fold.cast("int")).drop("_before", "_total")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gatherline.operators import charts, gates, inference, quality, runs
 from gatherline.plans import workloads as w
-from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, T_P, r6, scratch
+from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, T_P, r6
+from gatherline.sources.scratch import scratch
 from gatherline.sources import runlog
 from gatherline.streaming import live
 

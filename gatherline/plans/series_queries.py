@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherline.functions import scoring
-from gatherline.operators import features, inference, readout, series
+from gatherline.operators import blocks, features, inference, readout, series
 from gatherline.operators.runs import grid
 from gatherline.plans import benchmark
 from gatherline.plans import workloads as w
@@ -330,15 +327,44 @@ def bca_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {w.SERIES_SQL} SELECT series_id, round(quantile_cont(u, 0.05), 6) AS p05, round(quantile_cont(u, 0.5), 6) AS p50, round(quantile_cont(u, 0.95), 6) AS p95 FROM series GROUP BY series_id")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("u", F.array(*map(F.lit, (0.05, 0.5, 0.95))))
-    return w.series(spark, d).groupBy("series_id").agg(q.alias("q")).select("series_id", *[r6(F.col("q")[i], n) for i, n in enumerate(("p05", "p50", "p95"))])
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for a query that writes and reads back."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/gatherline-{uuid.uuid4().hex}"
+    q = blocks.quantiles(w.series(spark, d), ["series_id"], "u", [0.05, 0.5, 0.95])
+    return q.select("series_id", *[r6(F.col("q")[i], n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+# all events as one series, over blocks
+
+#: Rows of a block, so that small tables have several.
+BLOCK = 2_000
+
+
+@query(f"WITH {w.ONE_SERIES_SQL} SELECT t, u AS y_0, " + ", ".join(f"lag(u, {k}, 0.0) OVER w AS y_{k}" for k in range(1, 9)) + " FROM one_series WINDOW w AS (ORDER BY t)")
+def long_lag_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return series.lag_matrix(w.one_series(spark, d), 8, block_rows=BLOCK).select("t", *[f"y_{k}" for k in range(9)])
+
+
+@query(f"WITH {w.ONE_SERIES_SQL} SELECT t, CASE WHEN row_number() OVER (ORDER BY t) < 5 THEN 0 ELSE bit_xor(b) OVER (ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS y FROM one_series")
+def long_rolling_parity(spark: SparkSession, d: str) -> DataFrame:
+    return series.rolling_parity(w.one_series(spark, d), 5, block_rows=BLOCK).select("t", "y")
+
+
+@query(f"WITH {w.ONE_SERIES_SQL} SELECT t, round(0.5 * u + 0.5 * avg(u) OVER (ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS blend_u FROM one_series")
+def long_trailing_blend(spark: SparkSession, d: str) -> DataFrame:
+    return series.trailing_blend(w.one_series(spark, d), 20, ["u"], block_rows=BLOCK).select("t", r6("blend_u", "blend_u"))
+
+
+@query(f"WITH {w.ONE_SERIES_SQL}, p AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM one_series) SELECT t, (CASE WHEN i < n % 7 * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - n % 7 * (n // 7 + 1)) // (n // 7) END)::INT AS fold, i < floor(n * 0.7::DOUBLE) AS is_train FROM p")
+def long_folds(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.fold_ids(w.one_series(spark, d), 7, block_rows=BLOCK)
+    return series.chrono_split(rows, 0.7, block_rows=BLOCK).select("t", "fold", "is_train")
+
+
+@query(f"WITH {w.ONE_SERIES_SQL}, d AS (SELECT round(u) - 90 AS d FROM one_series WHERE round(u) <> 90), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM d) SELECT count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS statistic, sum(c * c - 1)::BIGINT AS ties FROM r")
+def long_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    pairs = w.one_series(spark, d).select("series_id", F.round("u").alias("a"), F.lit(90.0).alias("b"))
+    return inference.wilcoxon(pairs, ["series_id"], block_rows=50).select("n", "statistic", "ties")
+
+
+@query(f"WITH {w.ONE_SERIES_SQL} SELECT round(quantile_cont(u, 0.01), 6) AS p01, round(quantile_cont(u, 0.5), 6) AS p50, round(quantile_cont(u, 0.999), 6) AS p999 FROM one_series")
+def long_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    q = blocks.quantiles(w.one_series(spark, d), ["series_id"], "u", [0.01, 0.5, 0.999], block_rows=BLOCK)
+    return q.select(*[r6(F.col("q")[i], n) for i, n in enumerate(("p01", "p50", "p999"))])

@@ -24,6 +24,14 @@ SERIES_SQL = """series AS (
          least(value, 500.0) / 1000 AS u01, (event_type IN ('purchase', 'error'))::INT AS b FROM events)"""
 
 
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, by ``event_id``: ``series_id, t, u, b``."""
+    return table(spark, sf_dir, "events").select(F.lit(0).alias("series_id"), F.col("event_id").alias("t"), F.col("value").alias("u"), F.col("event_type").isin("purchase", "error").cast("int").alias("b"))
+
+
+ONE_SERIES_SQL = "one_series AS (SELECT 0 AS series_id, event_id AS t, value AS u, (event_type IN ('purchase', 'error'))::INT AS b FROM events)"
+
+
 def scores(spark: SparkSession, sf_dir: str, delay_max: int = 3) -> DataFrame:
     """``series_id, t, k, p, y``: the trailing mean of five values as prediction of the value k steps back."""
     w = Window.partitionBy("series_id").orderBy("t")

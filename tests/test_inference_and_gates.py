@@ -59,8 +59,7 @@ def test_bootstraps(spark):
     assert ci.low < 3 < ci.high and bca.low < 3 < bca.high
     assert inference.bca_ci(values.limit(2), resamples=50).first().low is None
     big = spark.range(400).selectExpr("'g' AS grp", "id AS pair_id", "CAST(id % 7 AS double) AS x")
-    a, b = (f(big, resamples=200).agg(F.stddev("mean")).first()[0] for f in (inference.boot_means, inference.poisson_boot_means))
-    assert a == pytest.approx(2 / 20, rel=0.2) and b == pytest.approx(2 / 20, rel=0.2)
+    assert inference.boot_means(big, resamples=200).agg(F.stddev("mean")).first()[0] == pytest.approx(2 / 20, rel=0.2)
 
 
 def test_holm_power_and_effect(spark):
