@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatherline.operators.blocks import running
 from gatherline.operators.features import leaky_states, leaky_weights
+from gatherline.operators.series import fold_ids, over_keys
 
 ALPHAS = (1e-8, 1e-6, 1e-4, 1e-2, 1.0, 100.0)
 WARM_UP = 10
@@ -122,10 +124,6 @@ def ridge_two(rows: DataFrame, alpha: float, group=("series_id",)) -> DataFrame:
     return m.select(*group, "w1", "w2", (F.col("my") - F.col("w1") * F.col("m1") - F.col("w2") * F.col("m2")).alias("b"))
 
 
-def _sum_rows(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    return [np.array(float(len(x))), x.sum(0), y.sum(0), x.T @ x, x.T @ y, (y * y).sum(0)]
-
-
 PARAMETERS = ("spectral_radius", "input_scaling", "leak_rate")
 
 
@@ -134,68 +132,140 @@ def _weights(configs: list, units: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return np.array([w for w, _ in made]), np.array([v for _, v in made]), np.array([c["leak_rate"] for c in configs])
 
 
-def fold_errors(u: np.ndarray, y: np.ndarray, weights: tuple, folds: int, alpha: float) -> np.ndarray:
-    """Mean validation error of each configuration. For each fold the rows outside it are joined, states run over them
-    from 0 and on into the fold; the first WARM_UP rows aren't fitted. All configurations and folds run side by side. A
-    failed fit scores infinite."""
-    w, v, leak = weights
-    size, n_configs = len(u) // folds, len(leak)
-    order = np.array([[*range(f * size), *range((f + 1) * size, len(u)), *range(f * size, (f + 1) * size)] for f in range(folds)]).T
-    target, cut = np.repeat(y[order], n_configs, axis=1), len(u) - size
-    if size == 0 or cut <= WARM_UP:
-        return np.full(n_configs, np.inf)
-    states = leaky_states(np.repeat(u[order], n_configs, axis=1), np.tile(w, (folds, 1, 1)), np.tile(v, (folds, 1)), np.tile(leak, folds))
-    x, t = states[WARM_UP:cut].transpose(1, 0, 2), target[WARM_UP:cut].T
-    mean_x, mean_t = x.mean(1), t.mean(1)
-    xc = x - mean_x[:, None]
-    a = xc.transpose(0, 2, 1) @ xc + alpha * np.eye(x.shape[2])
-    b = xc.transpose(0, 2, 1) @ (t - mean_t[:, None])[..., None]
-    try:
-        coef = np.linalg.solve(a, b)[..., 0]
-    except np.linalg.LinAlgError:
-        coef = np.array([np.linalg.lstsq(p, q, rcond=None)[0] for p, q in zip(a, b, strict=True)])[..., 0]
-    predicted = (states[cut:].transpose(1, 0, 2) @ coef[..., None])[..., 0] + (mean_t - (mean_x * coef).sum(1))[:, None]
-    mean = ((predicted - target[cut:].T) ** 2).mean(1).reshape(folds, n_configs).mean(0)
-    return np.where(np.isfinite(mean), mean, np.inf)
+#: Steps whose states are held at once.
+STEPS = 256
+
+
+class _Moments:
+    """Means and centred products of x and a target for many systems at once, joined piece by piece (Chan et al. 1979)."""
+
+    def __init__(self, systems: int, units: int):
+        self.n, self.x, self.t = 0, np.zeros((systems, units)), np.zeros(systems)
+        self.xx, self.xt = np.zeros((systems, units, units)), np.zeros((systems, units))
+
+    def add(self, x: np.ndarray, t: np.ndarray) -> None:
+        """``x``: time by systems by units, ``t``: time."""
+        if not len(t):
+            return
+        mean_x, mean_t = x.mean(0), t.mean()
+        xc, tc = (x - mean_x).transpose(1, 0, 2), t - mean_t
+        n, by = self.n + len(t), self.n * len(t) / (self.n + len(t))
+        dx, dt = mean_x - self.x, mean_t - self.t
+        self.xx += xc.transpose(0, 2, 1) @ xc + by * dx[:, :, None] * dx[:, None, :]
+        self.xt += (xc.transpose(0, 2, 1) @ tc[:, None])[..., 0] + by * dx * dt[:, None]
+        self.x, self.t, self.n = self.x + dx * (len(t) / n), self.t + dt * (len(t) / n), n
+
+    def fitted(self, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.xx + alpha * np.eye(self.x.shape[1]), self.xt[..., None]
+        try:
+            coef = np.linalg.solve(a, b)[..., 0]
+        except np.linalg.LinAlgError:
+            coef = np.array([np.linalg.lstsq(p, q, rcond=None)[0] for p, q in zip(a, b, strict=True)])[..., 0]
+        return coef, self.t - (self.x * coef).sum(1)
+
+
+class _Readout:
+    """Leaky states of many systems over a stream of rows: those to learn from first, then those to predict.
+
+    Holds the last states and the systems' moments, and the states of STEPS rows, whatever the series' length.
+    """
+
+    def __init__(self, weights: tuple, alpha: float, warm_up: int):
+        self.w, self.v, self.leak = weights
+        self.alpha, self.warm_up, self.seen, self.fit = alpha, warm_up, 0, None
+        self.state, self.moments = np.zeros(self.v.shape), _Moments(*self.v.shape)
+
+    def run(self, u: np.ndarray, y: np.ndarray, learn: np.ndarray):
+        """Learns from the rows where ``learn`` holds, and yields for the others ``(slice, predictions)``, time by systems."""
+        for at in range(0, len(u), STEPS):
+            here = slice(at, at + STEPS)
+            states = leaky_states(u[here], self.w, self.v, self.leak, self.state)
+            self.state = states[-1]
+            cut = int(learn[here].sum())  # the rows to learn from come first
+            skip = min(max(self.warm_up - self.seen, 0), cut)
+            self.moments.add(states[skip:cut], y[here][skip:cut])
+            self.seen += cut
+            if cut < len(states):
+                if self.fit is None:
+                    self.fit = self.moments.fitted(self.alpha)
+                coef, b = self.fit
+                yield slice(at + cut, at + len(states)), np.einsum("tsu,su->ts", states[cut:], coef) + b
+
+
+class _FoldErrors:
+    """The mean validation error of each configuration on one fold of one series."""
+
+    def __init__(self, weights: tuple, alpha: float):
+        self.readout, self.n, self.sse = _Readout(weights, alpha, WARM_UP), 0, np.zeros(len(weights[2]))
+
+    def feed(self, c: dict) -> None:
+        for here, p in self.readout.run(c["u"], c["y"], ~c["held"]):
+            self.sse += ((p - c["y"][here, None]) ** 2).sum(0)
+            self.n += len(p)
+
+    def end(self) -> dict:
+        mean = self.sse / self.n if self.n and self.readout.moments.n else np.full(len(self.sse), np.inf)
+        return {"place": np.arange(len(mean)), "error": np.where(np.isfinite(mean), mean, np.inf)}
 
 
 def grid_search(series: DataFrame, configs: DataFrame, units: int = 8, folds: int = 3, alphas=ALPHAS, seed: int = 137) -> DataFrame:
     """``series_id, grid_pos, ..., score``: mean validation error of each configuration of leaky-state features.
 
-    ``series(series_id, t, u, y)``; ``configs`` is a small grid and goes to every task. A task holds one series and runs
-    all configurations' states at once. Folds are floor-rule blocks; the smallest alpha is used.
+    ``series(series_id, t, u, y)``; ``configs`` is a small grid and goes to every task. For each fold, a block by the
+    floor rule, the rows outside it are joined: states run over them from 0 and on into the fold; the first WARM_UP rows
+    aren't fitted. A task streams one series and fold through all configurations, so memory doesn't grow with the
+    series. The smallest alpha is used. A failed fit, and a series too short to fit, score infinite.
     """
-    alpha, kind = min(alphas), series.schema["series_id"].dataType.simpleString()
+    alpha, kind = min(alphas), series.schema["series_id"].dataType
     grid = [r.asDict() for r in configs.orderBy("grid_pos").collect()]  # a parameter grid
     weights = _weights(grid, units, seed)
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        scores = fold_errors(pdf["u"].to_numpy(float), pdf["y"].to_numpy(float), weights, folds, alpha)
-        return pd.DataFrame([{"series_id": key[0], "grid_pos": c["grid_pos"], **{p: c[p] for p in PARAMETERS}, "score": float(s)} for c, s in zip(grid, scores, strict=True)])
-
+    rows = fold_ids(series.select("series_id", "t", "u", "y"), folds, balanced=False)
+    each = rows.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_f"), "fold", "t", F.col("u").cast("double").alias("u"), F.col("y").cast("double").alias("y"))
+    each = each.select("series_id", "_f", F.col("fold").eqNullSafe(F.col("_f")).alias("held"), "t", "u", "y")
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be merged
-    return series.repartition(tasks, "series_id").groupBy("series_id").applyInPandas(one, f"series_id {kind}, grid_pos int, spectral_radius double, input_scaling double, leak_rate double, score double")
+    errors = over_keys(each.repartition(tasks, "series_id", "_f"), ("series_id", "_f"), ("held", "t"), lambda _: _FoldErrors(weights, alpha), "place bigint, error double")
+    mean = F.avg("error")
+    scores = errors.groupBy("series_id", "place").agg(F.when(F.isnan(mean), float("inf")).otherwise(mean).alias("score"))
+    some = [F.element_at(F.array(*[F.lit(c[p]) for c in grid]), F.col("place").cast("int") + 1).alias(p) for p in ("grid_pos", *PARAMETERS)]
+    return scores.select(F.col("series_id").cast(kind).alias("series_id"), *some, "score")
 
 
-def best_config(scores: DataFrame) -> DataFrame:
-    """The configuration of lowest score for each series, first in the grid on ties; all infinite raises."""
+def best_config(scores: DataFrame, strict: bool = True) -> DataFrame:
+    """The configuration of lowest score for each series, first in the grid on ties; all infinite raises, if ``strict``."""
     best = scores.groupBy("series_id").agg(F.min_by(F.struct("spectral_radius", "input_scaling", "leak_rate", "grid_pos"), F.struct("score", "grid_pos")).alias("c"), F.min("score").alias("score"))
-    score = F.when(F.col("score") == float("inf"), F.raise_error(F.lit("no configuration could be fitted"))).otherwise(F.col("score"))
+    score = F.when(F.col("score") == float("inf"), F.raise_error(F.lit("no configuration could be fitted"))).otherwise(F.col("score")) if strict else F.col("score")
     return best.select("series_id", "c.*", score.alias("score"))
 
 
+class _Refit:
+    """Predictions of one series' last rows from a readout fitted on the first."""
+
+    def __init__(self, units: int, alpha: float, seed: int):
+        self.units, self.alpha, self.seed, self.readout = units, alpha, seed, None
+
+    def feed(self, c: dict) -> dict | None:
+        if self.readout is None:
+            config = {p: float(c[p][0]) for p in PARAMETERS}
+            # of a series as short as the warm-up the last row to learn from counts
+            self.readout = _Readout(_weights([config], self.units, self.seed), self.alpha, min(WARM_UP, max(int(c["cut"][0]) - 1, 0)))
+        parts = list(self.readout.run(c["u"], c["y"], c["is_train"]))
+        if not parts:
+            return None
+        some = slice(parts[0][0].start, parts[-1][0].stop)
+        return {"t": c["t"][some], "p": np.concatenate([p[:, 0] for _, p in parts]), "y": c["y"][some]}
+
+    def end(self) -> None:
+        return None
+
+
 def refit_best(series: DataFrame, best: DataFrame, train_frac: float = 0.7, units: int = 8, alphas=ALPHAS, seed: int = 137) -> DataFrame:
-    """``series_id, t, p, y`` on each series' last rows, from its best configuration refitted on the first."""
-    kind = series.schema["series_id"].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        u, y = pdf["u"].to_numpy(float), pdf["y"].to_numpy(float)[:, None]
-        cut = int(len(u) * train_frac)
-        x = leaky_states(u, *(a[0] for a in _weights([pdf.iloc[0]], units, seed)))
-        fit = slice(min(WARM_UP, max(cut - 1, 0)), cut)
-        w, b = solve(_sum_rows(x[fit], y[fit]), min(alphas))
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[cut:], "t": pdf["t"].iloc[cut:], "p": (x[cut:] @ w + b)[:, 0], "y": y[cut:, 0]})
-
-    return series.join(best, "series_id").groupBy("series_id").applyInPandas(one, f"series_id {kind}, t bigint, p double, y double")
+    """``series_id, t, p, y`` on each series' last rows, from its best configuration refitted on the first.
+
+    Rows stream through, so memory doesn't grow with the series.
+    """
+    alpha = min(alphas)
+    cut = F.floor(F.col("_total") * F.lit(train_frac))
+    rows = running(series.select("series_id", F.col("t").cast("bigint").alias("t"), F.col("u").cast("double").alias("u"), F.col("y").cast("double").alias("y")), ("series_id",), ["t"])
+    rows = rows.join(best.select("series_id", *PARAMETERS), "series_id")
+    rows = rows.select("series_id", "t", "u", "y", cut.cast("bigint").alias("cut"), (F.col("_before") < cut).alias("is_train"), *PARAMETERS)
+    return over_keys(rows.repartition("series_id"), ("series_id",), ("t",), lambda _: _Refit(units, alpha, seed), "t bigint, p double, y double")

@@ -73,6 +73,46 @@ def in_order(rows: DataFrame, group, step, schema: str) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group, "t").mapInArrow(run, f"{kinds}, {schema}")
 
 
+def over_keys(rows: DataFrame, keys, order, make, schema: str) -> DataFrame:
+    """``make(key)`` gives an object for each key, which is fed the key's rows in order, a batch at a time, and ended.
+
+    ``feed(columns)`` and ``end()`` return rows of the result as a dict of columns, or nothing. ``rows``: the key's columns,
+    those of ``order``, and numbers that ``feed`` gets as NumPy arrays by name. A key's rows stream through one task,
+    sorted there, so it may have any number of them.
+    """
+    n = len(keys)
+    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one, kinds = None, None, []
+
+        def result(columns: dict | None) -> Iterator[pa.RecordBatch]:
+            if columns:
+                length = len(next(iter(columns.values())))
+                own = [pa.array([k] * length, kind) for k, kind in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns.values())], names=[*keys, *columns])
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(n)]
+            found = list(zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True))
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names[n:]}
+            at = 0
+            while at < len(found):
+                to = at + 1
+                while to < len(found) and found[to] == found[at]:
+                    to += 1
+                if one is None or found[at] != key:
+                    if one is not None:
+                        yield from result(one.end())
+                    key, one = found[at], make(found[at])
+                yield from result(one.feed({c: v[at:to] for c, v in values.items()}))
+                at = to
+        if one is not None:
+            yield from result(one.end())
+
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, f"{typed}, {schema}")
+
+
 def _recurrence(key):
     """The tenth-order recurrence from its beginning: called with the next inputs, gives the values after them."""
     u, y = deque(maxlen=10), deque([0.0], maxlen=10)
