@@ -14,6 +14,18 @@ from gatherline.functions.scoring import require_finite
 from gatherline.operators.series import in_order
 
 
+def matched_count(features: DataFrame, pairs: bool = False) -> int:
+    """The feature count of a competing table ``x ARRAY``: its arrays' size n, or n + n (n - 1) / 2 with products of pairs.
+
+    Tables whose rows differ in size, and such without rows, raise.
+    """
+    sizes = features.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
+    if sizes["least"] is None or sizes["least"] != sizes["most"]:
+        raise ValueError("the competing table's rows must have one size")
+    n = sizes["most"]
+    return n + n * (n - 1) // 2 if pairs else n
+
+
 def cosine_params(spark: SparkSession, n_features: int, sigma: float = 1.0, seed: int = 137, scale: str = "n") -> DataFrame:
     """``j, w, b``: weights of deviation ``sigma / n`` (or, with ``scale='sqrt'``, sigma over its root), offsets in [0, 2 pi)."""
     return spark.range(n_features).select(F.col("id").cast("int").alias("j"), _weight(n_features, sigma, seed, scale, F.col("id")).alias("w"), (2 * math.pi * uniform(seed, "b", F.col("id"))).alias("b"))

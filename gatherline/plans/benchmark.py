@@ -61,8 +61,13 @@ def split_faulty(rows: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("_fault IS NULL").drop("_fault"), faulty
 
 
-def run_task(rows: DataFrame, task: str, n_features: int = 8, sigma: float = 1.0, control: str | None = None, seed: int = 137) -> DataFrame:
-    """One task on cosine features; ``control`` is ``random_features`` (as they are) or ``phase_random`` (drawn per row)."""
+def run_task(rows: DataFrame, task: str, n_features: int | DataFrame = 8, sigma: float = 1.0, control: str | None = None, seed: int = 137) -> DataFrame:
+    """One task on cosine features; ``control`` is ``random_features`` (as they are) or ``phase_random`` (drawn per row).
+
+    ``n_features``: their number, or the competing feature table that it is to match.
+    """
+    if isinstance(n_features, DataFrame):
+        n_features = features.matched_count(n_features)
     rows, faulty = split_faulty(rows, task)
     made = targets(rows, task)
     if control == "phase_random":

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherline.operators import charts, gates, inference, quality, runs
+from gatherline.operators import charts, features, gates, inference, quality, runs
 from gatherline.plans import workloads as w
 from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, T_P, r6
 from gatherline.sources.scratch import scratch
@@ -426,7 +428,59 @@ SELECT check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c
 def health_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = w.series(spark, d)
     log = w.runs(spark, d)
-    return quality.rolled_up({"determinism": rows.exceptAll(w.series(spark, d)), "config_drift": quality.config_drift(log), "fingerprints": quality.fingerprint_consistency(log)})
+    return quality.rolled_up({"determinism": quality.differences(rows, w.series(spark, d)), "config_drift": quality.config_drift(log), "fingerprints": quality.fingerprint_consistency(log)})
+
+
+@query(f"""WITH {w.SERIES_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (t > 0) AS later, count(DISTINCT series_id) AS s FROM series)
+SELECT 'again' AS variant, n AS rows, n AS other_rows, true AS same FROM n UNION ALL SELECT 'dealt anew', n, n, true FROM n UNION ALL SELECT 'a row less', n, later, n = later FROM n
+UNION ALL SELECT 'a row twice', n, n + s, s = 0 FROM n UNION ALL SELECT 'a digit off', n, n, n = 0 FROM n""")
+def determinism(spark: SparkSession, d: str) -> DataFrame:
+    """The series view and its features against the same made again, and against copies that aren't the same."""
+    made = lambda: features.cosine_features(w.series(spark, d), features.cosine_params(spark, 3))
+    rows = made()
+    others = {
+        "again": made(), "dealt anew": made().repartition(7, "t"), "a row less": rows.where("t > 0"), "a row twice": rows.unionByName(rows.where("t = 0")),
+        "a digit off": rows.withColumn("u", F.when(F.col("t") == 0, F.col("u") + 1e-9).otherwise(F.col("u"))),
+    }
+    return reduce(DataFrame.unionByName, [quality.compared_tables(rows, other).select(F.lit(name).alias("variant"), "rows", "other_rows", "same") for name, other in others.items()])
+
+
+@query("SELECT event_type AS name, count(*) AS iterations, round(sum(value), 4) AS total_seconds, round(avg(value), 6) AS mean_seconds, round(min(value), 6) AS min_seconds, round(max(value), 6) AS max_seconds FROM events GROUP BY event_type")
+def saved_timings(spark: SparkSession, d: str) -> DataFrame:
+    """The timing summary saved as JSON and read back."""
+    at, out = scratch(spark), timing_summary(spark, d)
+    runlog.save_timings(out, at)
+    return spark.read.schema(out.schema).json(at)
+
+
+@query(f"WITH {RUNS}, {MOMENTS.format(table='runs')}, g AS ({GATE_ROWS}) SELECT experiment_id, gate, verdict, 2::BIGINT AS evaluations FROM g")
+def gate_history(spark: SparkSession, d: str) -> DataFrame:
+    """Gates judged on the failed runs' and then on all runs' log, both appended; the later verdict is the current one."""
+    at, log = scratch(spark), w.runs(spark, d)
+    for when, runs_then in (("2026-01-01", log.withColumn("primary_metric_value", F.lit(0.0))), ("2026-01-02", log)):
+        runlog.append_gate_results(live.verdicts(runs_then).withColumn("evaluated_at", F.lit(when).cast("timestamp")), at)
+    history = spark.read.parquet(at)
+    counts = history.groupBy("experiment_id", "gate").agg(F.count("*").alias("evaluations"))
+    return runlog.current_gate_results(history).join(counts, ["experiment_id", "gate"]).select("experiment_id", "gate", "verdict", "evaluations")
+
+
+@query(PAIRED.format(runs=RUNS) + f""", pairs AS (SELECT experiment_id || ':' || task_name AS grp, experiment_id, task_name AS system, rn AS pair_id, v AS a, 0 AS b FROM x WHERE task_name <> 'parity'), {BOOT_SQL},
+cell AS (SELECT grp, experiment_id, system, count(*) AS n, avg(a) AS mean FROM pairs GROUP BY ALL), ci AS (SELECT grp, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM boot GROUP BY grp),
+pr AS (SELECT q.experiment_id, q.task_name AS system, q.v - e.v AS d FROM x q JOIN x e ON q.experiment_id = e.experiment_id AND q.rn = e.rn WHERE q.task_name NOT IN ('parity', 'esn') AND e.task_name = 'esn'),
+ts AS (SELECT experiment_id, system, avg(d) AS md, count(*) - 1 AS df, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM pr GROUP BY ALL), tp AS (SELECT *, {T_P} AS p FROM ts WHERE df > 1),
+sc AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p AS scaled FROM tp), ho AS (SELECT *, least(1.0, max(scaled) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM sc)
+SELECT c.experiment_id, c.system, c.n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(ts.md, 6) AS paired_delta, round(adjusted, 6) AS holm_p
+FROM cell c JOIN ci ON ci.grp = c.grp LEFT JOIN ts ON ts.experiment_id = c.experiment_id AND ts.system = c.system LEFT JOIN ho ON ho.experiment_id = c.experiment_id AND ho.system = c.system""")
+def headline_table(spark: SparkSession, d: str) -> DataFrame:
+    out = charts.headline(w.runs(spark, d), "mc", "esn")
+    return out.select("experiment_id", "system", "n", *[r6(c, c) for c in ("mean", "low", "high", "paired_delta", "holm_p")])
+
+
+@query(f"""WITH {RUNS}, c AS (SELECT experiment_id, task_name, count(*) AS n, sum(fit + score) AS s FROM runs GROUP BY ALL)
+SELECT experiment_id, task_name, n, round(s, 7) AS cell_seconds, round(s / n, 6) AS mean_seconds, round(sum(s) OVER (PARTITION BY experiment_id), 7) AS group_seconds, round(sum(s) OVER (PARTITION BY experiment_id) * 15 / 3.6e6, 9) AS group_kwh FROM c""")
+def compute_table(spark: SparkSession, d: str) -> DataFrame:
+    out = charts.compute_table(w.runs(spark, d), seconds())
+    return out.select("experiment_id", "task_name", "n", r6("mean_seconds", "mean_seconds"), *[F.round(c, 7).alias(c) for c in ("cell_seconds", "group_seconds")], F.round("group_kwh", 9).alias("group_kwh"))
 
 
 # streams

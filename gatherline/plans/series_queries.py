@@ -10,6 +10,8 @@ from gatherline.operators import blocks, features, inference, readout, series
 from gatherline.operators.runs import grid
 from gatherline.plans import benchmark
 from gatherline.plans import workloads as w
+from gatherline.sources import runlog
+from gatherline.sources.scratch import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,17 +162,40 @@ def rks_per_row(spark: SparkSession, d: str) -> DataFrame:
     return x.select("series_id", "t", F.posexplode("x").alias("j", "x")).select("series_id", "t", "j", r6("x", "x"))
 
 
-@query("""WITH f AS (SELECT vec_id % 4 AS series_id, list_sum(embedding[1:32]::DOUBLE[]) AS x1, list_sum(embedding[33:64]::DOUBLE[]) AS x2, (label >= 5)::INT::DOUBLE AS y FROM embeddings),
+RIDGE_SQL = """WITH f AS (SELECT vec_id % 4 AS series_id, list_sum(embedding[1:32]::DOUBLE[]) AS x1, list_sum(embedding[33:64]::DOUBLE[]) AS x2, (label >= 5)::INT::DOUBLE AS y FROM embeddings),
 m AS (SELECT series_id, sum(x1 * x1) - sum(x1) * sum(x1) / count(*) + 0.01 AS a, sum(x1 * x2) - sum(x1) * sum(x2) / count(*) AS c, sum(x2 * x2) - sum(x2) * sum(x2) / count(*) + 0.01 AS d,
   sum(x1 * y) - sum(x1) * sum(y) / count(*) AS p, sum(x2 * y) - sum(x2) * sum(y) / count(*) AS q, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM f GROUP BY series_id),
 s AS (SELECT *, (p * d - q * c) / (a * d - c * c) AS w1, (q * a - p * c) / (a * d - c * c) AS w2 FROM m)
-SELECT series_id, round(w1, 6) AS w1, round(w2, 6) AS w2, round(my - w1 * m1 - w2 * m2, 6) AS b FROM s""")
+SELECT series_id, round(w1, 6) AS w1, round(w2, 6) AS w2, round(my - w1 * m1 - w2 * m2, 6) AS b FROM s"""
+
+
+@query(RIDGE_SQL)
 def ridge_f2(spark: SparkSession, d: str) -> DataFrame:
     half = lambda first: F.aggregate(F.slice("x", first, 32), F.lit(0.0), lambda a, v: a + v)
     rows = w.features(spark, d).select("series_id", half(1).alias("x1"), half(33).alias("x2"), "y")
     return readout.ridge_two(rows, 0.01).select("series_id", r6("w1", "w1"), r6("w2", "w2"), r6("b", "b"))
 
 
+@query(RIDGE_SQL)
+def saved_fits(spark: SparkSession, d: str) -> DataFrame:
+    """The fits of ``ridge_f2``, saved in two parts and read back."""
+    at, fits = scratch(spark), ridge_f2(spark, d)
+    runlog.save_fits(fits.where("series_id < 2"), at)
+    runlog.save_fits(fits.where("series_id >= 2"), at)
+    return spark.read.parquet(at)
+
+
+@query(f"""WITH {w.SERIES_SQL}, x AS (SELECT series_id, j::INT AS j, cos({_N(137, chr(39) + 'w' + chr(39), 'j')} * 1.0 / 4 * u + 2 * pi() * {_U(137, chr(39) + 'b' + chr(39), 'j')}) AS x FROM series, range(4) r(j))
+SELECT series_id::VARCHAR AS run_id, j, count(*) AS n, round(sum(x), 6) AS total FROM x GROUP BY ALL""")
+def saved_features(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine features of each series as a run, saved by hashed run and read back."""
+    at = scratch(spark)
+    x = features.cosine_features(w.series(spark, d), features.cosine_params(spark, 4))
+    runlog.save_features(x.select(F.col("series_id").cast("string").alias("run_id"), "t", "x"), at)
+    back = spark.read.parquet(at).select("run_id", F.posexplode("x").alias("j", "x"))
+    return back.groupBy("run_id", "j").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"))
+
+
 @query()
 def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = series.fold_ids(w.features(spark, d), 5).select("series_id", "fold", "x", F.array("y").alias("y"))
@@ -179,7 +204,8 @@ def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rks_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark.run_task(w.series(spark, d), "narma", control="random_features").drop("failure_reason")
+    rows = w.series(spark, d)
+    return benchmark.run_task(rows, "narma", features.leaky_features(rows), control="random_features").drop("failure_reason")
 
 
 def _leaky_sql(units: int = 8, leak: float = 0.3) -> str:
