@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatherline.operators import charts, features, gates, inference, quality, runs
 from gatherline.plans import workloads as w
-from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, T_P, r6
+from gatherline.plans.series_queries import BCA_SQL, BOOT_SQL, CORR, NARMA_SQL, T_P, r6
 from gatherline.sources.scratch import scratch
 from gatherline.sources import runlog
 from gatherline.streaming import live
@@ -503,3 +503,30 @@ def stream_totals(spark: SparkSession, d: str) -> DataFrame:
 def stream_gates(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark)
     return live.run_available(live.verdicts(_arriving(spark, d, at)), at, "verdicts")
+
+
+#: Spark's setting that state of lists and timers needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query(NARMA_SQL + """SELECT s.series_id, s.t, round(coalesce(CASE WHEN r.t >= 10 THEN r.ys[10] END, 0.0), 6) AS y,
+  round(0.5 * u01 + 0.5 * avg(u01) OVER (PARTITION BY s.series_id ORDER BY s.t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9) AS blend
+FROM series s LEFT JOIN rec r ON r.series_id = s.series_id AND r.t = s.t""")
+def stream_series(spark: SparkSession, d: str) -> DataFrame:
+    """All events as a stream that arrives out of order by up to three days; a last arrival, far ahead, ends the wait."""
+    at, start = scratch(spark), "2024-01-01"
+    rows = w.table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.least(F.col("value"), F.lit(500.0)) / 1000).alias("u"))
+    arrival = F.floor((F.datediff("ts", F.to_date(F.lit(start))) + F.col("id") % 4) / 6)
+    last = rows.agg(F.max(arrival)).first()[0]
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("series_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("u"))
+    parts = [rows.where(arrival == k) for k in range((-1 if last is None else last) + 1)]  # some five for a month
+    for part in [*parts, end.where("ts IS NOT NULL")]:
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        out = live.run_appended(live.live_series(stream, late="4 days"), at, "series")
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    return out.where("series_id IS NOT NULL").select("series_id", "t", r6("y", "y"), F.round("blend", 9).alias("blend"))

@@ -6,6 +6,7 @@ import json
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,19 +78,30 @@ def test_reports_and_results(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/features").count() == spark.read.parquet(f"{tmp_path}/fits").count() == spark.read.json(f"{tmp_path}/timings").count() == 1
 
 
-def test_live_series_equals_batch(spark, tmp_path):
-    rows = spark.range(60).selectExpr("id % 2 AS series_id", "id div 2 AS t", "(id * 37 % 50) / 100.0D AS u")
-    for i in range(3):  # three arrivals, so that state is carried
-        rows.where(f"t div 10 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = live.live_series(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {(r.series_id, r.t): (r.y, r.blend) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+def test_live_series_out_of_order_equals_batch(spark, tmp_path):
+    rows = spark.range(240).selectExpr("id % 2 AS series_id", "timestamp_seconds(1700000000 + id * 60) AS ts", "id", "(id * 37 % 50) / 100.0D AS u", "id div 2 AS t")
+    arrivals = [rows.where(f"(id + pmod(id * 7919, 41)) div 50 = {k}") for k in range(6)]  # late by up to 40 minutes
+    late = rows.where("id = 3").withColumns({"id": F.lit(999), "u": F.lit(0.4)})  # long after its time
+    end = rows.where("id = 0").withColumns({"series_id": F.lit(None).cast("long"), "ts": F.timestamp_seconds(F.lit(1800000000))})
+    for part in [*arrivals, late, end]:
+        part.select("series_id", "ts", "id", "u").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("series_id long, ts timestamp, id long, u double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = live.run_appended(live.live_series(stream, late="45 minutes"), str(tmp_path), "out").collect()
+    got = {(r.series_id, r.t): (r.y, r.blend) for r in out}
+    assert [r.id for r in sorted(out, key=lambda r: r.t) if r.series_id == 1] == list(range(1, 240, 2))
     y = {(r.series_id, r.t): r.y for r in series.narma_recurrence(rows, "u").collect()}
     blend = {(r.series_id, r.t): r.blend_u for r in series.trailing_blend(rows, 3, ["u"]).collect()}
     assert got.keys() == y.keys() and all(got[k] == pytest.approx((y[k], blend[k])) for k in got)
 
 
+def test_series_so_far_in_any_pieces():
+    u = np.random.default_rng(1).uniform(0, 0.5, 50)
+    whole, pieces = live.SeriesSoFar(4), live.SeriesSoFar(4)
+    y, blend = whole.add(u)
+    parts = [pieces.add(u[a : a + 3]) for a in range(0, 50, 3)]
+    assert np.concatenate([p[0] for p in parts]) == pytest.approx(y) and np.concatenate([p[1] for p in parts]) == pytest.approx(blend)
+
+
 @pytest.mark.parametrize("name", ["lag_matrix", "memory_capacity", "holm", "gate_all", "gate_g5", "running_compute", "stream_totals", "stream_gates", "param_grid", "fold_ids_balanced"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
