@@ -142,7 +142,9 @@ def _compare(percent: int):
 
 #: A text with more partners than this is compared in several tasks.
 PARTNERS = 100
-#: So many members of a bucket, outside its largest component, meet the others in one task.
+#: So many members of a bucket, outside its largest component, meet each of the others; of more, those with a shingle in common.
+OUTSIDERS = 64
+#: So many members outside a bucket's largest component meet it in one task.
 LOT = 64
 
 
@@ -155,14 +157,72 @@ def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     Only texts that some pair names are moved: once for each pair as ``b``, and once for each PARTNERS partners as
     ``a``. A sketch of their ids holds back nearly all others where they are read. ``docs``: ``(doc_id, text)``.
     """
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b")]
+    return written(_beside_centers(docs, pairs).mapInArrow(_compare(percent), ", ".join([*kinds, "linked boolean, shared int, extra int, rest array<bigint>"])), "minhash-compared")
+
+
+def _tokens(percent: int):
+    """Rows in order of ``a``, as ``_compare`` reads them: for each ``b`` the shingles by which it must meet its likes."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, at, left = WordHashes(), None, np.empty(0, np.uint64)
+        for batch in slices(batches):
+            keep, far, beyond, inner = [], [], [], []
+            for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                own = shingle_set(text_of(text), hashes)
+                if other is None:
+                    at, left = one, own
+                elif one == at and len(own) and len(left):
+                    hit = left[np.minimum(np.searchsorted(left, own), len(left) - 1)] == own
+                    rest, shared, least = own[~hit], own[hit], -(-percent * len(own) // 100)
+                    need = least - len(shared)  # so many shingles beyond the center's are in every like
+                    keep.append(i)
+                    far.append(rest[: len(rest) - need + 1].view(np.int64) if need > 0 else [])
+                    beyond.append([] if need > 0 else rest.view(np.int64))
+                    inner.append([] if need > 0 else shared[: len(shared) - max(least - len(rest), 1) + 1].view(np.int64))
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in (far, beyond, inner))], names=["a", "b", "far", "beyond", "inner"])
+
+    return tokens
+
+
+def _beside_centers(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, text`` sorted by ``a``: its own text with a null ``b``, then those of its partners, in lots of PARTNERS."""
     texts = held_back(docs, F.col("doc_id"), pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))
     lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), "lots").cast("int").alias("lot"))
     right = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "lot", "b", "text")
     left = lots.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
-    rows = right.unionByName(left).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    return right.unionByName(left).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first()).select("a", "b", "text")
+
+
+def met_by_tokens(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b``: pairs of one center's ``members(center, rep, n, component, out)`` that may link, one of them at least ``out``.
+
+    Of similar sets each has ``percent`` of itself in both. If a member has less than that in common with its center,
+    it has ``need`` shingles or more beyond the center in common with its like, so one of its first ``size - need + 1`` in
+    an order that all share (prefix filter). Two members that lie in the center for the most part have likewise
+    some of the center's in common; such are compared here if both are ``out``. Only members with such a shingle in
+    common meet, so unlike texts that only share what the center has never do. ``percent`` is over 50.
+    """
+    pairs = members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b")]
-    return written(rows.select("a", "b", "text").mapInArrow(_compare(percent), ", ".join([*kinds, "linked boolean, shared int, extra int, rest array<bigint>"])), "minhash-compared")
+    found = _beside_centers(docs, pairs).mapInArrow(_tokens(percent), ", ".join([*kinds, "far array<bigint>, beyond array<bigint>, inner array<bigint>"]))
+    own = members.groupBy("center", "rep", "n", "component").agg(F.bool_or("out").alias("out"))
+    found = written(found.withColumnsRenamed({"a": "center", "b": "rep"}).join(own, ["center", "rep"]), "minhash-tokens")
+    token = lambda name: found.where(F.size(name) > 0).select("center", "rep", "n", "component", "out", F.explode(name).alias("token"))
+    once = F.col("x.rep") < F.col("y.rep")
+    sides = [
+        (token("far").where("out"), token("far"), once | ~F.col("y.out")), (token("far").where("out"), token("beyond"), F.lit(True)),
+        (token("beyond").where("out"), token("far").where("NOT out"), F.lit(True)), (token("inner").where("out"), token("inner").where("out"), once),
+    ]
+    out = None
+    for x, y, apart in sides:
+        x, y = x.alias("x"), y.alias("y")
+        met = x.join(y, (F.col("x.center") == F.col("y.center")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & apart & _near_size(F.col("x.n"), F.col("y.n"), percent))
+        met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
 
 
 def _near_size(n: Column, m: Column, percent: int) -> Column:
@@ -180,9 +240,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Equal sets collapse to one representative. 2. Representatives meet in band buckets; each bucket gives star
     edges from the member that shares most buckets, so candidates never outnumber bucket rows. 3. Edges are confirmed on full sets
-    and components formed. 4. Where a bucket of three or more still spans components, the members outside its
-    largest component meet the others of the bucket. Sizes and what both share with the bucket's center bound
-    the pair's similarity exactly; pairs that may link are confirmed too: none that shares a bucket is left out.
+    and components formed. 4. Where a bucket of three or more still spans components, up to OUTSIDERS members outside its
+    largest component meet the others of the bucket: sizes and what both share with the bucket's center bound
+    the pair's similarity exactly. Where there are more, only those meet that share a shingle which any like of
+    theirs must have (``met_by_tokens``), and those that lie in the center for the most part meet the component. Pairs that may link are confirmed too: none that shares a bucket is left out.
     Sets of SMALL_SET shingles or fewer meet in the buckets of two permutations.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -209,18 +270,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     main = counts.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", "m.main")
     measured = known.select(F.col("a").alias("center"), F.col("b").alias("rep"), "shared", "extra", "rest")
     open_rows = held.where("rep <> center").join(main, "key").join(measured, ["center", "rep"])
-    open_rows = written(open_rows.select("key", "rep", "n", "component", "main", "shared", "extra", "rest"), "minhash-open")
-    # the members outside are dealt in lots, and each lot meets the bucket's others by itself
-    lots = written(open_rows.where("component <> main").groupBy("key").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots")), "minhash-lots")
-    open_rows = open_rows.join(lots, "key")
-    x = open_rows.where("component <> main").withColumn("lot", F.pmod(F.xxhash64("rep"), "lots").cast("int")).alias("x")
-    y = open_rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).alias("y")
+    open_rows = written(open_rows.select("key", "center", "rep", "n", "component", "main", "shared", "extra", "rest"), "minhash-open")
+    most_out = OUTSIDERS if percent > 50 else 1 << 62
+    outsiders = open_rows.where("component <> main").groupBy("key").agg(F.count("*").alias("outsiders")).withColumn("lots", F.ceil(F.col("outsiders") / LOT).cast("int"))
+    open_rows = open_rows.join(written(outsiders, "minhash-lots"), "key").withColumn("crowded", F.col("outsiders") > most_out).withColumn("out", F.col("component") != F.col("main"))
+    # of crowded buckets only those that lie in the center for the most part meet the main component here
+    inner = ~F.col("crowded") | (F.col("shared") * 100 >= F.col("n") * percent)
+    x = open_rows.where(F.col("out") & inner).withColumn("lot", F.pmod(F.xxhash64("rep"), "lots").cast("int")).alias("x")
+    y = open_rows.where(inner & ~(F.col("crowded") & F.col("out"))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).alias("y")
     common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
     # at most so many shingles are in both: those that both share with their center, and those outside it
     most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
-    other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    other = (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.rep") < F.col("y.rep")))
     near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
     second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lot") == F.col("y.lot")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    crowded = written(open_rows.where("crowded").select("center", "rep", "n", "component", "out").distinct(), "minhash-crowded")
+    if not crowded.isEmpty():
+        second = second.unionByName(met_by_tokens(docs, crowded, percent)).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = written(second.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
     if not second.isEmpty():
