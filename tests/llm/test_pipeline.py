@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gatherline.llm import bpe
 from gatherline.llm.queries import public_ranks
@@ -90,3 +92,22 @@ def test_repeated_rows_and_ids(spark, tmp_path):
     got = Counter((r.doc_id, r.text or "") for r in apart if r.doc_id not in (None, 7))
     assert got == Counter([(1, text(1)), (1, text(2)), (3, text(3)), (3, text(4)), (5, "")])
     assert sum(r.doc_id is None for r in apart) == 1 and sum(r.doc_id == 7 for r in apart) == 1
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    extra = {c: F.lit(7) for c in ("score", "key", "taken", "size", "draw", "c0", "_row", "kept", "print", "shard", "tokens", "target")}
+    docs = spark.createDataFrame([(i, t, "en", None if i % 7 == 0 else f"s{i % 4}", 0) for i, t, _ in corpus()], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(x)) for i, _, x in corpus()], "doc_id long, quality int, toxic int")
+    plain, wide, empty, bare = (f"{tmp_path}/{n}" for n in ("plain", "wide", "empty", "bare"))
+    for at, some, marks in ((plain, docs, labels), (wide, docs.withColumns(extra), labels.withColumn("text", F.lit("x"))), (empty, docs.limit(0), labels.limit(0)), (bare, docs, labels.limit(0))):
+        some.write.parquet(f"{at}/documents.parquet")
+        marks.write.parquet(f"{at}/labels.parquet")
+    out = Counter(map(tuple, corpus_pipeline.run(spark, plain).collect()))
+    assert out == Counter(map(tuple, corpus_pipeline.run(spark, wide).collect()))
+    none = corpus_pipeline.run(spark, empty)
+    assert none.count() == 0 and none.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.toxic(spark, docs, bare).count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs.withColumns(extra), wide)
+        assert made.columns == [*docs.columns, *extra] and made.where("target <> 7").count() == 0, name
+        assert stage(spark, docs.limit(0), empty).count() == 0
