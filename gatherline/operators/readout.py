@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gatherline.operators.blocks import running
 from gatherline.operators.features import leaky_states, leaky_weights
+from gatherline.operators.runs import captured
 from gatherline.operators.series import fold_ids, over_keys
 
 ALPHAS = (1e-8, 1e-6, 1e-4, 1e-2, 1.0, 100.0)
@@ -27,15 +28,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+#: Numbers of sums that a task holds before it puts them out, and places in which a series' sums are added up first.
+HELD, PLACES = 4_000_000, 16
+
+
 def partial_statistics(rows: DataFrame) -> DataFrame:
-    """For each batch of rows, ``series_id`` and ``fold``: n, and sums of x, y, xx', xy' and y*y.
+    """For each ``series_id`` and ``fold``, in up to PLACES rows: n, and sums of x, y, xx', xy' and y*y.
 
-    ``rows(series_id, fold, x ARRAY, y ARRAY)``, read once and summed up where they are read. A null fold (rows in no
-    validation block) is fold -1. Sums of a series and fold add up to its statistics.
+    ``rows(series_id, fold, x ARRAY, y ARRAY)``, read once and summed up where they are read, over all batches of a
+    task; then as a tree, over PLACES tasks for each series and fold, so no task gets a row of every other. A null fold
+    (rows in no validation block) is fold -1. Sums of a series and fold add up to its statistics.
     """
     kind = rows.schema["series_id"].dataType.simpleString()
 
+    def out(sums: dict, batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = {"series_id": batch.schema.field(0).type, "fold": pa.int32(), "n": pa.int64()}
+        names = ["series_id", "fold", "n", "sx", "sy", "sxx", "sxy", "syy"]
+        rows = [dict(zip(names, (*key, *parts), strict=True)) for key, parts in sums.items()]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.list_(pa.float64()))) for c in names]))
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -44,12 +57,34 @@ def partial_statistics(rows: DataFrame) -> DataFrame:
             codes, names = keys.factorize()
             order = np.argsort(codes, kind="stable")
             ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
-            sums = [_sums(names[i], x[order[lo:hi]], y[order[lo:hi]]) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))]
-            kinds = {"series_id": batch.schema.field(0).type, "fold": pa.int32(), "n": pa.int64()}
-            yield pa.RecordBatch.from_pylist(sums, pa.schema([(c, kinds.get(c, pa.list_(pa.float64()))) for c in sums[0]]))
+            for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+                parts = list(_sums(names[i], x[order[lo:hi]], y[order[lo:hi]]).values())[2:]
+                key = tuple(v.item() if isinstance(v, np.generic) else v for v in names[i])
+                sums[key] = [a + b for a, b in zip(sums[key], parts, strict=True)] if key in sums else parts
+            if len(sums) * (x.shape[1] + 1) * (x.shape[1] + y.shape[1]) > HELD:
+                yield out(sums, batch)
+                sums.clear()
+        if sums:
+            yield out(sums, batch)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, []
+        for batch in batches:
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                parts = [row[2], *(batch.column(c)[i].values.to_numpy() for c in range(3, 8))]
+                if key == row[:2]:
+                    total = [a + b for a, b in zip(total, parts, strict=True)]
+                    continue
+                if key is not None:
+                    yield out({key: total}, batch)
+                key, total = row[:2], parts
+        if key is not None:
+            yield out({key: total}, batch)
 
     some = rows.select("series_id", F.coalesce("fold", F.lit(-1)).alias("fold"), "x", "y")
-    return some.mapInArrow(partial, STATS.format(kind))
+    sums = some.mapInArrow(partial, STATS.format(kind)).withColumn("_place", F.spark_partition_id() % PLACES)
+    placed = sums.repartition("series_id", "fold", "_place").sortWithinPartitions("series_id", "fold").drop("_place")
+    return placed.mapInArrow(added, STATS.format(kind))
 
 
 def _unpack(row) -> list[np.ndarray]:
@@ -68,6 +103,22 @@ def solve(stats: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray
     return w, (sy - sx @ w) / n
 
 
+def scored_alphas(train: list[np.ndarray], held: list[np.ndarray], alphas) -> list[float]:
+    """The held-out R2 of each alpha: one eigendecomposition of the training rows' moments serves them all.
+
+    Where alphas are many orders below the largest eigenvalue, the small eigenvalues' rounding counts; ``solve`` then
+    fits the alpha that was chosen from the moments themselves.
+    """
+    n, sx, sy, sxx, sxy, _ = train
+    values, vectors = np.linalg.eigh(sxx - np.outer(sx, sx) / n)
+    turned = vectors.T @ (sxy - np.outer(sx, sy) / n)
+    out = []
+    for alpha in alphas:
+        w = vectors @ (turned / (np.maximum(values, 0.0) + alpha)[:, None]) if alpha > 0 else solve(train, alpha)[0]
+        out.append(r2(held, w, (sy - sx @ w) / n))
+    return out
+
+
 def r2(stats: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> float:
     """Mean R2 over targets, from a block's sums alone; a constant target counts 1 if met exactly, else 0."""
     n, sx, sy, sxx, sxy, syy = stats
@@ -80,10 +131,8 @@ def r2(stats: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> float:
 FIT = "series_id {0}, target_k int, alpha double, intercept double, coef array<double>"
 
 
-def ridge_cv(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
-    """``series_id, target_k, alpha, intercept, coef`` of each series: the alpha of best mean R2 over its folds, first
-    on ties, refitted on all rows. Folds are left out by subtraction; the rows are read once, and one row for each batch,
-    series and fold is shuffled. A series that can't be solved has a null fit."""
+def fits(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
+    """``ridge_cv`` with ``success, failure_reason``: a series whose fit raises or isn't finite has one row with the reason."""
     kind = rows.schema["series_id"].dataType.simpleString()
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,18 +141,25 @@ def ridge_cv(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
             own = _unpack(r)
             blocks[int(r["fold"])] = [a + b for a, b in zip(blocks[int(r["fold"])], own, strict=True)] if int(r["fold"]) in blocks else own
         every = [sum(parts) for parts in zip(*blocks.values(), strict=True)]
+        if not all(np.isfinite(part).all() for part in every):
+            raise ValueError("sums of features and targets are not finite")
         folds = [f for f in sorted(blocks) if f >= 0]
-        try:
-            best = alphas[0]
-            if len(alphas) > 1 and len(folds) > 1:
-                score = [np.mean([r2(blocks[f], *solve([a - b for a, b in zip(every, blocks[f], strict=True)], alpha)) for f in folds]) for alpha in alphas]
-                best = alphas[int(np.argmax(score))]
-            w, b = solve(every, best)
-        except np.linalg.LinAlgError:  # such a series has no fit; the others go on
-            return pd.DataFrame({"series_id": key[0], "target_k": range(len(every[2])), "alpha": None, "intercept": None, "coef": None}).astype({"alpha": float, "intercept": float})
+        best = alphas[0]
+        if len(alphas) > 1 and len(folds) > 1:
+            score = np.mean([scored_alphas([a - b for a, b in zip(every, blocks[f], strict=True)], blocks[f], alphas) for f in folds], 0)
+            best = alphas[int(np.argmax(score))]
+        w, b = solve(every, best)
         return pd.DataFrame({"series_id": key[0], "target_k": range(len(b)), "alpha": best, "intercept": b, "coef": list(w.T)})
 
-    return partial_statistics(rows).groupBy("series_id").applyInPandas(one, FIT.format(kind))
+    safe, schema = captured(one, FIT.format(kind))
+    return partial_statistics(rows).groupBy("series_id").applyInPandas(safe, schema)
+
+
+def ridge_cv(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
+    """``series_id, target_k, alpha, intercept, coef`` of each series: the alpha of best mean R2 over its folds, first
+    on ties, refitted on all rows. Folds are left out by subtraction; the rows are read once, and one row for each batch,
+    series and fold is shuffled. A series that can't be fitted has one row of nulls; ``fits`` says why."""
+    return fits(rows, alphas).drop("success", "failure_reason")
 
 
 def predict(rows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -258,14 +314,14 @@ class _Refit:
         return None
 
 
-def refit_best(series: DataFrame, best: DataFrame, train_frac: float = 0.7, units: int = 8, alphas=ALPHAS, seed: int = 137) -> DataFrame:
+def refit_best(series: DataFrame, best: DataFrame, train_frac: float = 0.7, units: int = 8, alphas=ALPHAS, seed: int = 137, capture: bool = False) -> DataFrame:
     """``series_id, t, p, y`` on each series' last rows, from its best configuration refitted on the first.
 
-    Rows stream through, so memory doesn't grow with the series.
+    Rows stream through, so memory doesn't grow with the series. ``capture`` is that of ``over_keys``.
     """
     alpha = min(alphas)
     cut = F.floor(F.col("_total") * F.lit(train_frac))
     rows = running(series.select("series_id", F.col("t").cast("bigint").alias("t"), F.col("u").cast("double").alias("u"), F.col("y").cast("double").alias("y")), ("series_id",), ["t"])
     rows = rows.join(best.select("series_id", *PARAMETERS), "series_id")
     rows = rows.select("series_id", "t", "u", "y", cut.cast("bigint").alias("cut"), (F.col("_before") < cut).alias("is_train"), *PARAMETERS)
-    return over_keys(rows.repartition("series_id"), ("series_id",), ("t",), lambda _: _Refit(units, alpha, seed), "t bigint, p double, y double")
+    return over_keys(rows.repartition("series_id"), ("series_id",), ("t",), lambda _: _Refit(units, alpha, seed), "t bigint, p double, y double", capture)

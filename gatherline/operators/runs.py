@@ -142,7 +142,7 @@ def captured(function, schema: str):
         try:
             out = function(key, pdf).assign(success=True, failure_reason=None)
         except Exception as error:  # noqa: BLE001 - the reason is the result
-            out = pd.DataFrame([dict(zip(columns, key, strict=False)) | {"success": False, "failure_reason": f"{type(error).__name__}: {error}"}])
+            out = pd.DataFrame([dict.fromkeys(columns) | dict(zip(columns, key, strict=False)) | {"success": False, "failure_reason": f"{type(error).__name__}: {error}"}])
         return out.reindex(columns=[*columns, "success", "failure_reason"])
 
     return safe, f"{schema}, success boolean, failure_reason string"

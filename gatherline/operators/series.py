@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gatherline.operators.blocks import BLOCK_ROWS, framed, running
+from gatherline.sources.scratch import written
 
 SERIES = ("series_id",)
 
@@ -73,24 +77,40 @@ def in_order(rows: DataFrame, group, step, schema: str) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group, "t").mapInArrow(run, f"{kinds}, {schema}")
 
 
-def over_keys(rows: DataFrame, keys, order, make, schema: str) -> DataFrame:
+def over_keys(rows: DataFrame, keys, order, make, schema: str, capture: bool = False) -> DataFrame:
     """``make(key)`` gives an object for each key, which is fed the key's rows in order, a batch at a time, and ended.
 
     ``feed(columns)`` and ``end()`` return rows of the result as a dict of columns, or nothing. ``rows``: the key's columns,
     those of ``order``, and numbers that ``feed`` gets as NumPy arrays by name. A key's rows stream through one task,
     sorted there, so it may have any number of them.
+
+    With ``capture`` an exception ends its key alone: a further column ``failure_reason`` is null but in one row, which
+    has nulls for results. Rows that the key gave before stay; ``failed`` tells them apart.
     """
     n = len(keys)
+    names = [c.split()[0] for c in schema.split(", ")]
+    schema = f"{schema}, failure_reason string" if capture else schema
     typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
 
+    made = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, one, kinds = None, None, []
 
-        def result(columns: dict | None) -> Iterator[pa.RecordBatch]:
+        def result(call, *what) -> Iterator[pa.RecordBatch]:
+            nonlocal one
+            try:
+                columns = call(*what)
+                if columns and capture:
+                    columns["failure_reason"] = pa.nulls(len(next(iter(columns.values()))), pa.string())
+            except Exception as error:
+                if not capture:
+                    raise
+                one, columns = None, {c: [None] for c in names} | {"failure_reason": [f"{type(error).__name__}: {error}"]}
             if columns:
                 length = len(next(iter(columns.values())))
                 own = [pa.array([k] * length, kind) for k, kind in zip(key, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns.values())], names=[*keys, *columns])
+                yield pa.RecordBatch.from_arrays([*own, *(c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns.values(), made, strict=False))], names=[*keys, *columns])
 
         for batch in batches:
             kinds = [batch.schema.field(i).type for i in range(n)]
@@ -101,18 +121,28 @@ def over_keys(rows: DataFrame, keys, order, make, schema: str) -> DataFrame:
                 to = at + 1
                 while to < len(found) and found[to] == found[at]:
                     to += 1
-                if one is None or found[at] != key:
+                if found[at] != key:
                     if one is not None:
-                        yield from result(one.end())
+                        yield from result(one.end)
                     key, one = found[at], make(found[at])
-                yield from result(one.feed({c: v[at:to] for c, v in values.items()}))
+                if one is not None:  # else the key has failed
+                    yield from result(one.feed, {c: v[at:to] for c, v in values.items()})
                 at = to
         if one is not None:
-            yield from result(one.end())
+            yield from result(one.end)
 
     return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, f"{typed}, {schema}")
 
 
+def failed(results: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """What ``over_keys`` gave, written once and split: the rows of the keys that went through, and ``*keys, reason``."""
+    results = written(results)
+    reasons = results.where("failure_reason IS NOT NULL").select(*keys, F.col("failure_reason").alias("reason"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    bad = reasons.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return results.join(bad, reduce(lambda a, b: a & b, same), "left_anti").drop("failure_reason"), reasons
+
+
 def _recurrence(key):
     """The tenth-order recurrence from its beginning: called with the next inputs, gives the values after them."""
     u, y = deque(maxlen=10), deque([0.0], maxlen=10)

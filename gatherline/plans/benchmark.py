@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatherline.functions import scoring
 from gatherline.operators import features, readout, series
+from gatherline.sources.scratch import written
 
 #: Task to metric.
 METRICS = {"stm": "mc", "parity": "accuracy", "narma": "nrmse"}
@@ -22,11 +23,13 @@ def targets(rows: DataFrame, task: str, delay_max: int = 5, width: int = 3) -> D
     return series.narma_recurrence(rows).select("series_id", "t", F.col("u").alias("v"), F.array("y").alias("y"))
 
 
-def fitted_scores(rows: DataFrame, train_frac: float = 0.7, folds: int = 3, alphas=readout.ALPHAS) -> DataFrame:
-    """``series_id, t, k, p, y`` on the test rows of ``rows(series_id, t, x, y ARRAY)``: split, blocked CV, ridge."""
+def fitted_scores(rows: DataFrame, train_frac: float = 0.7, folds: int = 3, alphas=readout.ALPHAS) -> tuple[DataFrame, DataFrame]:
+    """``series_id, t, k, p, y`` on the test rows of ``rows(series_id, t, x, y ARRAY)``: split, blocked CV, ridge; and
+    ``series_id, reason`` of the series whose fit failed. Fits are written once and serve both."""
     split = series.chrono_split(rows, train_frac)
     train = series.fold_ids(split.where("is_train"), folds)
-    return readout.predict(split.where("NOT is_train"), readout.ridge_cv(train.select("series_id", "fold", "x", "y"), alphas))
+    fits = written(readout.fits(train.select("series_id", "fold", "x", "y"), alphas))
+    return readout.predict(split.where("NOT is_train"), fits.where("success")), fits.where("NOT success").select("series_id", F.col("failure_reason").alias("reason"))
 
 
 def score(predictions: DataFrame, task: str) -> DataFrame:
@@ -41,7 +44,7 @@ def score(predictions: DataFrame, task: str) -> DataFrame:
 
 
 def log_rows(scores: DataFrame, faulty: DataFrame, task: str, label: str | None = None, task_seed: int = 42, reservoir_seed: int = 137) -> DataFrame:
-    """Run-log rows; a score that is missing or not finite is a failed run, and so is a faulty series."""
+    """Run-log rows; a score that is missing or not finite is a failed run, and so is a faulty series, with its own reason."""
     scores = scores.select("series_id", "value", F.lit(None).cast("string").alias("reason")).unionByName(faulty.select("series_id", F.lit(None).cast("double").alias("value"), "reason"))
     ok = F.coalesce(scoring.is_finite(F.col("value")), F.lit(False))
     return scores.select(
@@ -74,7 +77,8 @@ def run_task(rows: DataFrame, task: str, n_features: int | DataFrame = 8, sigma:
         x = features.cosine_features_per_row(made, n_features, sigma * n_features, seed, "v")
     else:
         x = features.cosine_features(made, features.cosine_params(rows.sparkSession, n_features, sigma * n_features, seed), "v")
-    return log_rows(score(fitted_scores(x), task), faulty, task, f"ablation:{control}" if control else None, reservoir_seed=seed)
+    predictions, unfitted = fitted_scores(x)
+    return log_rows(score(predictions, task), faulty.unionByName(unfitted), task, f"ablation:{control}" if control else None, reservoir_seed=seed)
 
 
 def run_leaky(rows: DataFrame, task: str = "narma", label: str = "esn_narma", grid: DataFrame | None = None) -> DataFrame:
@@ -82,5 +86,8 @@ def run_leaky(rows: DataFrame, task: str = "narma", label: str = "esn_narma", gr
     rows, faulty = split_faulty(rows, task)
     made = targets(rows, task).select("series_id", "t", F.col("v").alias("u"), F.get("y", F.lit(0)).alias("y"))
     train = series.chrono_split(made, 0.7).where("is_train").drop("is_train")
-    best = readout.best_config(readout.grid_search(train, grid))
-    return log_rows(score(readout.refit_best(made, best.drop("score")), task), faulty, task, label)
+    best = written(readout.best_config(readout.grid_search(train, grid), strict=False))
+    unfitted = best.where(F.col("score") == float("inf")).select("series_id", F.lit("no configuration could be fitted").alias("reason"))
+    refit = readout.refit_best(made, best.where(F.col("score") < float("inf")).drop("score"), capture=True)
+    predictions, broken = series.failed(refit, ("series_id",))
+    return log_rows(score(predictions.withColumn("k", F.lit(0)), task), faulty.unionByName(unfitted).unionByName(broken), task, label)

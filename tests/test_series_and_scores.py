@@ -199,6 +199,83 @@ def test_one_bad_series_does_not_stop_the_others(table):
     assert runs_of(benchmark.run_task(spoiled, "parity")) == dict.fromkeys(range(3), (True, None))
 
 
+def test_failures_are_runs_with_their_reason(table, monkeypatch):
+    solve = readout.solve
+
+    def planted(stats, alpha):
+        if int(stats[0]) == 62:  # seven tenths of the series of 90 rows
+            raise RuntimeError("planted")
+        return solve(stats, alpha)
+
+    rows = table.where("series_id > 0 OR t < 90").withColumn("u", F.when(F.col("series_id") == 1, 1e200 * (1 + F.col("u"))).when(F.col("series_id") == 3, 0.25).otherwise(F.col("u")))
+    flat = table.where("series_id = 0").withColumns({"series_id": F.lit(3).cast("long"), "u": F.lit(0.25)})
+    rows = rows.unionByName(flat)
+    before = {r.experiment_id: r.primary_metric_value for r in benchmark.run_task(rows, "stm").collect()}
+    monkeypatch.setattr(readout, "solve", planted)
+    out = {r.experiment_id: r for r in benchmark.run_task(rows, "stm").collect()}
+    assert out.keys() == {0, 1, 2, 3} and not out[0].success and out[0].failure_reason == "RuntimeError: planted"
+    assert not out[1].success and "not finite" in out[1].failure_reason
+    assert out[2].success and out[2].primary_metric_value == pytest.approx(before[2]) and out[3].success == (before[3] is not None)
+    # streamed keys: an exception ends its key alone, also after it gave rows
+
+    class Odd:
+        def __init__(self, key):
+            self.key, self.n = key[0], 0
+
+        def feed(self, c):
+            self.n += len(c["u"])
+            if self.key == 1:
+                raise ValueError("no odd keys")
+            return {"v": c["u"] * 2}
+
+        def end(self):
+            if self.key == 2:
+                raise KeyError("late")
+            return None
+
+    some = table.select("series_id", "t", "u").repartition(2, "series_id")
+    good, bad = series.failed(series.over_keys(some, ("series_id",), ("t",), Odd, "v double", capture=True), ("series_id",))
+    assert {r.series_id: r.reason for r in bad.collect()} == {1: "ValueError: no odd keys", 2: "KeyError: 'late'"}
+    assert {r.series_id: r.n for r in good.groupBy("series_id").agg(F.count("v").alias("n")).collect()} == {0: 100}
+    with pytest.raises(Exception, match="no odd keys"):
+        series.over_keys(some, ("series_id",), ("t",), Odd, "v double").collect()
+
+
+def test_leaky_failures(spark, table):
+    rows = table.where("series_id = 0 OR series_id = 1 AND t < 12")
+    grid = runs.grid(spark, spectral_radius=(0.5,), input_scaling=(1.0,), leak_rate=(0.5,))
+    out = {r.experiment_id: (r.success, r.failure_reason) for r in benchmark.run_leaky(rows, grid=grid).collect()}
+    assert out == {0: (True, None), 1: (False, "no configuration could be fitted")}
+
+
+def test_ridge_of_wide_and_collinear_features(spark, monkeypatch):
+    monkeypatch.setattr(readout, "HELD", 300_000)  # tasks put out several sums
+    rng, f, n = np.random.default_rng(9), 512, 1500
+    x = rng.normal(size=(n, f))
+    x[:, 500:] = x[:, :12] + 1e-9 * rng.normal(size=(n, 12))  # nearly the same columns
+    y = x[:, :5].sum(1, keepdims=True) + 2 * rng.normal(size=(n, 1))
+    alphas = tuple(10.0**e for e in np.linspace(-6, 6, 50))
+    table = spark.createDataFrame([(1, i, i * 5 // n, x[i].tolist(), y[i].tolist()) for i in range(n)], "series_id long, t long, fold int, x array<double>, y array<double>").repartition(7)
+    fit = readout.ridge_cv(table.select("series_id", "fold", "x", "y"), alphas).first()
+
+    def direct(rows, alpha):
+        xc, yc = x[rows] - x[rows].mean(0), y[rows] - y[rows].mean(0)
+        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(f), xc.T @ yc)
+        return w, y[rows].mean(0) - x[rows].mean(0) @ w
+
+    fold, score = np.arange(n) * 5 // n, []
+    for alpha in alphas:
+        each = []
+        for k in range(5):
+            w, b = direct(fold != k, alpha)
+            held = y[fold == k]
+            each.append(1 - ((held - x[fold == k] @ w - b) ** 2).sum() / ((held - held.mean()) ** 2).sum())
+        score.append(np.mean(each))
+    best = alphas[int(np.argmax(score))]
+    w, b = direct(np.ones(n, bool), best)
+    assert fit.alpha == best and np.abs(np.array(fit.coef) - w[:, 0]).max() < 1e-8 and fit.intercept == pytest.approx(b[0], abs=1e-8)
+
+
 def test_recurrence_over_many_batches(spark, table):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     whole = by_series(series.narma_recurrence(table), "u", "y")
