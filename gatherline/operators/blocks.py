@@ -74,23 +74,34 @@ def running(rows: DataFrame, group, order, weight: Column | None = None, before:
     return rows.withColumns({before: inside, total: F.sum(weight).over(whole)})
 
 
-def framed(rows: DataFrame, group, order, depth: int, columns: Callable[[Window], dict[str, Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``columns(window)``, whose frames reach ``depth`` rows back at most and none ahead.
+def placed_blocks(rows: DataFrame, group, order, block_rows: int, every: int) -> DataFrame:
+    """``rows``, written with ``_at`` and ``_block`` as ``ranged`` gives them, ``_place`` in the group and the group's ``_size``."""
+    return written(_with_totals(ranged(rows, group, order, block_rows, every), group, F.lit(1).cast("bigint"), "_place", "_size"))
+
+
+def halo(placed: DataFrame, group, depth: int) -> DataFrame:
+    """For each block that doesn't begin its group the last ``depth`` rows before it, with its ``_block``.
 
-    Of large groups every block gets the last ``depth`` rows before it as a halo, found by their places: no more than
-    ``depth`` rows a block, so those places are broadcast.
+    They are found by their places, of which there are no more than ``depth`` for each block, so those are broadcast.
     """
-    every = exceeds(rows, group, block_rows)
-    if not every:
-        return rows.withColumns(columns(Window.partitionBy(*group).orderBy(*order)))
-    placed = written(_with_totals(ranged(rows, group, order, block_rows, every), group, F.lit(1).cast("bigint"), "_place", "_size"))
     begin = placed.groupBy(*group, "_block").agg(F.min("_place").alias("_first")).where("_first > 0")
     asked = begin.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_block").alias("_to"), F.explode(F.sequence(F.greatest(F.col("_first") - depth, F.lit(0)), F.col("_first") - 1)).alias("_p"))
     same = F.col("_place") == F.col("_p")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    halo = placed.join(F.broadcast(asked), same).withColumn("_block", F.col("_to")).select(*placed.columns)
-    both = placed.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
+    return placed.join(F.broadcast(asked), same).withColumn("_block", F.col("_to")).select(*placed.columns)
+
+
+def framed(rows: DataFrame, group, order, depth: int, columns: Callable[[Window], dict[str, Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``columns(window)``, whose frames reach ``depth`` rows back at most and none ahead.
+
+    Of large groups every block gets the last ``depth`` rows before it as a halo.
+    """
+    every = exceeds(rows, group, block_rows)
+    if not every:
+        return rows.withColumns(columns(Window.partitionBy(*group).orderBy(*order)))
+    placed = placed_blocks(rows, group, order, block_rows, every)
+    both = placed.withColumn("_halo", F.lit(False)).unionByName(halo(placed, group, depth).withColumn("_halo", F.lit(True)))
     out = both.withColumns(columns(Window.partitionBy(*group, "_block").orderBy("_at")))
     return out.where("NOT _halo").drop("_halo", "_at", "_block", "_place", "_size")
 

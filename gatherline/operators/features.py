@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gatherline.functions.draws import normal, uniform
 from gatherline.functions.scoring import require_finite
-from gatherline.operators.series import in_order
+from gatherline.operators.blocks import BLOCK_ROWS
+from gatherline.operators.series import evolved
 
 
 def matched_count(features: DataFrame, pairs: bool = False) -> int:
@@ -70,19 +71,21 @@ def leaky_states(u: np.ndarray, w: np.ndarray, v: np.ndarray, leak: np.ndarray |
     return out
 
 
-def leaky_features(series: DataFrame, units: int = 8, spectral_radius: float = 0.9, input_scaling: float = 0.5, leak: float = 0.3, seed: int = 137, value: str = "u01") -> DataFrame:
-    """``series_id, t, x``: leaky-state features, sequential in a series and parallel over series."""
+def leaky_features(series: DataFrame, units: int = 8, spectral_radius: float = 0.9, input_scaling: float = 0.5, leak: float = 0.3, seed: int = 137, value: str = "u01", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``series_id, t, x``: leaky-state features, parallel over series and over the blocks of longer ones."""
     w, v = leaky_weights(units, spectral_radius, input_scaling, seed)
 
-    def step(_):
-        last = [np.zeros(units)]
+    class Leaky:
+        def __init__(self, key, state: list[float] | None = None):
+            self.last = np.array(state) if state else np.zeros(units)
 
-        def go(u: np.ndarray) -> pa.Array:
-            out = leaky_states(u, w, v, leak, last[0])
-            last[0] = out[-1]
+        def feed(self, u: np.ndarray) -> pa.Array:
+            out = leaky_states(u, w, v, leak, self.last)
+            self.last = out[-1]
             return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), units).cast(pa.list_(pa.float64()))
 
-        return go
+        def state(self) -> list[float]:
+            return self.last.tolist()
 
     rows = series.select("series_id", F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
-    return in_order(rows, ("series_id",), step, "x array<double>").drop("v")
+    return evolved(rows, ("series_id",), Leaky, "array<double>", "x", block_rows).drop("v")

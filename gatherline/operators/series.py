@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gatherline.operators.blocks import BLOCK_ROWS, framed, running
+from gatherline.operators.blocks import BLOCK_ROWS, exceeds, framed, halo, placed_blocks, running
 from gatherline.sources.scratch import written
 
 SERIES = ("series_id",)
@@ -143,34 +143,124 @@ def failed(results: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
     return results.join(bad, reduce(lambda a, b: a & b, same), "left_anti").drop("failure_reason"), reasons
 
 
-def _recurrence(key):
-    """The tenth-order recurrence from its beginning: called with the next inputs, gives the values after them."""
-    u, y = deque(maxlen=10), deque([0.0], maxlen=10)
+class Recurrence:
+    """The tenth-order recurrence; its state is the last ten values and the last nine inputs."""
 
-    def go(inputs: np.ndarray) -> pa.Array:
+    width = 19
+
+    def __init__(self, key, state: list[float] | None = None):
+        self.key = key
+        y, u = (state[:10], state[10:]) if state else ([0.0] * 10, [])
+        self.u, self.y, self.seen = deque(u, maxlen=10), deque(y, maxlen=10), 10 if state else 0
+
+    def feed(self, inputs: np.ndarray) -> pa.Array:
         if not ((inputs >= 0) & (inputs <= 0.5)).all():
-            raise ValueError(f"the recurrence's input must lie in [0, 0.5], series {key}")
-        out = []
+            raise ValueError(f"the recurrence's input must lie in [0, 0.5], series {self.key}")
+        out, u, y = [], self.u, self.y
         for x in inputs.tolist():
             u.append(x)
             # the first value that the recurrence gives follows its eleventh input
-            new = 0.3 * y[-1] + 0.05 * y[-1] * sum(y) + 1.5 * u[0] * x + 0.1 if go.seen >= 10 else 0.0
-            go.seen += 1
+            new = 0.3 * y[-1] + 0.05 * y[-1] * sum(y) + 1.5 * u[0] * x + 0.1 if self.seen >= 10 else 0.0
+            self.seen += 1
             y.append(new)
             out.append(new)
         return pa.array(out, pa.float64())
 
-    go.seen = 0
-    return go
+    def state(self) -> list[float]:
+        return [*self.y, *([0.0] * 9 + list(self.u))[-9:]]
+
+
+class _Block:
+    """A block of a series: from the state it is given, or from none over the rows of its halo; puts out where it began and ended."""
+
+    def __init__(self, system, key):
+        self.system, self.key, self.run, self.began = system, key, None, None
+
+    def feed(self, c: dict) -> dict | None:
+        if self.run is None:
+            given = c["start"][0]
+            self.run = self.system(self.key, list(given) if given is not None else None)
+        lead = int(c["lead"].sum())  # a halo's rows come first
+        if lead:
+            self.run.feed(c["u"][:lead])
+        if lead == len(c["u"]):
+            return None
+        if self.began is None:
+            self.began = self.run.state()
+        values, n = self.run.feed(c["u"][lead:]), len(c["u"]) - lead
+        return {"place": c["place"][lead:], "value": values, "began": pa.nulls(n, pa.list_(pa.float64())), "ended": pa.nulls(n, pa.list_(pa.float64()))}
 
+    def end(self) -> dict:
+        return {"place": [None], "value": [None], "began": [self.began], "ended": [self.run.state()]}
 
-def narma_recurrence(series: DataFrame, value: str = "u01", group=SERIES) -> DataFrame:
+
+#: Rows before a block over which its first guess washes out, and what two blocks' states may differ by.
+LEAD, AGREE = 2_000, 1e-14
+
+
+def in_blocks(placed: DataFrame, group, system, kind: str, lead: int = LEAD) -> tuple[DataFrame, int]:
+    """The values of ``system`` over ``placed`` blocks with input ``u``: ``*group, _place, value``, and how often a block ran again.
+
+    All blocks run at once, each from a cold start ``lead`` rows before its first. Where that differs from the state in which
+    the block before ended, by more than AGREE of it, the block runs again from there, and so on until all agree: at worst one
+    after the other, which is the sequential result. Rows are written once a run; what is compared is one row a block.
+    """
+    keys = (*group, "_block")
+    some = placed.select(*keys, "_at", "_place", "u")
+    schema = f"place bigint, value {kind}, began array<double>, ended array<double>"
+    made = lambda key: _Block(system, key)
+
+    def ran(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*keys, "_at", F.col("_place").alias("place"), "u", "lead", "start")
+        return written(over_keys(rows.repartition(*keys), keys, ("_at",), made, schema))
+
+    cold = F.lit(None).cast("array<double>")
+    results = [ran(some.withColumns({"lead": F.lit(False), "start": cold}).unionByName(halo(placed, group, lead).select(*some.columns).withColumns({"lead": F.lit(True), "start": cold})))]
+    before, again = F.lag("ended").over(Window.partitionBy(*group).orderBy("_block")), 0
+    states = results[0].where("ended IS NOT NULL").select(*keys, "began", "ended")
+    while True:
+        gap = F.array_max(F.zip_with("began", "start", lambda a, b: F.abs(a - b) / (1 + F.abs(b))))
+        off = written(states.withColumn("start", before).where(F.col("start").isNotNull() & ~F.coalesce(gap <= AGREE, F.lit(False))).select(*keys, "start"))
+        n = off.count()
+        if not n:
+            break
+        again += n
+        named = off.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)], "start")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_n{i}")) for i, k in enumerate(keys)])
+        new = ran(some.join(F.broadcast(named), same).withColumn("lead", F.lit(False)))
+        results = [r.join(F.broadcast(named.drop("start")), same, "left_anti") for r in results] + [new]
+        states = written(states.join(F.broadcast(named.drop("start")), same, "left_anti").unionByName(new.where("ended IS NOT NULL").select(*keys, "began", "ended")))
+    out = reduce(DataFrame.unionByName, results)
+    return out.where("place IS NOT NULL").select(*group, F.col("place").alias("_place"), "value"), again
+
+
+def _sequential(system):
+    def step(key):
+        run = system(key)
+        return run.feed
+
+    return step
+
+
+def evolved(rows: DataFrame, group, system, kind: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows(*group, t, u)`` with the values of a system that goes on from row to row; long series in blocks."""
+    every = exceeds(rows, group, block_rows)
+    if not every:
+        return in_order(rows, group, _sequential(system), f"{name} {kind}")
+    placed = placed_blocks(rows.withColumnRenamed(rows.columns[-1], "u"), group, ["t"], block_rows, every)
+    values, _ = in_blocks(placed, group, system, kind)
+    values = values.select(*[F.col(g).alias(f"_v{i}") for i, g in enumerate(group)], F.col("_place").alias("_vp"), F.col("value").alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_v{i}")) for i, g in enumerate(group)], F.col("_place") == F.col("_vp"))
+    return placed.join(values, same).select(*group, "t", F.col("u").alias(rows.columns[-1]), name)
+
+
+def narma_recurrence(series: DataFrame, value: str = "u01", group=SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``series_id, t, u, y``: the tenth-order recurrence driven by ``value``, which must lie in [0, 0.5].
 
-    ``y`` at t is the recurrence's value after that input. Sequential within a series, parallel over series.
+    ``y`` at t is the recurrence's value after that input. Parallel over series, and over the blocks of longer ones (``in_blocks``).
     """
     rows = series.select(*group, F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("u"))
-    return in_order(rows, group, _recurrence, "y double")
+    return evolved(rows, group, Recurrence, "double", "y", block_rows)
 
 
 def recurrence_check(stored: DataFrame, group=SERIES, rtol: float = 1e-10, atol: float = 1e-12, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -394,3 +394,13 @@ def long_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
 def long_percentiles(spark: SparkSession, d: str) -> DataFrame:
     q = blocks.quantiles(w.one_series(spark, d), ["series_id"], "u", [0.01, 0.5, 0.999], block_rows=BLOCK)
     return q.select(*[r6(F.col("q")[i], n) for i, n in enumerate(("p01", "p50", "p999"))])
+
+
+@query("""WITH RECURSIVE one AS (SELECT event_id AS t, row_number() OVER (ORDER BY event_id) - 1 AS i, least(value, 500.0) / 1000 AS u FROM events),
+ins AS (SELECT i, t, u, lag(u, 9) OVER (ORDER BY i) AS u9 FROM one),
+rec(i, ys) AS (
+  SELECT 9::BIGINT, [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0, 0]
+  UNION ALL SELECT n.i, list_append(r.ys[2:], 0.3 * r.ys[10] + 0.05 * r.ys[10] * list_sum(r.ys) + 1.5 * n.u9 * n.u + 0.1) FROM rec r JOIN ins n ON n.i = r.i + 1)
+SELECT one.t, round(coalesce(rec.ys[10], 0.0), 6) AS y FROM one LEFT JOIN rec ON rec.i = one.i""")
+def long_narma(spark: SparkSession, d: str) -> DataFrame:
+    return series.narma_recurrence(w.one_series(spark, d), block_rows=BLOCK).select("t", r6("y", "y"))

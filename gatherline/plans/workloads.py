@@ -25,8 +25,8 @@ SERIES_SQL = """series AS (
 
 
 def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as one series, by ``event_id``: ``series_id, t, u, b``."""
-    return table(spark, sf_dir, "events").select(F.lit(0).alias("series_id"), F.col("event_id").alias("t"), F.col("value").alias("u"), F.col("event_type").isin("purchase", "error").cast("int").alias("b"))
+    """All events as one series, by ``event_id``: ``series_id, t, u, u01, b``."""
+    return table(spark, sf_dir, "events").select(F.lit(0).alias("series_id"), F.col("event_id").alias("t"), F.col("value").alias("u"), (F.least(F.col("value"), F.lit(500.0)) / 1000).alias("u01"), F.col("event_type").isin("purchase", "error").cast("int").alias("b"))
 
 
 ONE_SERIES_SQL = "one_series AS (SELECT 0 AS series_id, event_id AS t, value AS u, (event_type IN ('purchase', 'error'))::INT AS b FROM events)"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatherline.operators import blocks, inference, runs, series
+from gatherline.operators import blocks, features, inference, runs, series
 
 LARGE = 10**9
 
@@ -118,3 +118,37 @@ def test_long_logs_pair_by_place(spark, monkeypatch):
     want = sorted(map(str, runs.pair_by_position(rows, "stm", "esn", "mc").collect()))
     monkeypatch.setattr(runs, "running", lambda *a: blocks.running(*a, block_rows=50))
     assert sorted(map(str, runs.pair_by_position(rows, "stm", "esn", "mc").collect())) == want and len(want) == 300
+
+
+def test_recurrences_in_blocks(spark, uneven):
+    rows = uneven.withColumn("u01", F.col("u") / 2)
+    for f in (lambda n: series.narma_recurrence(rows, block_rows=n), lambda n: features.leaky_features(rows, units=3, block_rows=n)):
+        want, got = f(LARGE), f(4000)
+        assert got.columns == want.columns
+        column = got.columns[-1]
+        both = got.withColumnRenamed(column, "a").select("series_id", "t", "a").join(want.withColumnRenamed(column, "b").select(F.col("series_id").alias("s"), F.col("t").alias("q"), "b"), F.col("series_id").eqNullSafe(F.col("s")) & (F.col("t") == F.col("q")))
+        numbers = [(np.atleast_1d(r.a), np.atleast_1d(r.b)) for r in both.select("a", "b").collect()]
+        assert len(numbers) == want.count() == got.count() and max(np.abs(a - b).max() for a, b in numbers) < 1e-12
+
+
+def test_blocks_that_began_wrong_run_again(spark):
+    class Total:  # never forgets where it began
+        def __init__(self, key, state=None):
+            self.sum = state[0] if state else 0.0
+
+        def feed(self, u):
+            out = self.sum + np.cumsum(u)
+            self.sum = float(out[-1])
+            return out
+
+        def state(self):
+            return [self.sum]
+
+    rows = spark.range(6_000).selectExpr("1L AS series_id", "id AS t", "CAST(id % 7 AS double) AS u")
+    placed = blocks.placed_blocks(rows, ["series_id"], ["t"], 1000, 6_000)
+    values, again = series.in_blocks(placed, ("series_id",), Total, "double", lead=20)
+    got = np.array([r.value for r in values.orderBy("_place").collect()])
+    n = placed.select("_block").distinct().count()
+    assert (got == np.cumsum(np.arange(6_000) % 7)).all() and again >= n - 1  # one after the other
+    settled = series.in_blocks(blocks.placed_blocks(rows.withColumn("u", F.col("u") / 20), ["series_id"], ["t"], 1000, 6_000), ("series_id",), series.Recurrence, "double")
+    assert settled[1] == 0 and settled[0].count() == 6_000
