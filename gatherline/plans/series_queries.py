@@ -404,3 +404,41 @@ rec(i, ys) AS (
 SELECT one.t, round(coalesce(rec.ys[10], 0.0), 6) AS y FROM one LEFT JOIN rec ON rec.i = one.i""")
 def long_narma(spark: SparkSession, d: str) -> DataFrame:
     return series.narma_recurrence(w.one_series(spark, d), block_rows=BLOCK).select("t", r6("y", "y"))
+
+
+# cross-validated ridge on two features, where SQL can say it
+
+#: Alphas far apart, so that rounding chooses none.
+TWO_ALPHAS = (1e-2, 1.0, 1e3, 1e5)
+RIDGE_CV_SQL = """WITH f AS (SELECT vec_id % 4 AS series_id, vec_id AS t, list_sum(embedding[1:32]::DOUBLE[]) AS x1, list_sum(embedding[33:64]::DOUBLE[]) AS x2, (label >= 5)::INT::DOUBLE AS y FROM embeddings),
+p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS m FROM f),
+g AS (SELECT *, CASE WHEN i < m % 5 * (m // 5 + 1) THEN i // (m // 5 + 1) ELSE m % 5 + (i - m % 5 * (m // 5 + 1)) // (m // 5) END AS fold FROM p),
+s AS (SELECT series_id, fold, count(*) AS n, sum(x1) AS a, sum(x2) AS b, sum(y) AS c, sum(x1 * x1) AS aa, sum(x1 * x2) AS ab, sum(x2 * x2) AS bb, sum(x1 * y) AS ac, sum(x2 * y) AS bc, sum(y * y) AS cc FROM g GROUP BY ALL),
+w AS (SELECT series_id, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ac) AS ac, sum(bc) AS bc FROM s GROUP BY ALL),
+sets AS (SELECT w.series_id, fold, w.n - s.n AS n, w.a - s.a AS a, w.b - s.b AS b, w.c - s.c AS c, w.aa - s.aa AS aa, w.ab - s.ab AS ab, w.bb - s.bb AS bb, w.ac - s.ac AS ac, w.bc - s.bc AS bc FROM w JOIN s ON s.series_id = w.series_id
+  UNION ALL SELECT series_id, NULL, n, a, b, c, aa, ab, bb, ac, bc FROM w),
+m AS (SELECT series_id, fold, alpha, n, a, b, c, aa - a * a / n + alpha AS p, ab - a * b / n AS q, bb - b * b / n + alpha AS r, ac - a * c / n AS u, bc - b * c / n AS v FROM sets, (VALUES """ + ", ".join(f"({x!r}::DOUBLE)" for x in TWO_ALPHAS) + """) al(alpha)),
+fit AS (SELECT *, (c - w1 * a - w2 * b) / n AS w0 FROM (SELECT *, (u * r - v * q) / (p * r - q * q) AS w1, (v * p - u * q) / (p * r - q * q) AS w2 FROM m)),
+held AS (SELECT f.series_id, f.alpha, 1 - (s.cc - 2 * (w1 * s.ac + w2 * s.bc) - 2 * w0 * s.c + w1 * w1 * s.aa + 2 * w1 * w2 * s.ab + w2 * w2 * s.bb + 2 * w0 * (w1 * s.a + w2 * s.b) + s.n * w0 * w0) / (s.cc - s.c * s.c / s.n) AS r2
+  FROM fit f JOIN s ON s.series_id = f.series_id AND s.fold = f.fold),
+best AS (SELECT series_id, arg_max(alpha, {'r2': r2, 'first': -alpha}) AS alpha FROM (SELECT series_id, alpha, avg(r2) AS r2 FROM held GROUP BY ALL) GROUP BY series_id),
+chosen AS (SELECT f.series_id, f.alpha, w0, w1, w2 FROM fit f JOIN best ON best.series_id = f.series_id AND best.alpha = f.alpha WHERE f.fold IS NULL)
+"""
+
+
+def _two_features(spark: SparkSession, d: str) -> DataFrame:
+    half = lambda first: F.aggregate(F.slice("x", first, 32), F.lit(0.0), lambda a, v: a + v)
+    return w.features(spark, d).select("series_id", "t", F.array(half(1), half(33)).alias("x"), F.array("y").alias("y"))
+
+
+@query(RIDGE_CV_SQL + "SELECT series_id, alpha, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM chosen")
+def ridge_cv_f2(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.fold_ids(_two_features(spark, d), 5).select("series_id", "fold", "x", "y")
+    return readout.ridge_cv(rows, TWO_ALPHAS).select("series_id", "alpha", r6("intercept", "w0"), r6(F.col("coef")[0], "w1"), r6(F.col("coef")[1], "w2"))
+
+
+@query(RIDGE_CV_SQL + "SELECT f.series_id, t, round(w0 + w1 * x1 + w2 * x2, 6) AS p, y FROM f JOIN chosen ON chosen.series_id = f.series_id")
+def ridge_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _two_features(spark, d)
+    fits = readout.ridge_cv(series.fold_ids(rows, 5).select("series_id", "fold", "x", "y"), TWO_ALPHAS)
+    return readout.predict(rows, fits).select("series_id", "t", r6("p", "p"), "y")
