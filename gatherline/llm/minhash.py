@@ -143,7 +143,7 @@ def _compare(percent: int):
 #: A text with more partners than this is compared in several tasks.
 PARTNERS = 100
 #: So many members of a bucket, outside its largest component, meet each of the others; of more, those with a shingle in common.
-OUTSIDERS = 64
+OUTSIDERS = 512
 #: So many members outside a bucket's largest component meet it in one task.
 LOT = 64
 
@@ -161,6 +161,19 @@ def compared(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     return written(_beside_centers(docs, pairs).mapInArrow(_compare(percent), ", ".join([*kinds, "linked boolean, shared int, extra int, rest array<bigint>"])), "minhash-compared")
 
 
+def _near_size(n: Column, m: Column, percent: int) -> Column:
+    """Sets whose sizes differ more can't be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _may_link(percent: int) -> Column:
+    """May ``x`` and ``y``, compared with one center, be similar enough? By their sizes and by what can be in both."""
+    common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
+    # at most so many shingles are in both: those that both share with their center, and those outside it
+    most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
+    return _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+
+
 def _tokens(percent: int):
     """Rows in order of ``a``, as ``_compare`` reads them: for each ``b`` the shingles by which it must meet its likes."""
 
@@ -197,20 +210,22 @@ def _beside_centers(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def met_by_tokens(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a, b``: pairs of one center's ``members(center, rep, n, component, out)`` that may link, one of them at least ``out``.
+    """``a, b``: pairs of one center's ``members(center, rep, n, component, out, shared, extra, rest)`` that may link, one of
+    them at least ``out``.
 
     Of similar sets each has ``percent`` of itself in both. If a member has less than that in common with its center,
     it has ``need`` shingles or more beyond the center in common with its like, so one of its first ``size - need + 1`` in
     an order that all share (prefix filter). Two members that lie in the center for the most part have likewise
     some of the center's in common; such are compared here if both are ``out``. Only members with such a shingle in
-    common meet, so unlike texts that only share what the center has never do. ``percent`` is over 50.
+    common meet, so unlike texts that only share what the center has never do; of these, those that the bound of
+    ``_may_link`` lets pass. ``percent`` is over 50.
     """
     pairs = members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b")]
     found = _beside_centers(docs, pairs).mapInArrow(_tokens(percent), ", ".join([*kinds, "far array<bigint>, beyond array<bigint>, inner array<bigint>"]))
-    own = members.groupBy("center", "rep", "n", "component").agg(F.bool_or("out").alias("out"))
+    own = members.groupBy("center", "rep", "n", "component").agg(F.bool_or("out").alias("out"), *[F.first(c).alias(c) for c in ("shared", "extra", "rest")])
     found = written(found.withColumnsRenamed({"a": "center", "b": "rep"}).join(own, ["center", "rep"]), "minhash-tokens")
-    token = lambda name: found.where(F.size(name) > 0).select("center", "rep", "n", "component", "out", F.explode(name).alias("token"))
+    token = lambda name: found.where(F.size(name) > 0).select("center", "rep", "n", "component", "out", "shared", "extra", "rest", F.explode(name).alias("token"))
     once = F.col("x.rep") < F.col("y.rep")
     sides = [
         (token("far").where("out"), token("far"), once | ~F.col("y.out")), (token("far").where("out"), token("beyond"), F.lit(True)),
@@ -219,17 +234,12 @@ def met_by_tokens(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -
     out = None
     for x, y, apart in sides:
         x, y = x.alias("x"), y.alias("y")
-        met = x.join(y, (F.col("x.center") == F.col("y.center")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & apart & _near_size(F.col("x.n"), F.col("y.n"), percent))
+        met = x.join(y, (F.col("x.center") == F.col("y.center")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & apart & _may_link(percent))
         met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         out = met if out is None else out.unionByName(met)
     return out.distinct()
 
 
-def _near_size(n: Column, m: Column, percent: int) -> Column:
-    """Sets whose sizes differ more can't be similar enough."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -278,13 +288,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inner = ~F.col("crowded") | (F.col("shared") * 100 >= F.col("n") * percent)
     x = open_rows.where(F.col("out") & inner).withColumn("lot", F.pmod(F.xxhash64("rep"), "lots").cast("int")).alias("x")
     y = open_rows.where(inner & ~(F.col("crowded") & F.col("out"))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).alias("y")
-    common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
-    # at most so many shingles are in both: those that both share with their center, and those outside it
-    most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
     other = (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.rep") < F.col("y.rep")))
-    near = _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lot") == F.col("y.lot")) & other & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    crowded = written(open_rows.where("crowded").select("center", "rep", "n", "component", "out").distinct(), "minhash-crowded")
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lot") == F.col("y.lot")) & other & _may_link(percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    crowded = written(open_rows.where("crowded").select("center", "rep", "n", "component", "out", "shared", "extra", "rest"), "minhash-crowded")
     if not crowded.isEmpty():
         second = second.unionByName(met_by_tokens(docs, crowded, percent)).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
