@@ -177,40 +177,6 @@ def test_near_groups_in_lots(spark, monkeypatch):
     assert [r.component_id for r in minhash.near_groups(broken).collect()] == [0, 0]
 
 
-@pytest.mark.parametrize("outsiders", [0, 5])
-def test_near_groups_of_crowded_buckets(spark, monkeypatch, outsiders):
-    monkeypatch.setattr(minhash, "OUTSIDERS", outsiders)
-    monkeypatch.setattr(minhash, "LOT", 3)
-    rng, rows = np.random.default_rng(11), []
-    common = [f"c{i}" for i in range(60)]
-    for f in range(40):  # one long passage in all; families of two to four, excerpts, and near copies of the passage
-        own = [f"f{f}w{i}" for i in range(int(rng.integers(5, 50)))]
-        for v in range(int(rng.integers(1, 5))):
-            w = common[int(rng.integers(0, 25)) :] + own
-            for _ in range(int(rng.integers(0, 4))):
-                w[int(rng.integers(0, len(w)))] = f"x{f}{v}{rng.integers(9)}"
-            rows.append((len(rows), " ".join(w)))
-    for k in range(30):
-        a = int(rng.integers(0, 30))
-        rows.append((len(rows), " ".join(common[a : a + int(rng.integers(20, 60))])))
-        rows.append((len(rows), " ".join([*common, *common[: k % 9], f"e{k}"])))
-    rows += [(len(rows), " ".join(common)), (len(rows) + 1, " ".join(common * 2))]
-    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
-    want = near_brute(rows)
-    assert {tuple(r) for r in minhash.near_groups(table).collect()} == want and 20 < len({c for _, _, c, _ in want}) < len(rows)
-
-
-def test_unlike_texts_of_one_passage_never_meet(spark, monkeypatch):
-    n, met = 20_000, []
-    monkeypatch.setattr(minhash, "met_by_tokens", lambda *a, f=minhash.met_by_tokens: met.append(f(*a)) or met[-1])
-    passage = " ".join(f"p{i}" for i in range(45))
-    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda j: F.concat(F.lit("w"), F.col("id"), F.lit("_"), j)), " ")).alias("text"))
-    twins = texts.where("doc_id % 4000 = 1").select((F.col("doc_id") + n).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"))
-    out = minhash.near_groups(texts.unionByName(twins))
-    assert [(r.doc_id, r.component_id) for r in out.where("NOT kept").orderBy("doc_id").collect()] == [(n + i, i) for i in range(1, n, 4000)]
-    assert met and met[0].count() <= 10  # of 200 million pairs in the passage's buckets
-
-
 def test_mix(spark, docs, empty):
     out = mixing.mix(clashing(docs)).collect()
     sizes = {(r.doc_id, r.source): len((r.text or "").split()) for r in docs.collect()}
