@@ -201,6 +201,7 @@ def test_near_groups_of_crowded_buckets(spark, monkeypatch, outsiders):
 
 
 def test_unlike_texts_of_one_passage_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "OUTSIDERS", 64)
     n, met = 20_000, []
     monkeypatch.setattr(minhash, "met_by_tokens", lambda *a, f=minhash.met_by_tokens: met.append(f(*a)) or met[-1])
     passage = " ".join(f"p{i}" for i in range(45))
