@@ -121,8 +121,10 @@ def nrmse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {w.SERIES_SQL}, p AS (SELECT series_id, avg(b) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS p, b AS y FROM series) SELECT series_id, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy FROM p GROUP BY series_id")
 def accuracy(spark: SparkSession, d: str) -> DataFrame:
-    rows = w.series(spark, d).withColumn("p", F.avg("b").over(series._by(("series_id",)).rowsBetween(-4, 0)))
-    return rows.groupBy("series_id").agg(r6(scoring.accuracy(F.col("p"), F.col("b")), "accuracy"))
+    rows = blocks.framed(w.series(spark, d), series.SERIES, ["t"], 4, lambda o: {"p": F.avg("b").over(o.rowsBetween(-4, 0))})
+    share = scoring.accuracy(F.col("p"), F.col("b"))
+    # scaled before it is rounded, as SQL does: 323 / 640 is half-way between two results
+    return rows.groupBy("series_id").agg((F.round(share * 1e6) / 1e6).alias("accuracy"))
 
 
 @query(f"WITH {w.SCORES_SQL} SELECT series_id, k, round(avg((p - y) * (p - y)), 6) AS mse FROM scores GROUP BY series_id, k")

@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series for each user: ``series_id, t, u, u01, b``; ``u01`` lies in [0, 0.5]."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """A series for each user: ``series_id, t, u, u01, b``; ``u01`` lies in [0, 0.5]; null times come last, as in SQL."""
+    order = Window.partitionBy("user_id").orderBy(F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("series_id"), (F.row_number().over(order) - 1).cast("bigint").alias("t"), F.col("value").alias("u"),
         (F.least(F.col("value"), F.lit(500.0)) / 1000).alias("u01"), F.col("event_type").isin("purchase", "error").cast("int").alias("b"),
