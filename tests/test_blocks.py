@@ -87,6 +87,14 @@ def test_signed_ranks_over_blocks(uneven):
     assert (big.n, big.statistic, big.ties) == (len(d), min(rank[d > 0].sum(), rank[d < 0].sum()), (counts**3 - counts).sum())
 
 
+def test_ties_are_counted_exactly(spark):
+    """A sum of cubes beyond 2**53; one beyond 2**63 stops neither z nor p."""
+    pairs = spark.range(400_003).selectExpr("'g' AS grp", "CAST(id % 2 AS double) - 3 AS a", "0D AS b")
+    assert inference.wilcoxon(pairs).first().ties == 200_002**3 - 200_002 + 200_001**3 - 200_001
+    huge = spark.range(2_100_000).selectExpr("'g' AS grp", "1D AS a", "0D AS b")
+    assert inference.wilcoxon(huge).select("n", "statistic", "z", "p").first() == (2_100_000, 0.0, pytest.approx(-np.sqrt(2_100_000)), 0.0)
+
+
 @pytest.mark.parametrize("by_broadcast", [True, False])
 def test_bootstrap_draws(spark, monkeypatch, by_broadcast):
     monkeypatch.setattr(inference, "BROADCAST_VALUES", 10**6 if by_broadcast else 0)
