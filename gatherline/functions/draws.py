@@ -8,18 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _key(seed: int | str, keys: tuple) -> Column:
+def seeded(seed: int | str, *keys) -> Column:
+    """The text ``seed:key:...`` whose md5 is drawn from; null keys are left out."""
     return F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys])
 
 
 def digest(seed: int | str, *keys) -> Column:
     """The md5 of ``seed:key:...`` in hex digits; eight of them are one draw."""
-    return F.md5(_key(seed, keys))
+    return F.md5(seeded(seed, *keys))
 
 
 def draw(seed: int | str, *keys) -> Column:
     """A whole number from 0 to 2**32 - 1: the first 8 hex digits of the md5 of ``seed:key:...``."""
-    return F.conv(F.substring(F.md5(_key(seed, keys)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(seeded(seed, *keys)), 1, 8), 16, 10).cast("bigint")
 
 
 def uniform(seed: int | str, *keys) -> Column:

@@ -11,6 +11,7 @@ from gatherline.functions.scoring import correlation, r_squared
 from gatherline.operators import inference
 from gatherline.operators.blocks import running
 from gatherline.operators.runs import KWH_PER_SECOND, LOG_ORDER, metric_value, metric_values, successful
+from gatherline.sources.scratch import written
 
 
 def delay_r2(scores: DataFrame, group=("series_id",), threshold: float | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def headline(runs: DataFrame, metric: str, control: str, group=("experiment_id",
     """
     keys = [*group, "system"]
     values = metric_values(successful(runs), metric).withColumn("system", F.col("task_name"))
-    values = running(values, keys, LOG_ORDER, before="place").select(*keys, "place", F.col("value").cast("double").alias("x"))
+    values = written(running(values, keys, LOG_ORDER, before="place").select(*keys, "place", F.col("value").cast("double").alias("x")))
     ci = inference.bootstrap_ci(values, keys, order="place", resamples=resamples)
     means = values.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
     other = values.where(F.col("system") == control).select(*group, "place", F.col("x").alias("b"))

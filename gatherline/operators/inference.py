@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from hashlib import md5
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherline.functions.distributions import normal_cdf, normal_ppf, student_t_p, wilcoxon_p
-from gatherline.functions.draws import digest
+from gatherline.functions.draws import digest, seeded
 from gatherline.functions.scoring import require_finite
 from gatherline.operators.blocks import BLOCK_ROWS, running
+from gatherline.operators.series import over_keys
 from gatherline.sources.scratch import written
 
 GROUP = ("grp",)
@@ -52,26 +55,68 @@ def wilcoxon(pairs: DataFrame, group=GROUP, block_rows: int = BLOCK_ROWS) -> Dat
     return out.select(*group, "n", F.col("ties").cast("bigint").alias("ties"), "statistic", z.alias("z"), wilcoxon_p("statistic", n.cast("double"), F.col("ties").cast("double")).alias("p"))
 
 
-#: Values that the draws meet by broadcast; more meet them by an exchange.
-BROADCAST_VALUES = 1_000_000
-#: Digests, of four draws each, that a row of the plan stands for.
+#: Values that the draws meet by broadcast. Of more, a task holds the values of a group of up to HELD; larger groups' values
+#: meet the draws by an exchange.
+BROADCAST_VALUES, HELD = 1_000_000, 1 << 22
+#: Digests, of four draws each, that a row of the plan stands for, or that are opened at a time.
 CHUNK = 4096
+#: Values in a row on their way to the tasks that hold them, and draws of such a task, about.
+PACK, UNIT = 1024, 25_000_000
+
+
+class _Resamples:
+    """The values of a group in the order of their numbers, and then the means of some of its resamples."""
+
+    def __init__(self, key):
+        self.parts = []
+
+    def feed(self, c: dict) -> None:
+        self.parts += list(c["_xs"])
+        self.head, self.first, self.last = c["_head"][0], int(c["_first"][0]), int(c["_last"][0])
+
+    def end(self) -> dict:
+        x = np.concatenate(self.parts)
+        tails, means = [b":%d" % q for q in range(-(-len(x) // 4))], []
+        for b in range(self.first, self.last + 1):
+            head, total = f"{self.head}:{b}".encode(), 0.0
+            for q in range(0, len(tails), CHUNK):
+                digests = b"".join([md5(head + t, usedforsecurity=False).digest() for t in tails[q : q + CHUNK]])
+                total += x[np.frombuffer(digests, ">u4")[: len(x) - 4 * q].astype(np.uint32) % np.uint32(len(x))].sum()
+            means.append(total / len(x))
+        return {"b": np.arange(self.first, self.last + 1, dtype=np.int32), "mean": means}
+
+
+def _held_means(numbered: DataFrame, keys: list[str], resamples: int, seed: int, tasks: int) -> DataFrame:
+    """The means of groups that fit a task: packed values go to each task that draws some of their group's resamples."""
+    packed = numbered.groupBy(*keys, F.floor(F.col("_i") / PACK).alias("_block")).agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_xs"))
+    each = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(UNIT / F.col("_n")))).cast("int")
+    units = packed.withColumn("_each", each).withColumn("_unit", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(resamples) / F.col("_each")).cast("int") - 1)))
+    first = F.col("_unit") * F.col("_each") + 1
+    units = units.select(*keys, "_unit", "_block", F.col("_xs._x").alias("_xs"), seeded(seed, *[F.col(k) for k in keys]).alias("_head"), first.alias("_first"), F.least(first + F.col("_each") - 1, F.lit(resamples)).alias("_last"))
+    return over_keys(units.repartition(tasks, *keys, "_unit"), (*keys, "_unit"), ("_block",), _Resamples, "b int, mean double").drop("_unit")
 
 
 def boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: str = "x", resamples: int = 1000, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``*group, b, mean``: means of ``resamples`` draws with replacement of each group's values, ordered by ``order``.
 
-    Values are numbered within their group. Draws are rows: of each resample's md5 digests, four draws each, CHUNK are a
-    row of the plan that is dealt to a task, opened there and joined to the values by number. Sums combine where they
-    are drawn, so no row or task holds a group. A value that isn't finite raises.
+    Values are numbered within their group. Of up to BROADCAST_VALUES values in all, and of groups beyond HELD, draws are
+    rows: of each resample's md5 digests, four draws each, CHUNK are a row of the plan that is dealt to a task, opened
+    there and joined to the values by number. Sums combine where they are drawn, so no row or task holds a group. Other groups'
+    values go, packed, to the tasks that draw their resamples. A value that isn't finite raises.
     """
     keys = list(group)
     rows = written(values.select(*keys, F.col(order).alias("_o"), require_finite(F.col(value), value).cast("double").alias("_x")))
     numbered = running(rows, group, ["_o", "_x"], before="_i", total="_n", block_rows=block_rows)
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
-    every = sizes.agg(F.sum("_n")).first()[0] or 0
-    context = values.sparkSession.sparkContext
-    tasks = max(context.defaultParallelism, int(every * resamples // 100_000_000))
+    every, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    few = every <= BROADCAST_VALUES
+    cores, held = values.sparkSession.sparkContext.defaultParallelism, None
+    if not few:
+        held = _held_means(numbered.where(F.col("_n") <= HELD), keys, resamples, seed, max(cores, every * resamples // UNIT))
+        if most <= HELD:
+            return held
+        sizes, numbered = sizes.where(F.col("_n") > HELD), numbered.where(F.col("_n") > HELD)
+    tasks = max(cores, int(every * resamples // 100_000_000))
     last = F.floor((F.col("_n") - 1) / 4)
     plan = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     plan = plan.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))).alias("_chunk")).repartition(tasks, *keys, "b", "_chunk")
@@ -84,8 +129,10 @@ def boot_means(values: DataFrame, group=GROUP, order: str = "pair_id", value: st
     same = F.col("_i") == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    met = draws.join(F.broadcast(numbered) if every <= BROADCAST_VALUES else numbered, same)
-    return met.groupBy(*keys, "b").agg((F.sum("_x") / F.max("_n")).alias("mean"))
+    # the draws open from a small table, by whose size Spark would broadcast them
+    met = draws.join(F.broadcast(numbered), same) if few else draws.hint("merge").join(numbered, same)
+    out = met.groupBy(*keys, "b").agg((F.sum("_x") / F.max("_n")).alias("mean"))
+    return out if held is None else out.unionByName(held)
 
 
 def bootstrap_ci(values: DataFrame, group=GROUP, level: float = 0.95, **how) -> DataFrame:

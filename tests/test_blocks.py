@@ -110,6 +110,24 @@ def test_bootstrap_draws(spark, monkeypatch, by_broadcast):
         assert mean == pytest.approx(x[at].mean(), abs=1e-12)
 
 
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    """Groups beyond HELD by an exchange, though the draws open from a small table; others packed, their resamples in parts."""
+    for name, limit in (("BROADCAST_VALUES", 0), ("HELD", 500), ("PACK", 16), ("UNIT", 600), ("CHUNK", 16)):
+        monkeypatch.setattr(inference, name, limit)
+    rng = np.random.default_rng(3)
+    groups = {(1, "a"): rng.normal(size=3), (1, None): rng.normal(size=203), (None, "c"): rng.normal(size=1003), (2, "c"): rng.normal(size=500)}
+    rows = [(*g, i, float(v)) for g, x in groups.items() for i, v in enumerate(x)]
+    out = inference.boot_means(spark.createDataFrame(rows, "e int, s string, place long, x double"), ["e", "s"], order="place", resamples=7)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.e, r.s, r.b): r["mean"] for r in out.collect()}
+    assert set(got) == {(*g, b) for g in groups for b in range(1, 8)}
+    for (e, s, b), mean in got.items():
+        x, n = groups[e, s], len(groups[e, s])
+        head = ":".join(["42", *(str(k) for k in (e, s) if k is not None), str(b)])
+        digests = b"".join(hashlib.md5(f"{head}:{q}".encode()).digest() for q in range(-(-n // 4)))
+        assert mean == pytest.approx(x[np.frombuffer(digests, ">u4")[:n] % n].mean(), abs=1e-12)
+
+
 def test_bootstrap_of_a_million_values(spark, monkeypatch):
     monkeypatch.setattr(inference, "BROADCAST_VALUES", 0)
     n = 1_000_000
