@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatherline.operators import inference
 from gatherline.operators.runs import LOG_ORDER, backend_spread, metric_value, of_task, pair_by_position, succeeded, successful
+from gatherline.sources.scratch import written
 
 PASS, FAIL, LITTLE = "PASS", "FAIL", "INSUFFICIENT_EVIDENCE"
 #: The sides that the rules compare: name, task and metric.
@@ -173,7 +174,7 @@ def run_ids(runs: DataFrame, treatment: str, control: str) -> DataFrame:
 def separation(runs: DataFrame, treatment: str, control: str, metric: str, delta: float, seeds: int = 5, realisations: int = 3, resamples: int = 1000) -> DataFrame:
     """``experiment_id, verdict``: separated only if the paired effect is ``delta`` or more, its BCa interval lies above
     0, Holm-adjusted p over all experiments is under 0.05, and enough seeds and realisations were run."""
-    pairs = pair_by_position(runs, treatment, control, metric).withColumnRenamed("experiment_id", "grp")
+    pairs = written(pair_by_position(runs, treatment, control, metric).withColumnRenamed("experiment_id", "grp"))
     test = inference.paired(pairs).withColumn("family", F.lit(1)).withColumn("p", F.coalesce(F.when(~F.isnan("p"), inference.one_sided(F.col("mean_diff"), F.col("p"))), F.lit(1.0)))
     test = inference.holm(test)
     ci = inference.bca_ci(pairs.select("grp", "pair_id", (F.col("a") - F.col("b")).alias("x")), resamples=resamples).select("grp", "low")
