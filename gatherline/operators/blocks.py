@@ -1,9 +1,9 @@
 """Running totals, numbers and bounded frames over groups of any size.
 
 A window puts a whole group into one task. Groups of up to ``block_rows`` rows keep that plan. If a larger one is
-found, the rows are ranged by group and order over as many tasks as they need: a task then holds a block of a group, or
-many small groups. Totals are carried from block to block by a table of one row a block, and bounded frames get the
-last rows of the blocks before.
+found, the rows are ranged by group and order over as many tasks as they need, and a task's range is cut into blocks: a
+block then holds a part of a group, or many small groups. Totals are carried from block to block by a table of one row a
+block, and bounded frames get the last rows of the blocks before.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from gatherline.sources.scratch import written
 
 #: Rows of a group that one task sorts, and of a block of a larger group, about.
 BLOCK_ROWS = 2_000_000
+#: Ranges for each core, if there are more blocks than that.
+RANGES = 4
 
 
 def exceeds(rows: DataFrame, group, block_rows: int) -> int:
@@ -26,12 +28,16 @@ def exceeds(rows: DataFrame, group, block_rows: int) -> int:
 
 
 def ranged(rows: DataFrame, group, order, block_rows: int, every: int) -> DataFrame:
-    """``rows``, written in ranges of group and order, with ``_at``, which numbers them in that order with gaps, and ``_block``."""
-    parts = max(2, -(-every // block_rows))
+    """``rows``, written in ranges of group and order, with ``_at``, which numbers them in that order with gaps, and ``_block``.
+
+    Small blocks share a range: Spark's driver samples rows for each range, and every range is a file.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(2, min(-(-every // block_rows), max(RANGES * cores, -(-every // BLOCK_ROWS))))
     names = [F.col(c) if isinstance(c, str) else c for c in (*group, *order)]
     placed = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names)
     placed = written(placed.withColumn("_at", F.monotonically_increasing_id()))
-    return placed.withColumn("_block", F.shiftright("_at", 33).cast("int"))
+    return placed.withColumn("_block", F.col("_at") - F.col("_at").bitwiseAND((1 << 33) - 1) % block_rows)
 
 
 def _carried(placed: DataFrame, group, weight: Column) -> DataFrame:
@@ -82,11 +88,13 @@ def placed_blocks(rows: DataFrame, group, order, block_rows: int, every: int) ->
 def halo(placed: DataFrame, group, depth: int) -> DataFrame:
     """For each block that doesn't begin its group the last ``depth`` rows before it, with its ``_block``.
 
-    They are found by their places, of which there are no more than ``depth`` for each block, so those are broadcast.
+    Places are cut into stretches of ``depth``, of which a halo touches two at most, so no more than two rows a block are
+    broadcast, whatever the depth.
     """
+    stretch = lambda p: F.floor(p / max(depth, 1))
     begin = placed.groupBy(*group, "_block").agg(F.min("_place").alias("_first")).where("_first > 0")
-    asked = begin.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_block").alias("_to"), F.explode(F.sequence(F.greatest(F.col("_first") - depth, F.lit(0)), F.col("_first") - 1)).alias("_p"))
-    same = F.col("_place") == F.col("_p")
+    asked = begin.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_block").alias("_to"), "_first", F.explode(F.sequence(stretch(F.greatest(F.col("_first") - depth, F.lit(0))), stretch(F.col("_first") - 1))).alias("_stretch"))
+    same = (stretch(F.col("_place")) == F.col("_stretch")) & F.col("_place").between(F.col("_first") - depth, F.col("_first") - 1)
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return placed.join(F.broadcast(asked), same).withColumn("_block", F.col("_to")).select(*placed.columns)

@@ -54,6 +54,21 @@ def test_frames_over_blocks(uneven, monkeypatch):
     assert series.lag_matrix(few.limit(0), 3, block_rows=20).count() == 0
 
 
+def test_halos_and_ranges_of_many_small_blocks(spark, monkeypatch):
+    """What is broadcast and how many ranges there are follow neither a halo's depth nor a block's rows."""
+    rows = spark.range(40_000).selectExpr("1L AS series_id", "id AS t", "CAST(id % 7 AS double) / 20 AS u")
+    placed = blocks.placed_blocks(rows, ["series_id"], ["t"], 50, 40_000)
+    assert placed.select("_block").distinct().count() >= 800 and blocks.ranged(rows, ["series_id"], ["t"], 50, 40_000).select(F.shiftright("_at", 33)).distinct().count() <= 16
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    around = blocks.halo(placed, ["series_id"], 120)
+    assert sum(sent) <= 2 * placed.select("_block").distinct().count()
+    sizes = around.groupBy("_block").agg(F.count("*").alias("n"), F.min("_place").alias("low"), F.max("_place").alias("high"))
+    firsts = placed.groupBy("_block").agg(F.min("_place").alias("first")).where("first > 0")
+    both = firsts.join(sizes, "_block")
+    assert both.count() == firsts.count() and both.where("n <> least(first, 120) OR high <> first - 1 OR low <> first - n").isEmpty()
+
+
 def test_running_totals_with_ties(spark, uneven):
     weighed = uneven.withColumn("t", F.floor(F.col("t") / 50)).withColumn("w", F.col("id") % 3)
     out = blocks.running(weighed, ["series_id"], ["t"], F.col("w"), block_rows=500).toPandas()
