@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,85 +21,148 @@ BINS = BANDS * ROWS
 #: Few values fill all bins of a small set, and two in one bin cost much of it: so many shingles have a second permutation.
 SMALL_SET = 64
 
-_U = np.uint64
+_U, _NONE = np.uint64, np.empty(0, np.uint64)
 _STEP, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: For each bin the order in which it tries the others when it is empty, by itself of all other bins.
 _PROBES = np.array([np.random.default_rng([17, i]).permutation(BINS) for i in range(BINS)])
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _MIX1
     x = (x ^ (x >> _U(27))) * _MIX2
     return x ^ (x >> _U(31))
 
 
-def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+#: A byte's number in the hash of its word (ASCII letters as lower-case ones), and the bytes that words are split at.
+_BYTE = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + _STEP)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Bytes of a text that are hashed at a time, to the end of a word; longer words than LONG are hashed one by one.
+PIECE, LONG = 1 << 17, 32
+_BREAK = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64."""
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+
+
+#: A word's hash is a polynomial of its bytes, its first one at the power 0: sums up to its ends, less what is before, times the inverse power.
+_POWERS, _INVERSE = (_powers(x, 2 * PIECE) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64)))
+
+
+def _piece_hashes(piece: np.ndarray) -> np.ndarray:
+    gap = np.concatenate(([True], _SPACE[piece], [True]))
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = turns[::2], turns[1::2]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * _POWERS[: len(piece)])))
+    out = _mixed((total[end] - total[begin]) * _INVERSE[begin])
+    for i in np.flatnonzero(end - begin > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(piece[begin[i] : end[i]].tobytes().lower())
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``data`` in order; ASCII letters count as lower-case ones, words split at ASCII space.
+
+    Words of up to LONG bytes are hashed by whole pieces of the text, others by themselves, so a text's arrays stay small.
+    """
+    parts, at = [], 0
+    while at < len(data):
+        cut = _BREAK.search(data, min(at + PIECE, len(data)))
+        to = cut.start() if cut else len(data)
+        if to - at < 2 * PIECE:
+            parts.append(_piece_hashes(np.frombuffer(data, np.uint8, to - at, at)))
+        else:  # a word that is longer than a piece
+            words = data[at:to].split()
+            parts += [_piece_hashes(np.frombuffer(b" ".join(words[:-1]), np.uint8)), np.array([xxhash.xxh3_64_intdigest(words[-1].lower())], np.uint64)]
+        at = to
+    return parts[0] if len(parts) == 1 else np.concatenate([_NONE, *parts])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; ASCII letters lower-cased, words split at ASCII space.
 
     With fewer words than a shingle has, the whole sequence is one shingle; without words the set is empty.
     """
-    seq = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not seq:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in seq), np.uint64, len(seq))
-    k = min(words, len(seq))
-    s = np.full(len(seq) - k + 1, k, np.uint64)
+    h = word_hashes(text.encode("utf-8", "surrogatepass")) if text else _NONE
+    if not len(h):
+        return _NONE
+    k = min(words, len(h))
+    s = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        s = s * _STEP + _mixed(h[i : len(seq) - k + 1 + i])
-    return np.unique(_mixed(s))
+        s = s * _STEP + h[i : len(h) - k + 1 + i]
+    return distinct(_mixed(s))
 
 
-def bins_of(shingles: np.ndarray) -> np.ndarray:
-    """One permutation's smallest hash in each bin; an empty bin takes that of the first full bin it probes."""
-    at = (((shingles >> _U(32)) * _U(BINS)) >> _U(32)).astype(np.int64)
+def bins_of_all(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set one permutation's smallest hash in each bin; an empty bin takes that of the first full bin it probes."""
+    flat = np.concatenate(sets)
+    at = np.repeat(np.arange(len(sets)) * BINS, [len(s) for s in sets]) + (((flat >> _U(32)) * _U(BINS)) >> _U(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    full, out = np.zeros(BINS, bool), np.zeros(BINS, np.uint64)
+    full, out = np.zeros(len(sets) * BINS, bool), np.zeros(len(sets) * BINS, np.uint64)
     full[at[first]] = True
-    out[at[first]] = shingles[first]
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        probes = _PROBES[empty]
-        out[empty] = out[probes[np.arange(len(empty)), full[probes].argmax(1)]]
-    return out
+    out[at[first]] = flat[first]
+    empty, probe = np.flatnonzero(~full), 0
+    while len(empty):
+        tried = empty - empty % BINS + _PROBES[empty % BINS, probe]
+        found = full[tried]
+        out[empty[found]] = out[tried[found]]
+        empty, probe = empty[~found], probe + 1
+    return out.reshape(-1, BINS)
+
+
+def bins_of(shingles: np.ndarray) -> np.ndarray:
+    return bins_of_all([shingles])[0]
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    rows = values.reshape(BANDS, ROWS)
+    """Of the bins of one set, or of several in rows."""
+    rows = values.reshape(*values.shape[:-1], BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
-        key = _mixed(key * _STEP + rows[:, r])
+        key = _mixed(key * _STEP + rows[..., r])
     return key.view(np.int64)
 
 
+def keys_of_all(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The band keys of sets of sorted hashes: none if empty, those of two permutations if small."""
+    out = [np.empty(0, np.int64)] * len(sets)
+    some = [i for i, s in enumerate(sets) if len(s)]
+    small = [i for i in some if len(sets[i]) <= SMALL_SET]
+    if some:
+        for i, keys in zip(some, band_keys(bins_of_all([sets[i] for i in some])), strict=True):
+            out[i] = keys
+    if small:
+        for i, keys in zip(small, band_keys(bins_of_all([np.sort(_mixed(sets[i] + _STEP)) for i in small])), strict=True):
+            out[i] = np.concatenate([out[i], keys])
+    return out
+
+
 def all_keys(shingles: np.ndarray) -> np.ndarray:
-    """The band keys of a set of sorted hashes: none if empty, those of two permutations if small."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    keys = band_keys(bins_of(shingles))
-    if len(shingles) > SMALL_SET:
-        return keys
-    return np.concatenate([keys, band_keys(bins_of(np.sort(_mixed(shingles + _STEP))))])
+    return keys_of_all([shingles])[0]
+
+
+#: Shingles of a slice whose bands are made at once, about.
+SHINGLES = 1 << 17
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in slices(batches):
-        sizes, prints, bands = [], [], []
+        sizes, prints, bands, sets, held = [], [], [], [], 0
         for text in batch.column(1):
-            s = shingle_set(text_of(text), hashes)
+            sets.append(s := shingle_set(text_of(text)))
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-            bands.append(all_keys(s))
+            held += len(s)
+            if held > SHINGLES:
+                bands, sets, held = bands + keys_of_all(sets), [], 0
+        bands += keys_of_all(sets)
         columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "bands"])
 
@@ -118,11 +182,11 @@ def _compare(percent: int):
     """Rows in order of ``a``: first its own text (no ``b``), then those of its partners."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, left = WordHashes(), None, np.empty(0, np.uint64)
+        at, left = None, _NONE
         for batch in slices(batches):
             keep, linked, shared, extra, maps = [], [], [], [], []
             for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                own = shingle_set(text_of(text), hashes)
+                own = shingle_set(text_of(text))
                 if other is None:
                     at, left = one, own
                 elif one == at and len(own) and len(left):
@@ -178,11 +242,11 @@ def _tokens(percent: int):
     """Rows in order of ``a``, as ``_compare`` reads them: for each ``b`` the shingles by which it must meet its likes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, left = WordHashes(), None, np.empty(0, np.uint64)
+        at, left = None, _NONE
         for batch in slices(batches):
             keep, far, beyond, inner = [], [], [], []
             for i, (one, other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                own = shingle_set(text_of(text), hashes)
+                own = shingle_set(text_of(text))
                 if other is None:
                     at, left = one, own
                 elif one == at and len(own) and len(left):

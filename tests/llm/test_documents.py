@@ -159,6 +159,25 @@ def test_small_sets_share_a_band():
     assert counts == [0, 80, 80, 40]
 
 
+def test_words_are_hashed_by_pieces(monkeypatch):
+    # whole pieces at a time, with the same hashes wherever a piece ends; long words by themselves
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        some = bytes(rng.choice(list(b"aAbBz \t\n\x00\xc3\xa9"), size=int(rng.integers(0, 300))).tolist())
+        data = some + b"x" * int(rng.choice([0, 31, 32, 33, 400])) + b" " + bytes(rng.choice(list(b"abC "), size=50).tolist())
+        monkeypatch.undo()
+        whole, seq = minhash.word_hashes(data), data.lower().split()
+        monkeypatch.setattr(minhash, "PIECE", int(rng.integers(minhash.LONG, 90)))
+        assert minhash.word_hashes(data).tolist() == whole.tolist() == [int(minhash.word_hashes(w)[0]) for w in seq]
+        assert len(set(whole.tolist())) == len(set(seq))
+    monkeypatch.undo()
+    text = " ".join(f"w{i}" for i in range(60_000)) + " " + "y" * 400_000 + " Z z"
+    assert len(text) > 2 * minhash.PIECE and len(set(minhash.word_hashes(text.encode()).tolist())) == 60_002
+    sets = [minhash.shingle_set(" ".join(f"s{j}" for j in range(n))) for n in (0, 1, 5, 64, 68, 69, 3000)]
+    assert [len(s) for s in sets] == [0, 1, 1, 60, 64, 65, 2996]
+    assert [k.tolist() for k in minhash.keys_of_all(sets)] == [minhash.all_keys(s).tolist() for s in sets]
+
+
 def test_near_groups_in_lots(spark, monkeypatch):
     # texts with more partners than a lot, more outsiders than a lot, and a sketch that lets others pass
     monkeypatch.setattr(minhash, "PARTNERS", 7)
