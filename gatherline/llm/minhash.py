@@ -232,10 +232,12 @@ def _near_size(n: Column, m: Column, percent: int) -> Column:
 
 def _may_link(percent: int) -> Column:
     """May ``x`` and ``y``, compared with one center, be similar enough? By their sizes and by what can be in both."""
-    common = sum((F.bit_count(F.element_at("x.rest", i).bitwiseAND(F.element_at("y.rest", i))) for i in range(1, REST_BITS // 64 + 1)), F.lit(0))
+    enough = lambda most: most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     # at most so many shingles are in both: those that both share with their center, and those outside it
-    most = F.least("x.shared", "y.shared") + common + F.least("x.extra", "y.extra")
-    return _near_size(F.col("x.n"), F.col("y.n"), percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    inside, beyond = F.least("x.shared", "y.shared"), F.least(F.col("x.n") - F.col("x.shared"), F.col("y.n") - F.col("y.shared"))
+    # written out word by word, the count of common bits is too long a method to be compiled
+    common = F.aggregate(F.zip_with("x.rest", "y.rest", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, n: s + n)
+    return _near_size(F.col("x.n"), F.col("y.n"), percent) & enough(inside + beyond) & enough(inside + common + F.least("x.extra", "y.extra"))
 
 
 def _tokens(percent: int):

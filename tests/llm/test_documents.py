@@ -178,6 +178,23 @@ def test_words_are_hashed_by_pieces(monkeypatch):
     assert [k.tolist() for k in minhash.keys_of_all(sets)] == [minhash.all_keys(s).tolist() for s in sets]
 
 
+def test_the_bound_of_pairs_lets_every_link_pass(spark):
+    # sets by what they share with a center; a few bits stand for what lies beyond it
+    rng, center, rows = np.random.default_rng(8), set(range(60)), []
+    for i in range(120):
+        own = set(rng.permutation(60)[: rng.integers(10, 60)].tolist()) | set((100 + 40 * (i % 6) + rng.permutation(40)[: rng.integers(0, 40)]).tolist())
+        bits = [0] * (minhash.REST_BITS // 64)
+        for x in own - center:
+            bits[x % 32] |= 1 << (x * 7 % 61)
+        rows.append((i, len(own), len(own & center), len(own - center) - sum(b.bit_count() for b in bits), bits, sorted(own)))
+    sets = spark.createDataFrame(rows, "rep int, n int, shared int, extra int, rest array<long>, own array<int>")
+    both = F.size(F.array_intersect("x.own", "y.own"))
+    pairs = sets.alias("x").join(sets.alias("y"), F.col("x.rep") < F.col("y.rep")).select(minhash._may_link(75).alias("may"), (100 * both >= 75 * (F.col("x.n") + F.col("y.n") - both)).alias("linked"))
+    counts = {(r.may, r.linked): r["count"] for r in pairs.groupBy("may", "linked").count().collect()}
+    assert (False, True) not in counts and counts[True, True] > 0 and counts[False, False] > 1000
+    assert len(pairs._jdf.queryExecution().optimizedPlan().toString().split("bit_count")) < 10  # one loop, not a term a word
+
+
 def test_near_groups_in_lots(spark, monkeypatch):
     # texts with more partners than a lot, more outsiders than a lot, and a sketch that lets others pass
     monkeypatch.setattr(minhash, "PARTNERS", 7)
